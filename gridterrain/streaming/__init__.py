@@ -1,0 +1 @@
+"""Every capability of this engine works on whole files, so there is no streaming operator."""
