@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridterrain.functions.numeric import mix_hash, wide_hash
 from gridterrain.functions.text import normalise_postcode, strip
 from gridterrain.operators.skew import join_unique
-from gridterrain.sources.dims import is_real_square, square_indexes, square_name
+from gridterrain.sources.dims import is_land_name, is_square_name, square_indexes, square_name
 
 # Place types, the largest side of a request in km, and sizes of squares in km.
 PLACE_TYPES = ["pa", "pc", "ng"]
@@ -17,20 +17,20 @@ SQUARE_KM, SMALL_KM = 100, 10
 
 def is_square(name: Column) -> Column:
     """Any of the 150 square names, in any case."""
-    return F.coalesce(square_indexes(name)[0].isNotNull(), F.lit(False))
+    return is_square_name(name)
 
 
 def is_land_square(name: Column) -> Column:
     """F8: a square with land."""
-    return F.coalesce(is_square(name) & is_real_square(F.upper(name)), F.lit(False))
+    return is_land_name(name)
 
 
 def parse_small_square(name: Column) -> tuple[Column, Column, Column]:
     """``(gridsquare, east, north)`` of a 10 km square name; nulls when it is not one."""
-    outer = F.upper(F.substring(name, 1, 2))
+    outer = F.substring(name, 1, 2)
     good = name.rlike(r"^[A-Za-z]{2}[0-9]{2}\z") & is_square(outer)
     digit = [F.when(good, F.substring(name, i, 1)).cast("int") for i in (3, 4)]
-    return F.when(good, outer), digit[0], digit[1]
+    return F.when(good, F.upper(outer)), digit[0], digit[1]
 
 
 def next_square(name: Column, east: int, north: int) -> Column:
@@ -43,18 +43,17 @@ def square_reached(gridsquare: Column, east: Column, north: Column, e_step: Colu
     """10 km square reached from one by steps of 10 km; null off the grid. Steps may be negative."""
     e, n = square_indexes(gridsquare)
     e, n = e * 10 + east + e_step, n * 10 + north + n_step
-    name = square_name(F.floor(e / 10), F.floor(n / 10))
-    return F.when(name.isNotNull(), F.concat(name, F.pmod(e, F.lit(10)).cast("string"), F.pmod(n, F.lit(10)).cast("string")))
+    digits = F.pmod(e, F.lit(10)) * 10 + F.pmod(n, F.lit(10))
+    # Concatenation with a null name is null.
+    return F.concat(square_name(F.floor(e / 10), F.floor(n / 10)), F.lpad(digits.cast("string"), 2, "0"))
 
 
 def parse_dimensions(dims: Column, km: Column) -> tuple[Column, Column]:
     """``(east, north)`` counts of a ``WxH`` text; both 0 when malformed or beyond 2 000 km."""
     form = r"^([0-9]+)[xX]([0-9]+)\z"
-    # Counts of more than nine digits are beyond the limit whatever the size; leading zeros are not.
-    counts = [F.regexp_replace(F.regexp_extract(dims, form, i), "^0+(?=[0-9])", "") for i in (1, 2)]
-    sides = [F.when(F.length(c) <= 9, F.try_to_number(c, F.lit("999999999")).cast("bigint")) for c in counts]
-    good = dims.rlike(form) & sides[0].isNotNull() & sides[1].isNotNull()
-    good = F.coalesce(good & (sides[0] * km <= LARGEST_KM) & (sides[1] * km <= LARGEST_KM), F.lit(False))
+    sides = [F.regexp_extract(dims, form, i).try_cast("decimal(38,0)") for i in (1, 2)]
+    # A malformed text, or a number too long to be in range, gives a null here.
+    good = (sides[0] * km <= LARGEST_KM) & (sides[1] * km <= LARGEST_KM)
     return tuple(F.when(good, s).otherwise(0).cast("bigint") for s in sides)
 
 
@@ -82,31 +81,32 @@ def classify_places(places: DataFrame, areas: DataFrame) -> DataFrame:
 
     ``areas`` holds the known postcode areas, one row each; it stays tiny by the format of its codes.
     """
-    text = strip(F.col("place"))
     known = F.broadcast(areas.select(F.col("Postcode_area").alias("_area")))
-    joined = places.join(known, F.upper(text) == F.col("_area"), "left")
-    parts, size, lower = F.split(text, ":"), F.length(text), F.lower(text)
-    kind, value = F.lower(strip(parts[0])), strip(F.get(parts, F.lit(1)))
-    typed = F.contains(text, F.lit(":"))
-    square, area = is_land_square(text), F.col("_area").isNotNull()
-
-    def answer(kind: Column | str, value: Column | str) -> Column:
-        kind, value = (F.lit(v) if isinstance(v, str) else v for v in (kind, value))
-        return F.struct(kind.alias("place_type"), value.alias("place_value"))
-
-    failed = answer("", "")
-    result = (
-        F.when(typed & (F.size(parts) == 2) & kind.isin(PLACE_TYPES), answer(kind, value))
-        .when(typed, failed)
-        .when(lower == "all", answer("all", "GB"))
-        .when(lower == "random", answer("random", "random"))
-        .when(size == 1, answer("pa", text))
-        .when((size == 2) & square & ~area, answer("ng", text))
-        .when((size == 2) & ~square & area, answer("pa", text))
-        .when(size >= 5, answer("pc", text))
-        .otherwise(failed)
+    named = places.withColumn("_text", strip(F.col("place"))).withColumn("_parts", F.split("_text", ":"))
+    text, parts = F.col("_text"), F.col("_parts")
+    joined = named.join(known, F.upper(text) == F.col("_area"), "left").select(
+        *places.columns, "_text", F.size(parts).alias("_count"), F.length(text).alias("_length"), F.lower(text).alias("_lower"),
+        F.lower(strip(F.get(parts, F.lit(0)))).alias("_kind"), strip(F.get(parts, F.lit(1))).alias("_value"),
+        is_land_square(text).alias("_ng"), F.col("_area").isNotNull().alias("_pa"),
+    )
+    form = (
+        F.when((F.col("_count") == 2) & F.col("_kind").isin(PLACE_TYPES), "typed")
+        .when(F.col("_count") > 1, "")
+        .when(F.col("_lower").isin("all", "random"), F.col("_lower"))
+        .when(F.col("_length") == 1, "pa")
+        .when((F.col("_length") == 2) & F.col("_ng") & ~F.col("_pa"), "ng")
+        .when((F.col("_length") == 2) & ~F.col("_ng") & F.col("_pa"), "pa")
+        .when(F.col("_length") >= 5, "pc")
+        .otherwise("")
+    )
+    form_is = joined.withColumn("_form", form)
+    form = F.col("_form")
+    return form_is.select(
+        *places.columns,
+        F.when(form == "typed", F.col("_kind")).otherwise(form).alias("place_type"),
+        F.when(form == "typed", F.col("_value")).when(form == "all", "GB").when(form == "random", "random")
+        .when(form == "", "").otherwise(text).alias("place_value"),
     )
-    return joined.withColumn("_r", result).select(*places.columns, "_r.place_type", "_r.place_value")
 
 
 def place_exists(requests: DataFrame, table: DataFrame, areas: DataFrame) -> DataFrame:

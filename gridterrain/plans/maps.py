@@ -18,6 +18,7 @@ from gridterrain.operators.spatial import (
     ALL_TITLE, CANVAS_HEIGHT, EXTENT_MARGIN, SQUARE_MARGIN, Box, Canvas, area_column, area_title, around_counts,
     describe_location, extent, find_postcode, neighbourhood, postcode_title, square_box, square_title, squares_of, within,
 )
+from gridterrain.scratch import cut
 from gridterrain.sources.dims import INNER_LETTERS, OUTER_LETTERS
 
 
@@ -129,14 +130,13 @@ def answer_places(table: DataFrame, squares: DataFrame, requests: DataFrame, see
     """
     areas = table.groupBy("Postcode_area").agg(F.count("*").alias("_pa_rows"))
     classified = places.classify_places(requests, areas)
-    concrete = places.resolve_random(
-        classified.select("request_id", "place_type", "place_value"), table, squares.filter("is_real"), seed
-    )
+    wanted = cut(classified.select("request_id", "place_type", "place_value"), "places")
+    concrete = cut(places.resolve_random(wanted, table, squares.filter("is_real"), seed), "places")
     checked = places.place_exists(concrete, table, areas)
     status = (
         F.when(F.col("place_type") == "", BAD_PLACE).when(F.col("exists"), DRAWN).otherwise(UNKNOWN_PLACE)
     )
-    known = checked.withColumn("status", status)
+    known = cut(checked.withColumn("status", status), "answers")
 
     value = F.upper(F.trim("place_value"))
     per_square = squares_of(table.select("Eastings", "Northings")).groupBy("square").agg(F.count("*").alias("rows"))

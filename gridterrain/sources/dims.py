@@ -84,54 +84,53 @@ NO_LABEL = "????"
 GRID_EASTS, GRID_NORTHS = 10, 15
 
 
+def _named_squares() -> list[tuple[str, int, int, bool]]:
+    """Name, east index, north index and land flag of every square, west to east and south to north."""
+    rows = []
+    for e in range(GRID_EASTS):
+        for n in range(GRID_NORTHS):
+            outer, inner = OUTER_LETTERS[n // 5][e // 5], INNER_LETTERS[(4 - n % 5) * 5 + e % 5]
+            real = inner in LAND_LETTERS[outer] if outer in LAND_LETTERS else outer in SEA_LETTERS and inner not in SEA_LETTERS[outer]
+            rows.append((outer + inner, e, n, real))
+    return rows
+
+
+SQUARES = _named_squares()
+
+
+def _texts(names: list[str]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
 def square_name(easting_index: Column, northing_index: Column) -> Column:
-    """Name of the 100 km square at whole-number indexes inside the grid; null outside it."""
-    inside = easting_index.between(0, GRID_EASTS - 1) & northing_index.between(0, GRID_NORTHS - 1)
-    outer = F.lit("".join(OUTER_LETTERS)).substr(
-        (F.floor(northing_index / 5) * 2 + F.floor(easting_index / 5) + 1).cast("int"), F.lit(1)
-    )
-    inner = F.lit(INNER_LETTERS).substr(
-        ((4 - F.pmod(northing_index, F.lit(5))) * 5 + F.pmod(easting_index, F.lit(5)) + 1).cast("int"), F.lit(1)
-    )
-    return F.when(inside, F.concat(outer, inner))
+    """Name of the 100 km square at whole-number indexes; null outside the grid."""
+    names = F.expr(f"array({_texts([s[0] for s in SQUARES])})")
+    place = F.when(northing_index.between(0, GRID_NORTHS - 1), easting_index * GRID_NORTHS + northing_index)
+    return F.get(names, place.cast("int"))
 
 
 def square_indexes(name: Column) -> tuple[Column, Column]:
-    """East and north index of a two-letter square name; null for an unknown name."""
-    name = F.upper(name)
-    outer = F.instr(F.lit("".join(OUTER_LETTERS)), F.substring(name, 1, 1)) - 1
-    inner = F.instr(F.lit(INNER_LETTERS), F.substring(name, 2, 1)) - 1
-    known = (F.length(name) == 2) & (outer >= 0) & (inner >= 0)
-    east = F.pmod(outer, F.lit(2)) * 5 + F.pmod(inner, F.lit(5))
-    north = F.floor(outer / 2) * 5 + 4 - F.floor(inner / 5)
-    return F.when(known, east).cast("int"), F.when(known, north).cast("int")
-
-
-def is_real_square(name: Column) -> Column:
-    """Whether a known square name holds land of Great Britain."""
-    first, second = F.substring(name, 1, 1), F.substring(name, 2, 1)
-    real = F.lit(False)
-    for letter, inner in LAND_LETTERS.items():
-        real = F.when(first == letter, second.isin(*inner)).otherwise(real)
-    for letter, inner in SEA_LETTERS.items():
-        real = F.when(first == letter, ~second.isin(*inner)).otherwise(real)
-    return real
+    """East and north index of a two-letter square name in any case; null for an unknown name."""
+    places = F.expr(f"map({', '.join(f"'{s[0]}', {i}" for i, s in enumerate(SQUARES))})")
+    place = F.try_element_at(places, F.upper(name))
+    return F.floor(place / GRID_NORTHS).cast("int"), place % GRID_NORTHS
+
+
+def is_square_name(name: Column) -> Column:
+    """Any of the 150 names, in any case."""
+    return F.coalesce(F.upper(name).isin([s[0] for s in SQUARES]), F.lit(False))
+
+
+def is_land_name(name: Column) -> Column:
+    """A square that holds land of Great Britain, in any case."""
+    return F.coalesce(F.upper(name).isin([s[0] for s in SQUARES if s[3]]), F.lit(False))
 
 
 def grid_squares(spark: SparkSession) -> DataFrame:
     """The 150 grid squares of 100 km."""
-    indexes = spark.range(GRID_EASTS * GRID_NORTHS).select(
-        (F.col("id") % GRID_EASTS).cast("int").alias("easting_index"),
-        F.floor(F.col("id") / GRID_EASTS).cast("int").alias("northing_index"),
-    )
-    named = indexes.withColumn("name", square_name(F.col("easting_index"), F.col("northing_index"))).withColumn(
-        "is_real", is_real_square(F.col("name"))
-    )
-    labels = F.create_map(*[F.lit(text) for pair in SQUARE_LABELS.items() for text in pair])
-    return named.select(
-        "name", "easting_index", "northing_index", F.lit(100).alias("km_length"), "is_real",
-        F.when(F.col("is_real"), F.coalesce(F.try_element_at(labels, F.col("name")), F.lit(NO_LABEL)))
-        .otherwise(F.lit(NO_LABEL)).alias("label"),
+    rows = [(n, e, k, 100, real, SQUARE_LABELS.get(n, NO_LABEL) if real else NO_LABEL) for n, e, k, real in SQUARES]
+    return spark.createDataFrame(
+        rows, "name string, easting_index int, northing_index int, km_length int, is_real boolean, label string"
     )
 
 
