@@ -1,0 +1,381 @@
+"""Registered queries of altitudes, colours, tiles, mosaics and flat regions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridterrain import fixtures
+from gridterrain.catalogue import common
+from gridterrain.catalogue.oracle import floor_div, ramp, sql
+from gridterrain.catalogue.registry import query
+from gridterrain.functions.colour import LAND_RAMPS, SCHEMES, WATER, land_colour, ramp_factors, water_colour
+from gridterrain.functions.numeric import same_altitude
+from gridterrain.operators import altitudes, flat, terrain
+from gridterrain.plans import terrain_map
+from gridterrain.schemas import NO_ALTITUDE
+from gridterrain.sources.dims import colour_schemes
+
+
+def _rgb(channels: list[str]) -> str:
+    return ", ".join(f"{c} AS {n}" for c, n in zip(channels, "rgb"))
+
+
+def _register_ramp(scheme: str) -> None:
+    @query(f"p20_land_ramp_{scheme}", sql("heights", f"SELECT k, {_rgb(ramp(LAND_RAMPS[scheme], 'alt'))} FROM heights"))
+    def _(spark, sf):
+        return common.heights(spark, sf).select("k", *land_colour(scheme, F.col("alt")))
+
+
+for _scheme in LAND_RAMPS:
+    _register_ramp(_scheme)
+
+_EFF = """CASE WHEN alt >= 0 THEN alt * (1349.9::DOUBLE / (SELECT max(alt) FROM heights)) ELSE alt * (9.9::DOUBLE / (SELECT abs(min(alt)) FROM heights)) END"""
+
+
+@query(
+    "p21_scaled_ramp",
+    sql("heights", f"SELECT k, {_rgb(ramp(LAND_RAMPS['standard'], 'eff'))} FROM (SELECT k, {_EFF} AS eff FROM heights)"),
+)
+def _(spark, sf):
+    cells = common.heights(spark, sf)
+    factors = ramp_factors("standard", *terrain.altitude_range(cells.withColumn("real", F.lit(True))))
+    return cells.select("k", *land_colour("standard", F.col("alt"), factors))
+
+
+_A = "abs(alt)"
+_NUMERIC = [
+    f"trunc(CASE WHEN alt >= 0 THEN {floor_div(_A, '100.0')} WHEN {_A} > 999 THEN 255 WHEN {_A} < 2.55::DOUBLE THEN {_A} * 100 WHEN {_A} < 10 THEN {_A} * 25 WHEN {_A} < 25.5::DOUBLE THEN {_A} * 10 ELSE {_A} END)::INT",
+    f"trunc(CASE WHEN alt >= 0 THEN {_A} % 100 WHEN {_A} > 999 THEN 255 ELSE {_A} END)::INT",
+    "CASE WHEN alt >= 0 THEN 0 ELSE 255 END::INT",
+]
+
+
+@query(
+    "p22_numeric_colour",
+    sql("heights cells", f"SELECT k, {_rgb(_NUMERIC)} FROM (SELECT k, alt FROM heights UNION ALL SELECT -1 - (\"row\" * 100 + col), alt - 30 FROM cells)"),
+)
+def _(spark, sf):
+    cells = fixtures.terrain_cells(spark, sf).selectExpr("-1 - (row * 100 + col) as k", "alt - 30 as alt")
+    return common.heights(spark, sf).unionByName(cells).select("k", *land_colour("numeric", F.col("alt")))
+
+
+_WATER_SQL = " UNION ALL ".join(
+    f"SELECT '{s}' AS scheme, k, {_rgb([f'{v}::INT' for v in WATER[s]])} FROM heights" for s in WATER
+) + f" UNION ALL SELECT 'numeric', k, {_rgb(_NUMERIC)} FROM heights"
+
+
+@query("p23_water_colour", sql("heights", _WATER_SQL))
+def _(spark, sf):
+    rows = common.heights(spark, sf)
+    out = None
+    for scheme in SCHEMES:
+        part = rows.select(F.lit(scheme).alias("scheme"), "k", *water_colour(scheme, F.col("alt")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "p24_same_altitude",
+    sql("heights", "SELECT k, abs(alt - (alt + ((k % 5)::DOUBLE - 2.0) * 0.006::DOUBLE)) < 0.01::DOUBLE AS same FROM heights"),
+)
+def _(spark, sf):
+    other = F.expr("alt + (double(k % 5) - 2.0D) * 0.006D")
+    return common.heights(spark, sf).select("k", same_altitude(F.col("alt"), other).alias("same"))
+
+
+_ASKED = "(['standard','trial','greyscale','red','blue','green','cyan','yellow','magenta','plaid'])[(k % 10 + 1)::INT]"
+
+
+@query(
+    "s16_colour_schemes",
+    sql(
+        "heights",
+        f"""SELECT k, asked, CASE WHEN asked = 'plaid' THEN 'standard' ELSE asked END AS scheme, CASE CASE WHEN asked = 'plaid' THEN 'standard' ELSE asked END
+              {' '.join(f"WHEN '{s}' THEN {ramp(LAND_RAMPS[s], 'alt')[0]}" for s in LAND_RAMPS)} END AS r,
+              CASE asked {' '.join(f"WHEN '{s}' THEN {WATER[s][0]}" for s in LAND_RAMPS)} ELSE 204 END::INT AS water_r
+            FROM (SELECT k, alt, {_ASKED} AS asked FROM heights)""",
+    ),
+)
+def _(spark, sf):
+    """Scheme as a column: unknown names fall back, then each row meets its ramp segment."""
+    segments = colour_schemes(spark).filter("altitude is not null").withColumnRenamed("scheme", "_scheme")
+    asked = common.heights(spark, sf).withColumn(
+        "asked", F.expr("get(array('standard','trial','greyscale','red','blue','green','cyan','yellow','magenta','plaid'), int(k % 10))")
+    )
+    resolved = asked.withColumn("scheme", F.when(F.col("asked").isin(list(LAND_RAMPS)), F.col("asked")).otherwise("standard"))
+    joined = resolved.join(
+        F.broadcast(segments),
+        (F.col("scheme") == F.col("_scheme")) & (F.col("alt") >= F.col("altitude")) & (F.col("alt") < F.col("next_altitude")),
+        "left",
+    )
+    water = F.expr("get(array(204,204,204,204,204,204,102,204,204,204), int(k % 10))")
+    share = (F.col("alt") - F.col("altitude")) / (F.col("next_altitude") - F.col("altitude"))
+    red = F.when(F.col("alt") == 1350, 255.0).when(F.col("_scheme").isNull(), 0.0).otherwise(F.col("r") - (F.col("r") - F.col("next_r")) * share)
+    return joined.select("k", "asked", "scheme", red.cast("int").alias("r"), F.coalesce("water_r", water).alias("water_r"))
+
+
+# Altitude statistics.
+
+
+@query("l2_altitude_counts", sql("counted", "SELECT alt, cases FROM counted ORDER BY alt"))
+def _(spark, sf):
+    return altitudes.altitude_counts(fixtures.terrain_cells(spark, sf)).orderBy("alt")
+
+
+_SUMMARY = """SELECT sum(cases)::BIGINT AS cells, count(*) AS unique_altitudes, min(alt) AS min_alt, max(alt) AS max_alt, round_even(max(alt) - min(alt), 1) AS alt_range,
+  round_even(sum(alt * cases) / sum(cases)::DOUBLE, 1) AS mean_alt, sum(alt * cases) / sum(cases)::DOUBLE AS mean_exact FROM counted"""
+
+
+@query("a16_altitude_summary", sql("counted", _SUMMARY))
+def _(spark, sf):
+    return altitudes.altitude_summary(altitudes.altitude_counts(fixtures.terrain_cells(spark, sf)))
+
+
+_COMMON = "SELECT alt, cases, round_even(cases / (SELECT sum(cases) FROM counted)::DOUBLE * 100, 3) AS percent FROM counted ORDER BY cases DESC, alt LIMIT 1"
+
+
+@query("a17_commonest_altitude", sql("counted", _COMMON))
+def _(spark, sf):
+    return altitudes.commonest_altitude(altitudes.altitude_counts(fixtures.terrain_cells(spark, sf)))
+
+
+_NOTABLE = """SELECT alt, cases, round_even(cases * 100 / (SELECT sum(cases) FROM counted)::DOUBLE, 2) AS percent FROM counted
+  WHERE alt < 1 OR cases >= (SELECT sum(cases) FROM counted) / 100::DOUBLE"""
+
+
+@query("a18_notable_altitudes", sql("counted", _NOTABLE))
+def _(spark, sf):
+    return altitudes.notable_altitudes(altitudes.altitude_counts(fixtures.terrain_cells(spark, sf)))
+
+
+_EDGES = """SELECT row_number() OVER (ORDER BY o) - 1 AS i, edge FROM (
+    SELECT -1 AS o, lo AS edge FROM bounds WHERE lo <= 0
+    UNION ALL SELECT s AS o, (s * width)::DOUBLE FROM bounds, range(0, 2000) AS r(s) WHERE s * width - hi <= 2 * width)"""
+_BOUNDS = """SELECT min(alt) AS lo, max(alt) AS hi, CASE WHEN max(alt) < 100 THEN 10 WHEN max(alt) < 200 THEN 20 WHEN max(alt) < 300 THEN 50 ELSE 100 END AS width FROM {src}"""
+_BINS = """SELECT a.i::INT AS bin, a.edge AS lower, b.edge AS upper, coalesce(sum(c.cases), 0)::BIGINT AS cases FROM edges a JOIN edges b ON b.i = a.i + 1
+  LEFT JOIN {src} c ON c.alt >= a.edge AND c.alt < b.edge GROUP BY 1, 2, 3"""
+
+
+def _histogram_sql(needs: str, src: str, body: str = "SELECT * FROM bins", **more: str) -> str:
+    return sql(needs, body, **more, bounds=_BOUNDS.format(src=src), edges=_EDGES, bins=_BINS.format(src=src))
+
+
+@query("a19_histogram", _histogram_sql("counted", "counted"))
+def _(spark, sf):
+    return altitudes.histogram(altitudes.altitude_counts(fixtures.terrain_cells(spark, sf)))
+
+
+@query("a19_histogram_heights", _histogram_sql("heights", "tall", tall="SELECT alt, count(*) AS cases FROM heights GROUP BY 1"))
+def _(spark, sf):
+    return altitudes.histogram(altitudes.altitude_counts(common.heights(spark, sf)))
+
+
+_HEX = "'#' || " + " || ".join("lpad(lower(to_hex({})), 2, '0')".format(c) for c in ("r", "g", "b"))
+_BARS = (
+    f"SELECT bin, lower, upper, cases, CASE WHEN lower >= 0 THEN {_HEX} ELSE '#cce5ff' END AS hex FROM "
+    f"(SELECT *, {_rgb(ramp(LAND_RAMPS['standard'], 'lower'))} FROM bins)"
+)
+
+
+@query("r10_histogram_colours", _histogram_sql("heights", "tall", _BARS, tall="SELECT alt, count(*) AS cases FROM heights GROUP BY 1"))
+def _(spark, sf):
+    counts = altitudes.altitude_counts(common.heights(spark, sf))
+    return altitudes.histogram_colours(altitudes.histogram(counts), "standard")
+
+
+# Tiles. The mosaic lacks every fifth tile, has one doubled file in seven and one spoilt text in eleven.
+
+_TILES = """SELECT north, east, (north * 2 + east) AS number, n FROM (SELECT "row" // 50 AS north, col // 50 AS east, count(*) AS n FROM cells GROUP BY 1, 2)"""
+_STATUS = """SELECT *, CASE WHEN number % 5 = 4 THEN 'sea' WHEN number % 7 = 3 THEN 'error' WHEN number % 11 = 5 THEN 'error'
+    WHEN n <> first_n THEN 'error' ELSE 'ok' END AS status
+  FROM (SELECT *, (SELECT n FROM tiles WHERE NOT (number % 5 = 4 OR number % 7 = 3 OR number % 11 = 5) ORDER BY east, north LIMIT 1) AS first_n FROM tiles)"""
+
+
+def _tile_inputs(spark, sf):
+    """Wanted tiles and parsed headers of the spoilt mosaic."""
+    number = F.col("north") * 2 + F.col("east")
+    texts = fixtures.tile_texts(spark, sf)
+    wanted = texts.select(F.lit(0).alias("request_id"), F.col("east").cast("bigint").alias("east"), F.col("north").cast("bigint").alias("north"), "tile")
+    held = texts.filter(number % 5 != 4).select(
+        "tile", F.when(number % 7 == 3, 2).otherwise(1).cast("bigint").alias("files"),
+        F.when(number % 11 == 5, F.replace("text", F.lit("cellsize"), F.lit("cell size"))).otherwise(F.col("text")).alias("text"),
+    )
+    from gridterrain.scratch import cut
+    from gridterrain.sources.tiles import tile_headers
+
+    return wanted, tile_headers(cut(held, "tiles"))
+
+
+@query("j6_tile_statuses", sql("cells", "SELECT east, north, status FROM statuses", tiles=_TILES, statuses=_STATUS))
+def _(spark, sf):
+    wanted, headers = _tile_inputs(spark, sf)
+    return terrain.tile_statuses(wanted, headers).select("east", "north", "status")
+
+
+_MOSAIC = """SELECT c."row", c.col, CASE WHEN s.status = 'ok' THEN c.alt ELSE -1000 END AS alt, s.status = 'ok' AS real FROM cells c
+  JOIN statuses s ON s.north = c."row" // 50 AND s.east = c.col // 50
+  UNION ALL SELECT north * 50 + r, east * 50 + k, -1000, false FROM statuses, range(50) AS a(r), range(50) AS b(k)
+  WHERE status <> 'ok' AND north * 50 + r > (SELECT max("row") FROM cells) AND r < first_n // 50"""
+
+
+@query("r4_mosaic", sql("cells", 'SELECT "row", col, alt, real FROM mosaic', tiles=_TILES, statuses=_STATUS, mosaic=_MOSAIC))
+def _(spark, sf):
+    wanted, headers = _tile_inputs(spark, sf)
+    return terrain.mosaic(terrain.tile_statuses(wanted, headers), headers)
+
+
+@query(
+    "a20_request_status",
+    sql(
+        "cells",
+        """SELECT 0 AS request_id, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'sea') AS sea, 0::BIGINT AS offgrid,
+             count(*) FILTER (WHERE status = 'error') AS error, 'ok' AS status, (SELECT min(alt) FROM mosaic WHERE real) AS min_alt, (SELECT max(alt) FROM mosaic WHERE real) AS max_alt FROM statuses""",
+        tiles=_TILES, statuses=_STATUS, mosaic=_MOSAIC,
+    ),
+)
+def _(spark, sf):
+    wanted, headers = _tile_inputs(spark, sf)
+    statuses = terrain.tile_statuses(wanted, headers)
+    lo, hi = terrain.altitude_range(terrain.mosaic(statuses, headers))
+    return terrain.request_status(statuses).withColumn("min_alt", lo).withColumn("max_alt", hi)
+
+
+@query(
+    "j6_requested_tiles",
+    sql(
+        "grid",
+        """SELECT k AS request_id, east, north, g2.name || (ae % 10)::VARCHAR || (an % 10)::VARCHAR AS tile
+           FROM (SELECT k, de AS east, dn AS north, g.easting_index * 10 + k % 10 + de AS ae, g.northing_index * 10 + (k // 10) % 10 + dn AS an
+                 FROM (SELECT c_custkey AS k, ['NY','TV','OV','HP','SV','JE'][(c_custkey % 6 + 1)::INT] AS sq, c_custkey % 4 AS ew, c_custkey % 3 + 1 AS ns FROM customer) r
+                   JOIN grid g ON g.name = sq JOIN range(4) AS x(de) ON de < ew JOIN range(4) AS y(dn) ON dn < ns)
+             LEFT JOIN grid g2 ON g2.easting_index = ae // 10 AND g2.northing_index = an // 10""",
+    ),
+)
+def _(spark, sf):
+    requests = fixtures.table(spark, sf, "customer").selectExpr(
+        "c_custkey as request_id", "get(array('NY','TV','OV','HP','SV','JE'), int(c_custkey % 6)) as gridsquare",
+        "c_custkey % 10 as east", "(c_custkey div 10) % 10 as north", "c_custkey % 4 as ew", "c_custkey % 3 + 1 as ns",
+    )
+    return terrain.requested_tiles(requests)
+
+
+# Flat regions.
+
+
+@query("w5_neighbour_sum", sql("near", """SELECT c."row", c.col, count(n.nalt) AS neighbours, coalesce(sum(n.nalt), 0) AS total FROM cells c
+    LEFT JOIN near n ON n."row" = c."row" AND n.col = c.col GROUP BY 1, 2"""))
+def _(spark, sf):
+    near = flat.neighbours(fixtures.terrain_cells(spark, sf), "alt")
+    return near.select(
+        "row", "col", F.size(F.filter("near", lambda v: v.isNotNull())).cast("bigint").alias("neighbours"),
+        F.aggregate("near", F.lit(0.0), lambda acc, v: acc + F.coalesce(v["alt"], F.lit(0.0))).alias("total"),
+    )
+
+
+@query(
+    "j7_equal_neighbours",
+    sql("near", """SELECT c."row", c.col, coalesce(sum(CASE WHEN abs(c.alt - n.nalt) < 0.01 THEN 1 ELSE 0 END), 0)::INT AS same FROM cells c
+        LEFT JOIN near n ON n."row" = c."row" AND n.col = c.col GROUP BY 1, 2"""),
+)
+def _(spark, sf):
+    near = flat.neighbours(fixtures.terrain_cells(spark, sf), "alt")
+    same = F.filter("near", lambda v: same_altitude(F.col("alt"), v["alt"]))
+    return near.select("row", "col", F.size(same).alias("same"))
+
+
+@query("r5_flat_seeds", sql("seeds", 'SELECT "row", col, alt, seed::INT AS seed FROM seeds'))
+def _(spark, sf):
+    return flat.flat_seeds(fixtures.terrain_cells(spark, sf))
+
+
+@query("r6_grow_regions", sql("marked", 'SELECT "row", col, alt, water::INT AS water FROM marked'))
+def _(spark, sf):
+    return flat.grow_regions(fixtures.terrain_cells(spark, sf))
+
+
+@query("r6_grow_small_blocks", sql("marked", 'SELECT "row", col, alt, water::INT AS water FROM marked'))
+def _(spark, sf):
+    """The same regions through many small blocks, so that most of them cross a block's edge."""
+    return flat.grow_regions(fixtures.terrain_cells(spark, sf), block=16)
+
+
+@query(
+    "r7_next_to_marked",
+    sql("marked", """SELECT c."row", c.col, c.alt, coalesce(bool_or(abs(c.alt - n.nalt) < 0.01 AND m.seed > 0), false) AS next_to_marked FROM cells c
+        LEFT JOIN near n ON n."row" = c."row" AND n.col = c.col LEFT JOIN seeds m ON m."row" = n.nrow AND m.col = n.ncol GROUP BY 1, 2, 3"""),
+)
+def _(spark, sf):
+    return flat.next_to_marked(flat.flat_seeds(fixtures.terrain_cells(spark, sf)), "seed")
+
+
+@query("a21_water_counts", sql("marked", "SELECT count(*) FILTER (WHERE water = 1) AS seeds, count(*) FILTER (WHERE water > 0) AS total FROM marked"))
+def _(spark, sf):
+    return flat.water_counts(flat.grow_regions(fixtures.terrain_cells(spark, sf)))
+
+
+_PIXELS = ", ".join(
+    f"CASE WHEN water = 0 THEN {c} ELSE {w} END::INT AS {n}" for c, w, n in zip(ramp(LAND_RAMPS["standard"], "alt"), WATER["standard"], "rgb")
+)
+
+
+@query("r8_terrain_pixels", sql("marked", f'SELECT "row", col, {_PIXELS} FROM marked'))
+def _(spark, sf):
+    return terrain.terrain_pixels(flat.grow_regions(fixtures.terrain_cells(spark, sf)), "standard")
+
+
+_Q11_EFF = """CASE WHEN alt >= 0 THEN alt * (1349.9::DOUBLE / (SELECT max(alt) FROM mosaic WHERE real)) ELSE alt * (9.9::DOUBLE / (SELECT abs(nullif(min(alt), 0)) FROM mosaic WHERE real)) END"""
+_Q11_NEAR = """SELECT c."row", c.col, c.alt, d."row" AS nrow, d.col AS ncol, d.alt AS nalt
+  FROM mosaic c JOIN (SELECT a AS dr, b AS dc FROM range(-1, 2) AS x(a), range(-1, 2) AS y(b) WHERE a <> 0 OR b <> 0) s ON true
+    JOIN mosaic d ON d."row" = c."row" + s.dr AND d.col = c.col + s.dc"""
+
+
+def _q11_sql() -> str:
+    from gridterrain.catalogue.oracle import PARTS
+
+    seeds = PARTS["seeds"].replace("FROM cells c", "FROM mosaic c")
+    pixels = ", ".join(
+        f"CASE WHEN water = 0 THEN {c} ELSE {w} END::INT AS {n}" for c, w, n in zip(ramp(LAND_RAMPS["red"], "eff"), WATER["red"], "rgb")
+    )
+    return sql(
+        "cells", f'SELECT "row", col, {pixels} FROM (SELECT *, {_Q11_EFF} AS eff FROM marked)',
+        tiles=_TILES, statuses=_STATUS, mosaic=_MOSAIC, near=_Q11_NEAR, seeds=seeds, flood=PARTS["flood"], marked=PARTS["marked"],
+    )
+
+
+@query("q11_terrain_map", _q11_sql())
+def _(spark, sf):
+    wanted, headers = _tile_inputs(spark, sf)
+    return terrain_map.assemble(wanted, headers, "red").pixels()
+
+
+@query(
+    "q12_mosaic_statistics",
+    _histogram_sql(
+        "counted", "counted",
+        f"""SELECT 'summary' AS part, min_alt AS alt, cells AS cases, mean_exact AS value FROM ({_SUMMARY})
+            UNION ALL SELECT 'commonest', alt, cases, percent FROM ({_COMMON}) UNION ALL SELECT 'notable', alt, cases, percent FROM ({_NOTABLE})
+            UNION ALL SELECT 'histogram', lower, cases, upper FROM bins""",
+    ),
+)
+def _(spark, sf):
+    """All parts of the statistics of one mosaic in one result."""
+    parts = terrain_map.terrain_statistics(fixtures.terrain_cells(spark, sf), "standard")
+    rows = [
+        parts["summary"].selectExpr("'summary' as part", "min_alt as alt", "cells as cases", "mean_exact as value"),
+        parts["commonest"].selectExpr("'commonest' as part", "alt", "cases", "percent as value"),
+        parts["notable"].selectExpr("'notable' as part", "alt", "cases", "percent as value"),
+        parts["histogram"].selectExpr("'histogram' as part", "lower as alt", "cases", "upper as value"),
+    ]
+    out = rows[0]
+    for part in rows[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query(
+    "q12_tile_statistics",
+    sql("cells", """SELECT 't_' || ("row" // 50)::VARCHAR || '_' || (col // 50)::VARCHAR AS tile, count(*) AS cells, count(DISTINCT alt) AS unique_altitudes,
+        min(alt) AS min_alt, max(alt) AS max_alt, sum(alt) / count(*)::DOUBLE AS mean_exact FROM cells GROUP BY 1"""),
+)
+def _(spark, sf):
+    return terrain_map.tile_statistics(common.headers(spark, sf))
