@@ -5,6 +5,8 @@ Each recipe reads its whole source table. ``catalogue.oracle`` holds the same re
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridterrain.schemas import NO_ALTITUDE
@@ -15,6 +17,7 @@ TILE_SIDE = 50
 TERRAIN_WIDTH = 100
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

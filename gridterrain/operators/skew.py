@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from gridterrain.scratch import cut
+
 # A key is hot when it holds more than one row in this many; fewer than this many keys can be.
 HOT_SLOTS = 1_000
 
@@ -11,10 +13,17 @@ HOT_SLOTS = 1_000
 def join_unique(many: DataFrame, one: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """Inner join of ``many`` with ``one``, unique on ``keys``; ``weight`` is its row count in ``many``.
 
-    The weights add up to the row count, so fewer than ``HOT_SLOTS`` keys can exceed their share. Those
-    are broadcast and their rows never shuffled; no remaining key is large enough to load a task.
+    ``one`` is written first, as it is read several times. The weights add up to the row count, so
+    fewer than ``HOT_SLOTS`` keys can exceed their share. Those are broadcast and their rows are never
+    shuffled; no remaining key is large enough to load a task.
     """
-    total = one.agg(F.sum(weight)).scalar()
-    hot = F.broadcast(one.filter(F.col(weight) * HOT_SLOTS > total))
+    one = cut(one, "one")
+    w = F.col(weight)
+    size, total, top = one.agg(F.count("*"), F.sum(w), F.max(w)).first()
+    if size <= HOT_SLOTS:
+        return many.join(F.broadcast(one), keys)
+    if top * HOT_SLOTS <= total:
+        return many.join(one, keys)
+    hot = F.broadcast(one.filter(w * HOT_SLOTS > total))
     rest = many.join(hot.select(*keys), keys, "left_anti").join(one, keys)
     return many.join(hot, keys).unionByName(rest)

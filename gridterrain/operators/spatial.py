@@ -29,7 +29,7 @@ def area_column(kind: str) -> str:
 
 @dataclass
 class Box:
-    """South-west and north-east corner in metres; each value is a column, often a one-row subquery."""
+    """South-west and north-east corner in metres, as columns."""
 
     e0: Column
     n0: Column
@@ -37,14 +37,16 @@ class Box:
     n1: Column
 
     @classmethod
-    def of(cls, e0: int, n0: int, e1: int, n1: int) -> "Box":
+    def of(cls, e0: int | None, n0: int | None, e1: int | None, n1: int | None) -> "Box":
         return cls(*[F.lit(v).cast("bigint") for v in (e0, n0, e1, n1)])
 
     @classmethod
     def from_row(cls, one_row: DataFrame) -> "Box":
-        """Box of a one-row frame ``(e0, n0, e1, n1)``, used as a scalar subquery: no join, no collect."""
-        corner = one_row.select(F.struct("e0", "n0", "e1", "n1").alias("box")).scalar()
-        return cls(*[corner.getField(n) for n in ("e0", "n0", "e1", "n1")])
+        """Box of a one-row frame ``(e0, n0, e1, n1)``.
+
+        The four numbers come back as constants, so that filters by the box reach the file scan.
+        """
+        return cls.of(*one_row.select("e0", "n0", "e1", "n1").first())
 
     def grown(self, metres: int) -> "Box":
         return Box(self.e0 - metres, self.n0 - metres, self.e1 + metres, self.n1 + metres)
@@ -107,13 +109,16 @@ def as_fields(rows: DataFrame) -> DataFrame:
     return rows.select("Postcode", F.inline(values))
 
 
+def neighbourhood_columns() -> list[Column]:
+    """corners ``e0, n0, e1, n1`` of the 10 km box around a row."""
+    half = NEIGHBOURHOOD / 2
+    corners = (("Eastings", -half, "e0"), ("Northings", -half, "n0"), ("Eastings", half, "e1"), ("Northings", half, "n1"))
+    return [(F.col(c) + step).cast("bigint").alias(name) for c, step, name in corners]
+
+
 def neighbourhood(rows: DataFrame) -> DataFrame:
     """box of 10 km around each given row."""
-    half = NEIGHBOURHOOD / 2
-    return rows.select(
-        *[(F.col(c) + sign * half).cast("bigint").alias(a)
-          for c, sign, a in (("Eastings", -1, "e0"), ("Northings", -1, "n0"), ("Eastings", 1, "e1"), ("Northings", 1, "n1"))]
-    )
+    return rows.select(*neighbourhood_columns())
 
 
 def describe_location(rows: DataFrame) -> DataFrame:

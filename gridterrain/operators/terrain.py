@@ -84,10 +84,9 @@ def mosaic(statuses: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
-def altitude_range(cells: DataFrame) -> tuple[Column, Column]:
-    """Lowest and highest altitude of the cells that come from tiles, as a one-row subquery."""
-    both = cells.filter("real").agg(F.struct(F.min("alt").alias("lo"), F.max("alt").alias("hi")).alias("range")).scalar()
-    return both["lo"], both["hi"]
+def altitude_range(cells: DataFrame) -> tuple[float | None, float | None]:
+    """Lowest and highest altitude of the cells that come from tiles."""
+    return tuple(cells.filter("real").agg(F.min("alt"), F.max("alt")).first())
 
 
 def terrain_pixels(marked: DataFrame, scheme: str, factors: tuple[Column, Column] | None = None) -> DataFrame:

@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridterrain.operators import quality
 from gridterrain.operators.rows import number_rows
-from gridterrain.schemas import DERIVED_COLUMNS, LOOKED_UP_COLUMNS, SCANNED_COLUMNS
-from gridterrain.scratch import cut
+from gridterrain.schemas import DERIVED_COLUMNS, LOOKED_UP_COLUMNS, LOOKUPS, SCANNED_COLUMNS
+from gridterrain.scratch import scratch_path
 from gridterrain.sources import archives as zips, lookups as sheets, postcodes as files
 
 
 def stored_lookups(lookups: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Lookups written once, so that joins see their true size and broadcast only the small ones."""
-    return {name: cut(df, f"lookup-{name}") for name, df in lookups.items()}
+    """Lookups written in one go, so that joins see their true size and broadcast only the small ones."""
+    specs = {name: (key, value) for name, _, key, value in LOOKUPS}
+    rows = [
+        df.select(F.lit(name).alias("lookup"), F.col(f"`{specs[name][0]}`").alias("key"), F.col(f"`{specs[name][1]}`").alias("value"))
+        for name, df in lookups.items()
+    ]
+    path = scratch_path(rows[0].sparkSession, "lookups")
+    reduce(DataFrame.unionByName, rows).write.partitionBy("lookup").parquet(path)
+    read = rows[0].sparkSession.read.schema("key string, value string")
+    stored = {}
+    for name in lookups:
+        key, value = specs[name]
+        stored[name] = read.parquet(f"{path}/lookup={name}").select(F.col("key").alias(key), F.col("value").alias(value))
+    return stored
 
 
 def build_postcodes(scanned: DataFrame, lookups: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,7 @@
 """Q6-Q10: postcode maps as pixel tables.
 
 A map is described by the rows it draws, the box it covers and its title; drawing is the same for
-all kinds of place. Extents and sizes stay one-row subqueries inside the plan.
+all kinds of place. The only values that reach the driver are the four corners and the title's names.
 """
 
 from __future__ import annotations
@@ -16,10 +16,9 @@ from gridterrain.operators.rows import thin
 from gridterrain.operators.skew import join_unique
 from gridterrain.operators.spatial import (
     ALL_TITLE, CANVAS_HEIGHT, EXTENT_MARGIN, SQUARE_MARGIN, Box, Canvas, area_column, area_title, around_counts,
-    describe_location, extent, find_postcode, neighbourhood, postcode_title, square_box, square_title, squares_of, within,
+    describe_location, extent, find_postcode, neighbourhood_columns, postcode_title, square_box, square_title, squares_of, within,
 )
 from gridterrain.scratch import cut
-from gridterrain.sources.dims import INNER_LETTERS, OUTER_LETTERS
 
 
 @dataclass
@@ -79,29 +78,31 @@ def area_map(table: DataFrame, area: str, **options) -> PostcodeMap:
     """Q7: one postcode area; the area filter reaches the scan."""
     rows = table.filter(F.col("Postcode_area") == area.upper())
     box = Box.from_row(extent(rows, EXTENT_MARGIN))
-    town = rows.agg(F.min_by(F.col("`Post Town`"), "row_id")).scalar()
-    return PostcodeMap(rows, box, area_title(F.lit(area), town), F.lit(f"pa.{area.lower()}"), **options)
+    town = rows.agg(F.min_by(F.col("`Post Town`"), "row_id")).first()[0]
+    return PostcodeMap(rows, box, area_title(F.lit(area), F.lit(town)), F.lit(f"pa.{area.lower()}"), **options)
 
 
 def square_map(table: DataFrame, squares: DataFrame, name: str, **options) -> PostcodeMap:
     """Q8: one grid square with a margin of 5 km on the canvas; rows outside the square are not drawn."""
-    name = name.upper()
-    outer, inner = "".join(OUTER_LETTERS).index(name[0]), INNER_LETTERS.index(name[1])
-    box = square_box(outer % 2 * 5 + inner % 5, outer // 2 * 5 + 4 - inner // 5)
-    label = squares.filter(F.col("name") == name).select("label").scalar()
+    square = squares.filter(F.col("name") == name.upper()).first()
+    name, label = square["name"], square["label"]
+    box = square_box(square["easting_index"], square["northing_index"])
     return PostcodeMap(
-        within(table, box), box.grown(SQUARE_MARGIN), square_title(F.lit(name), label), F.lit(f"ng.{name.lower()}"), **options
+        within(table, box), box.grown(SQUARE_MARGIN), square_title(F.lit(name), F.lit(label)), F.lit(f"ng.{name.lower()}"), **options
     )
 
 
 def postcode_map(table: DataFrame, postcode: str, **options) -> PostcodeMap:
     """Q9: 10 km around one postcode, which is highlighted. Needs the looked-up names for its title."""
-    centre = find_postcode(table, postcode)
-    box = Box.from_row(neighbourhood(centre))
-    key = normalise_postcode(F.lit(postcode))
-    description = describe_location(centre).select("description").scalar()
+    centre = describe_location(find_postcode(table, postcode))
+    found = centre.select("Postcode", "description", *neighbourhood_columns()).take(2)
+    if len(found) != 1:
+        raise ValueError(f"postcode {postcode!r} found {len(found)} times")
+    code, description = found[0]["Postcode"], found[0]["description"]
+    box = Box.of(*[found[0][c] for c in ("e0", "n0", "e1", "n1")])
+    key = F.lit(code)
     return PostcodeMap(
-        within(table, box), box, postcode_title(display_postcode(key), description),
+        within(table, box), box, postcode_title(display_postcode(key), F.lit(description)),
         F.concat(F.lit("pc."), postcode_file_key(key)), key=key, **options,
     )
 
