@@ -237,7 +237,7 @@ def _(spark, sf):
     wanted, headers = _tile_inputs(spark, sf)
     statuses = terrain.tile_statuses(wanted, headers)
     lo, hi = terrain.altitude_range(terrain.mosaic(statuses, headers))
-    return terrain.request_status(statuses).withColumn("min_alt", lo).withColumn("max_alt", hi)
+    return terrain.request_status(statuses).withColumn("min_alt", F.lit(lo)).withColumn("max_alt", F.lit(hi))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 
 def strip(c: Column) -> Column:
     """Drop any white space at both ends (``trim`` alone only drops spaces)."""
-    return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\f\v"))
 
 
 def normalise_postcode(c: Column) -> Column:

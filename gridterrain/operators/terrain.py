@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridterrain.functions.colour import land_colour, water_colour
 from gridterrain.operators.place import square_reached
 from gridterrain.schemas import NO_ALTITUDE
-from gridterrain.sources.tiles import tile_cells
+from gridterrain.sources.tiles import placed_cells
 
 
 def _steps(n: Column) -> Column:
@@ -68,8 +68,8 @@ def mosaic(statuses: DataFrame, headers: DataFrame) -> DataFrame:
     own fill, so cells are neither joined nor shuffled. A request without any data gives no cells.
     """
     shift = ["east", "north", "shape"]
-    placed = headers.join(statuses.filter("status = 'ok'").select("tile", *shift), "tile")
-    data = tile_cells(placed, *shift).select(
+    placed = headers.select("tile", "_rows").join(statuses.filter("status = 'ok'").select("tile", *shift), "tile")
+    data = placed_cells(placed, F.col("shape.nrows"), *shift).select(
         (F.col("row") + F.col("north") * F.col("shape.nrows")).alias("row"),
         (F.col("col") + F.col("east") * F.col("shape.ncols")).alias("col"), "alt", F.lit(True).alias("real"),
     )

@@ -46,7 +46,7 @@ def terrain_map(requests: DataFrame, tiles: DataFrame, scheme: str = "", block:
 def assemble(wanted: DataFrame, headers: DataFrame, scheme: str = "", block: int = BLOCK) -> TerrainMap:
     """Q11 from wanted tiles ``(request_id, east, north, tile)`` and parsed headers."""
     scheme = scheme_or_default(scheme)
-    statuses = terrain.tile_statuses(wanted, headers)
+    statuses = cut(terrain.tile_statuses(wanted, headers), "statuses")
     cells = cut(terrain.mosaic(statuses, headers), "mosaic")
     factors = None if scheme == NUMERIC else ramp_factors(scheme, *terrain.altitude_range(cells))
     marked = grow_regions(cells.select("row", "col", "alt"), block)

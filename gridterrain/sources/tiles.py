@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridterrain.functions.text import strip
 from gridterrain.schemas import TILE_HEADER
 
-# What counts as a whole number and as a decimal number in a tile.
+# A whole number, and a text with a token that is not a decimal number.
 _WHOLE = r"^[+-]?[0-9]+$"
-_DECIMAL = r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity|nan)$"
+_NOT_DECIMAL = r"(?i)(?<!\S)(?![+-]?(?:[0-9]+\.?[0-9]*(?:e[+-]?[0-9]+)?|\.[0-9]+(?:e[+-]?[0-9]+)?|inf|infinity|nan)(?!\S))\S"
 
 _HEAD = len(TILE_HEADER)
 
@@ -22,7 +22,12 @@ def _lines(text: Column) -> Column:
 
 
 def _tokens(line: Column) -> Column:
-    return F.filter(F.split(strip(line), r"\s+"), lambda t: t != "")
+    return F.split(strip(line), r"\s+")
+
+
+def _width(line: Column) -> Column:
+    """Values on a line; a blank line has none."""
+    return F.when(strip(line) == "", 0).otherwise(F.size(_tokens(line)))
 
 
 def tile_headers(tiles: DataFrame) -> DataFrame:
@@ -39,7 +44,7 @@ def tile_headers(tiles: DataFrame) -> DataFrame:
         return F.try_element_at(F.try_element_at(hit, F.lit(-1)), F.lit(2)).cast("bigint")
 
     split = tiles.withColumn("_lines", _lines(F.col("text"))).withColumn("_head", headers)
-    bad_form = F.exists("_head", lambda h: F.size(h) != 2)
+    bad_form = F.exists(F.slice("_lines", 1, _HEAD), lambda line: _width(line) != 2)
     bad_value = F.exists("_head", lambda h: ~h[1].rlike(_WHOLE))
     names = F.transform("_head", lambda h: h[0])
     lacking = reduce(lambda a, b: a | b, [~F.array_contains(names, n) for n in TILE_HEADER])
@@ -56,8 +61,8 @@ def tile_headers(tiles: DataFrame) -> DataFrame:
         *kept, "_fault", F.slice("_lines", _HEAD + 1, F.greatest(F.size("_lines") - _HEAD, F.lit(0))).alias("_rows"),
         *[F.when(F.col("_fault").isNull(), value(n)).alias(n) for n in TILE_HEADER],
     )
-    bad_width = F.exists("_rows", lambda line: F.size(_tokens(line)) != F.col("ncols"))
-    bad_number = F.exists("_rows", lambda line: F.exists(_tokens(line), lambda t: ~t.rlike(_DECIMAL)))
+    bad_width = F.exists("_rows", lambda line: _width(line) != F.col("ncols"))
+    bad_number = F.array_join("_rows", "\n").rlike(_NOT_DECIMAL)
     fault = (
         F.when(F.col("_fault").isNotNull(), F.col("_fault"))
         .when(F.size("_rows") != F.col("nrows"), "row count")
@@ -68,11 +73,24 @@ def tile_headers(tiles: DataFrame) -> DataFrame:
 
 
 def tile_cells(headers: DataFrame, *keep: str) -> DataFrame:
-    """Cells of the good tiles, row 0 at the south edge and column 0 at the west edge."""
-    good = headers.filter(F.col("fault").isNull())
-    rows = good.select("tile", *keep, "nrows", F.posexplode("_rows").alias("_file_row", "_line"))
+    """Cells of the good tiles, row 0 at the south edge and column 0 at the west edge.
+
+    A faulty tile gives no lines instead of being filtered out: a filter would be pushed into the
+    scan and repeat the whole validation there.
+    """
+    good = F.when(F.col("fault").isNull(), F.col("_rows"))
+    return _spread(headers, good, F.col("nrows"), *keep)
+
+
+def placed_cells(tiles: DataFrame, nrows: Column, *keep: str) -> DataFrame:
+    """Cells of tiles already known to be good."""
+    return _spread(tiles, F.col("_rows"), nrows, *keep)
+
+
+def _spread(tiles: DataFrame, lines: Column, nrows: Column, *keep: str) -> DataFrame:
+    rows = tiles.select("tile", *keep, nrows.alias("_nrows"), F.posexplode_outer(lines).alias("_file_row", "_line"))
     cells = rows.select(
-        "tile", *keep, (F.col("nrows") - F.col("_file_row") - 1).alias("row"),
+        "tile", *keep, (F.col("_nrows") - F.col("_file_row") - 1).alias("row"),
         F.posexplode(_tokens(F.col("_line"))).alias("_col", "_value"),
     )
     return cells.select(
