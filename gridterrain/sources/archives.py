@@ -19,56 +19,54 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("archive"), "content")
 
 
-def _names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _stray(names: list[str]) -> int:
+    """Entries outside the allowed folders, or that climb out of them."""
+    return sum(not name.startswith(tuple(ALLOWED_FOLDERS)) or ".." in name.replace("\\", "/").split("/") for name in names)
+
+
+def _open(content: bytes) -> zipfile.ZipFile | None:
+    try:
+        return zipfile.ZipFile(io.BytesIO(content))
+    except zipfile.BadZipFile:
+        return None
+
+
+def _strays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            try:
-                names = zipfile.ZipFile(io.BytesIO(row.content)).namelist()
-            except zipfile.BadZipFile:
-                names = [None]
-            yield pd.DataFrame({"archive": row.archive, "entry": names})
+        opened = [_open(content) for content in batch["content"]]
+        counts = [1 if z is None else _stray(z.namelist()) for z in opened]
+        yield pd.DataFrame({"archive": batch["archive"], "bad_entries": counts})
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples(index=False):
-            try:
-                opened = zipfile.ZipFile(io.BytesIO(row.content))
-            except zipfile.BadZipFile:
+            opened = _open(row.content)
+            if opened is None:
                 continue
+            stray = _stray(opened.namelist())
             for info in opened.infolist():
                 if not info.is_dir():
                     data = opened.read(info).decode("utf-8", errors="replace")
-                    yield pd.DataFrame({"archive": [row.archive], "entry": [info.filename], "text": [data]})
-
-
-def archive_entries(archives: DataFrame) -> DataFrame:
-    """Names of all entries; an unreadable archive gives one null name."""
-    return archives.mapInPandas(_names, "archive string, entry string")
+                    yield pd.DataFrame({"archive": [row.archive], "entry": [info.filename], "bad_entries": [stray], "text": [data]})
 
 
 def entry_texts(archives: DataFrame) -> DataFrame:
-    """Whole text of every file in every archive, one row per entry."""
-    return archives.mapInPandas(_texts, "archive string, entry string, text string")
+    """Whole text of every file in every readable archive, one row per entry.
 
-
-def _is_allowed(entry: Column) -> Column:
-    inside = F.lit(False)
-    for folder in ALLOWED_FOLDERS:
-        inside = inside | F.startswith(entry, F.lit(folder))
-    climbs = F.array_contains(F.split(entry, r"[/\\]"), "..")
-    return F.coalesce(inside & ~climbs, F.lit(False))
+    ``bad_entries`` is the archive's count of entries outside the allowed folders.
+    """
+    return archives.mapInPandas(_texts, "archive string, entry string, bad_entries bigint, text string")
 
 
 def rejected_archives(archives: DataFrame) -> DataFrame:
-    """Archives with an entry outside the allowed folders, and how many such entries."""
-    bad = archive_entries(archives).filter(~_is_allowed(F.col("entry")))
-    return bad.groupBy("archive").agg(F.count("*").alias("bad_entries"))
+    """Unreadable archives, and archives with entries outside the allowed folders, with their number."""
+    return archives.mapInPandas(_strays, "archive string, bad_entries bigint").filter("bad_entries > 0")
 
 
 def unpack_archives(archives: DataFrame) -> DataFrame:
-    """Entries of the archives that pass; one bad entry rejects its whole archive."""
-    return entry_texts(archives).join(rejected_archives(archives).select("archive"), "archive", "left_anti")
+    """Entries of the archives that pass; one bad entry rejects its whole archive. One read, no shuffle."""
+    return entry_texts(archives).filter("bad_entries = 0").select("archive", "entry", "text")
 
 
 def tile_of_archive(path: Column) -> Column:
