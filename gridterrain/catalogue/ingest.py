@@ -289,3 +289,29 @@ def _(spark, sf):
     ).unionByName(sheets.lookup_faults(loaded).select("cases"))
     found = faults.agg(F.count("*")).scalar()
     return table.groupBy("Postcode_area").agg(F.count("*").alias("cases")).withColumn("faults", found)
+
+
+_SHORT, _LONG = ",".join(HEADER_SHORT), ",".join(HEADER_LONG)
+
+
+@query(
+    "s2_header_contract",
+    sql(
+        "",
+        f"""SELECT path, CASE WHEN list_transform(string_split(string_split(t, chr(10))[1], ','), lambda v: trim(v)) <> string_split('{_SHORT}', ',') THEN 'line 1'
+              WHEN list_transform(string_split(string_split(t, chr(10))[2], ','), lambda v: trim(v)) <> string_split('{_LONG}', ',') THEN 'line 2' END AS fault
+            FROM (SELECT path, replace(text, chr(13), '') AS t FROM texts) WHERE fault IS NOT NULL""",
+        texts=f"""SELECT c_custkey::VARCHAR AS path, CASE c_custkey % 4 WHEN 0 THEN '{_SHORT}' || chr(10) || '{_LONG}' WHEN 1 THEN 'XX,{_SHORT}' || chr(10) || '{_LONG}'
+            WHEN 2 THEN replace('{_SHORT}', ',', ' , ') || chr(13) || chr(10) || '{_LONG}' || chr(13) || chr(10)
+            ELSE '{_SHORT}' || chr(10) || '{_LONG}_' || c_mktsegment END AS text FROM customer""",
+    ),
+)
+def _(spark, sf):
+    """One heading text per customer, some of them wrong."""
+    texts = fixtures.table(spark, sf, "customer").selectExpr(
+        "string(c_custkey) as path",
+        f"case c_custkey % 4 when 0 then concat('{_SHORT}', '\\n', '{_LONG}') when 1 then concat('XX,{_SHORT}', '\\n', '{_LONG}')"
+        f" when 2 then concat(replace('{_SHORT}', ',', ' , '), '\\r\\n', '{_LONG}', '\\r\\n')"
+        f" else concat('{_SHORT}', '\\n', '{_LONG}_', c_mktsegment) end as text",
+    )
+    return postcodes.header_faults(texts)
