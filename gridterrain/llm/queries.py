@@ -163,3 +163,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
+
+
+@_query("op3_jaccard_join")
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridterrain.llm.jaccard import jaccard_classes
+
+    return jaccard_classes(_table(spark, sf_dir, "documents"))
