@@ -170,3 +170,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridterrain.llm.jaccard import jaccard_classes
 
     return jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
+@_query("op2_language")
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridterrain.llm.language import fit, is_held_out, label_languages
+
+    docs = _table(spark, sf_dir, "documents")
+    return label_languages(docs.select("doc_id", "text"), fit(docs)).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
