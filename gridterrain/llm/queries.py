@@ -90,7 +90,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _tokenizer_path() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -100,7 +100,7 @@ def _tokenizer_path() -> str:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridterrain.llm.bpe import add_encoding
 
-    coded = add_encoding(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer_path(), decoded="decoded")
+    coded = add_encoding(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), decoded="decoded")
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
@@ -111,7 +111,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridterrain.llm.shards import read_shards, write_shards
     from gridterrain.scratch import scratch_path
 
-    manifest = write_shards(_table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), _tokenizer_path(), end_id=2)
+    manifest = write_shards(_table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), tokenizer_path(), end_id=2)
     return read_shards(manifest).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
