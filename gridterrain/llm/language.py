@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridterrain.llm.workers import slices, utf8
 
-STEPS, UNITS = 64, 8
+STEPS, UNITS = 64, 16
 SAMPLE_DOCS, SAMPLE_SEGMENTS = 600, 4
 EPOCHS, BATCH, RATE, SEED = 12, 256, 0.02, 5
 _PAD = 256
