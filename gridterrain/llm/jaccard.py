@@ -32,9 +32,10 @@ from gridterrain.operators.skew import join_unique
 from gridterrain.scratch import cut
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
-HASHES, BUCKET, DEPTH = 128, 256, 3
-# Estimated similarity from which sets are tied in a small bucket and to a pivot, and from which a set needs no other pivot.
-TIE, PIVOT_TIE, PIVOT_ENOUGH = 0.62, 0.5, 0.78
+HASHES, BUCKET, DEPTH = 128, 1024, 3
+# Estimated similarity from which sets are tied in a small bucket and to a pivot, and from which a set needs no other
+# pivot: distances obey the triangle inequality, so what is similar to such a set is itself near enough to be tied.
+TIE, PIVOT_TIE, PIVOT_ENOUGH = 0.62, 0.44, 0.74
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 400_000
 _NO_ID = 2**63 - 1
 _FACTORS = np.random.default_rng(71).integers(0, 2**63, HASHES, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,12 +71,12 @@ def _root_splits(runs: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     return roots[run], at
 
 
-def signature(grams: np.ndarray) -> np.ndarray:
-    """16 bits of the min-hash of each coordinate."""
+def min_hashes(grams: np.ndarray) -> np.ndarray:
+    """The 64-bit min-hash of each coordinate. Sets keep 16 bits of it; only the first split, of all sets, needs more."""
     least = np.full(HASHES, 2**64 - 1, np.uint64)
     for start in range(0, len(grams), 4096):
         np.minimum(least, (_FACTORS[:, None] * grams[None, start : start + 4096]).min(axis=1), out=least)
-    return (mix(least) >> np.uint64(48)).astype(np.uint16)
+    return mix(least)
 
 
 def _sketch(signatures: np.ndarray) -> np.ndarray:
@@ -107,10 +108,10 @@ def _signatures(docs: DataFrame, words: int, runs: int, threshold: float) -> Dat
                     grams = shingles(hashes[firsts[i - a] : firsts[i - a + 1]], words)
                     if not len(grams):
                         continue
-                    sig = signature(grams)
-                    paths = mix(mix(roots ^ (at.astype(np.uint64) << np.uint64(48))) + sig[at].astype(np.uint64))
+                    least = min_hashes(grams)
+                    paths = mix(mix(roots ^ (at.astype(np.uint64) << np.uint64(48))) + least[at])
                     f1, f2 = (int(f) for f in _fingerprint(grams))
-                    out.append({"id": int(ids[i]), "n": len(grams), "f1": f1, "f2": f2, "sig": blob(sig), "paths": np.unique(paths.view(np.int64))})
+                    out.append({"id": int(ids[i]), "n": len(grams), "f1": f1, "f2": f2, "sig": blob((least >> np.uint64(48)).astype(np.uint16)), "paths": np.unique(paths.view(np.int64))})
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -200,7 +201,7 @@ def _candidate_ties(sets: DataFrame, threshold: float) -> DataFrame:
     rows = sets.select("rep", F.explode("paths").alias("path"))
     ties = None
     while True:
-        counts = rows.groupBy("path").agg(F.count("*").alias("n_sets"), F.min(F.struct(F.xxhash64("path", "rep").alias("h"), "rep"))["rep"].alias("pivot")).filter("n_sets > 1")
+        counts = rows.groupBy("path").agg(F.count("*").alias("n_sets"), F.min("rep").alias("pivot")).filter("n_sets > 1")
         counts = cut(counts, "buckets")
         live = join_unique(rows, counts.filter(F.col("n_sets") <= BUCKET).select("path", "n_sets"), ["path"], "n_sets")
         small = live.join(signed, "rep").select("path", "rep", "sig").repartition("path").sortWithinPartitions("path", "rep")
