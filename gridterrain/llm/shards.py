@@ -11,6 +11,7 @@ no shards and no rows. One document is never split, so a shard is at least as la
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
@@ -29,7 +30,7 @@ from gridterrain.scratch import cut
 
 SHARD_TOKENS = 2 << 20
 # Runs kept with their ids in a worker, besides those of the texts at hand.
-CACHED_RUNS = 600_000
+CACHED_RUNS = 500_000
 _MANIFEST = "part int, seq int, path string, tokens long, docs long"
 
 
@@ -38,7 +39,13 @@ def open_file(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Library:
-    """The ``tokenizers`` library behind a table of runs between blanks that it has encoded before."""
+    """The ``tokenizers`` library behind tables of what it has encoded before.
+
+    No word of byte-level BPE crosses a blank or a line end that stands alone. So a text is put together
+    from its runs between blanks, and only new runs go to the library, many in one text: each begins with
+    its blank, and only there can a token begin with one. Other texts are encoded as a whole. Full
+    tables become the old ones, from which runs still in use are taken over.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor are the parallel part
@@ -52,56 +59,69 @@ class Library:
         self.special = [t["content"] for t in spec["added_tokens"]]
         split = spec["pre_tokenizer"] or {}
         self.by_runs = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        top = max(self.tokenizer.get_vocab().values())
+        self.kind = "<u2" if top < 1 << 16 else "<u4"
+        self.blank = np.zeros(top + 1, bool)
+        self.blank[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
+        self.line = b"".join(self._encode_all(["\n"]))
+        # Runs after a blank, and at the start of a text or line.
         self.runs: dict[str, bytes] = {}
-
-        lines = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = lines[0] if len(lines) == 1 else None
+        self.old: dict[str, bytes] = {}
+        self.starts: dict[str, bytes] = {}
 
     def _encode_all(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_runs(self, runs: list[str]) -> list[bytes]:
-        """Ids of runs without white space. They are encoded as lines of one text, as a call for each is dear."""
-        if self.line is None or not runs:
-            return self._encode_all(runs)
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(runs)], add_special_tokens=False)[0].ids, "<u4")
-        ends = [*np.flatnonzero(ids == self.line).tolist(), len(ids)]
-        packed = ids.tobytes()
-        return [packed[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], ends, strict=False)]
-
-    def _fill(self, missing: set[str]) -> set[str]:
-        """Encode runs and keep them, in batches; the awkward ones are returned instead."""
-        awkward = {r for r in missing if is_awkward(r)}
-        plain = [r for r in missing - awkward if len(r.split()) == 1 and r.isprintable()]
-        odd = list(missing.difference(awkward, plain))
-        for start in range(0, len(plain), 4096):
-            part = plain[start : start + 4096]
-            coded = self._encode_runs([" " + r for r in part])
-            self.runs.update(zip(part, coded if len(coded) == len(part) else self._encode_all([" " + r for r in part]), strict=True))
-        self.runs.update(zip(odd, self._encode_all([" " + r for r in odd]), strict=True))
-        return awkward
+        """Ids of printable runs, each with the blank before it."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(runs)], add_special_tokens=False)[0].ids, self.kind)
+        at = np.flatnonzero(self.blank[ids])
+        if len(at) != len(runs):
+            return self._encode_all([" " + r for r in runs])
+        packed, width = ids.tobytes(), ids.itemsize
+        edges = [*(at * width).tolist(), len(packed)]
+        return [packed[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def _learn(self, missing: set[str], starts: set[str]) -> None:
+        """Encode new runs and starts. Printable runs hold no white space; others are parted at line ends or stay unknown."""
+        plain = []
+        lines: dict[str, list[str]] = {}
+        for run in missing:
+            known = self.old.get(run)
+            if known is not None:
+                self.runs[run] = known
+            elif run.isprintable():
+                if run:
+                    plain.append(run)
+            else:
+                parts = run.split("\n")
+                if all(p and p.isprintable() for p in parts):
+                    lines[run] = parts
+        plain += {p[0] for p in lines.values() if p[0] not in self.runs}.difference(plain)
+        new = [s for s in starts.union(*(p[1:] for p in lines.values())) if s not in self.starts]
+        self.starts.update(zip(new, self._encode_all(new), strict=True))
+        for start in range(0, len(plain), 8192):
+            part = plain[start : start + 8192]
+            self.runs.update(zip(part, self._encode_runs(part), strict=True))
+        for run, parts in lines.items():
+            self.runs[run] = self.line.join([self.runs[parts[0]], *map(self.starts.__getitem__, parts[1:])])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text. No word of byte-level BPE crosses a blank that stands alone, so texts
-        are put together from runs between blanks; others are encoded as a whole."""
+        """Packed ids of each text, little-endian with the width of ``kind``."""
         out: list[bytes | None] = [None] * len(texts)
-        split = {i: t.split(" ") for i, t in enumerate(texts) if self.by_runs and not any(s in t for s in self.special)}
-        firsts = [runs[0] for runs in split.values()]
-        starts = dict(zip(split, self._encode_all(firsts), strict=True))
-        get = self.runs.get
-        later, missing = [], set()
-        for i, runs in split.items():
-            try:
-                if len(runs) == 1 or not is_awkward(runs[0]):
-                    out[i] = starts[i] + b"".join(map(get, runs[1:]))
-            except TypeError:  # a run that is not known yet
-                later.append(i)
-                missing.update(r for r in runs[1:] if r not in self.runs)
-        awkward = self._fill(missing) if missing else set()
-        for i in later:
-            runs = split[i][1:]
-            if not awkward or awkward.isdisjoint(runs):
-                out[i] = starts[i] + b"".join(map(self.runs.__getitem__, runs))
+        known = self.runs
+        split: list[tuple[int, str, list[str]]] = []
+        missing: set[str] = set()
+        for i, text in enumerate(texts):
+            if self.by_runs and not any(s in text for s in self.special):
+                start, *runs = text.split(" ")
+                if not runs or not is_awkward(start):
+                    split.append((i, start, runs))
+                    missing.update([r for r in runs if r not in known])
+        self._learn(missing, {start for _, start, _ in split})
+        for i, start, runs in split:
+            with contextlib.suppress(TypeError):  # a run that has no ids of its own
+                out[i] = self.starts[start] + b"".join(map(known.get, runs))
         whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self._encode_all([texts[i] for i in whole]), strict=True):
             out[i] = ids
@@ -109,7 +129,9 @@ class Library:
             if len(run) > CACHED_LENGTH:
                 self.runs.pop(run, None)
         if len(self.runs) > CACHED_RUNS:
-            self.runs.clear()
+            self.old, self.runs = self.runs, {}
+        if len(self.starts) > CACHED_RUNS // 4 or any(len(start) > CACHED_LENGTH for _, start, _ in split):
+            self.starts.clear()
         return out
 
 
@@ -122,7 +144,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, shard_tok
         library = worker_cache(f"library:{path}", lambda: Library(path))
         fs, root = open_file(folder)
         fs.create_dir(root, recursive=True)
-        part, end, seq = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes(), 0
+        part, end, seq = TaskContext.get().partitionId(), np.array([end_id], library.kind).tobytes(), 0
+        width = len(end)
         keys: list[int | None] = []
         ids: list[bytes] = []
         held = 0
@@ -130,9 +153,9 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, shard_tok
         def done() -> pa.RecordBatch:
             name = f"{part:06d}-{seq:04d}-{uuid.uuid4().hex}.wvmx"
             known = np.array([k is not None for k in keys], np.uint8)
-            tables = {"keys": np.array([k or 0 for k in keys], "<i8"), "known": known, "ends": np.cumsum([len(i) // 4 for i in ids]).astype("<i8")}
+            tables = {"keys": np.array([k or 0 for k in keys], "<i8"), "known": known, "ends": np.cumsum([len(i) // width for i in ids]).astype("<i8")}
             with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
-                out.write(build(np.frombuffer(b"".join(ids), "<u4"), tables))
+                out.write(build(np.frombuffer(b"".join(ids), library.kind), tables))
             row = {"part": part, "seq": seq, "path": f"{folder}/{name}", "tokens": held, "docs": len(keys)}
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("tokens", pa.int64()), ("docs", pa.int64())]))
 
@@ -143,7 +166,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, shard_tok
                 for k, i in zip(piece.column(0).to_pylist(), packed, strict=True):
                     keys.append(k)
                     ids.append(i + end)
-                    held += len(i) // 4 + 1
+                    held += len(i) // width + 1
                     if held >= shard_tokens:
                         yield done()
                         keys, ids, held, seq = [], [], 0, seq + 1
@@ -181,7 +204,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     columns = [pa.array(keys[a:b], pa.int64(), mask=known[a:b] == 0), pa.array(starts[a:b] + shard["start"], pa.int64()), ids]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "ids"])
 
-    dealt = with_starts(manifest).repartition(F.xxhash64("path"))
+    dealt = with_starts(manifest).repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("path"))
     return dealt.mapInArrow(read, "doc_id long, start long, ids binary")
 
 

@@ -189,7 +189,7 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     ranges = archives.select("path", "length", F.explode(starts).alias("start"))
-    ranges = ranges.repartition(F.xxhash64("path", "start"))
+    ranges = ranges.repartition(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("path", "start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("type", pa.string()), ("id", pa.int64()), ("uri", pa.string()), ("date", pa.string()), ("payload", pa.binary()), ("payload_length", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])

@@ -34,20 +34,19 @@ def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(values, return_inverse=True)
     seen = np.zeros(top + 1, bool)
     seen[values] = True
-    return np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int64) - 1)[values]
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.uint16 if seen.sum() <= 1 << 16 else np.uint32)[values]
 
 
 def build(values: np.ndarray, tables: dict[str, np.ndarray]) -> bytes:
     """The file: a JSON header with the place of each part, the distinct values, ``tables`` and the planes."""
     symbols, codes = _ranked(values)
     levels = max(1, int(len(symbols) - 1).bit_length()) if len(symbols) else 0
-    codes = codes.astype(np.uint16 if levels <= 16 else np.uint32)
+    codes = codes.astype(np.uint16 if levels <= 16 else np.uint32, copy=False)
     parts = {"symbols": symbols.astype("<u4")} | tables
     zeros = []
     for level in range(levels):
-        bits = (codes >> codes.dtype.type(levels - 1 - level)).astype(np.uint8) & 1
-        parts[f"bits{level}"], parts[f"ones{level}"] = _pack(bits)
-        ones = bits.view(bool)
+        ones = (codes & codes.dtype.type(1 << (levels - 1 - level))) != 0
+        parts[f"bits{level}"], parts[f"ones{level}"] = _pack(ones)
         low, high = codes[~ones], codes[ones]
         zeros.append(len(low))
         codes = np.concatenate([low, high])
