@@ -4,12 +4,13 @@ Vectors are split into slices of their components, and a slice of a block of row
 partial scores for each query. A score is the sum of its partial scores, as in the classic setting of
 the method, so its phases hold:
 
-1. Each node sends its best ``k`` partial scores and its least one. What is not known of a row is at least the
-   slice's least partial score; the k-th largest of these lower bounds is a safe total.
-2. A row that reaches that total must, above the least partial scores, reach an equal part of it in some slice.
-   These cutoffs go to all nodes with the queries, and each node sends every entry that reaches its cutoff.
-   Better lower bounds, and upper bounds from the cutoffs, then discard most rows.
-3. Missing partial scores of the rest are resolved from the vectors, and the best ``k`` are taken.
+1. Each node sends its best ``k`` partial scores. The best ``PROBES`` of a query and slice are asked for in the other
+   slices too; the k-th largest of these totals is safe.
+2. In a block, a row falls short of the sum of the greatest partial scores by some amount in each slice. If its
+   total is to reach the safe one, then in some slice it falls short by no more than an equal part of what
+   may be missing in all. These cutoffs go to the nodes, which send every entry that reaches its cutoff.
+3. The k-th largest complete total now bounds better what entries and cutoffs allow a row at most. Missing
+   partial scores of the rows that are left are asked for, and the best ``k`` are taken.
 
 Equal vectors form one class with its ``k + 1`` smallest ids, as no other member can be in a result, and equal
 queries are answered once. Queries meet rows in blocks; a task holds two blocks. Scores are integers
@@ -27,8 +28,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridterrain.operators.skew import join_unique
 from gridterrain.scratch import cut
 
-BLOCK_ROWS, QUERY_ROWS, SLICES = 4096, 1024, 2
-_LIST = "query long, slice int, least long, rows array<long>, parts array<long>"
+BLOCK_ROWS, QUERY_ROWS, SLICES, PROBES = 4096, 1024, 2, 64
+_ENTRY = "query long, block int, slice int, row long, part long"
+_NEVER = 2**63 - 1
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -38,10 +40,9 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.when(finite, F.transform(scaled, lambda x: F.floor(x)))
 
 
-def _pack(rows: DataFrame, block_rows: int, slices: int, size: int, extra: list[str]) -> DataFrame:
-    """One row per block and slice: ``ids``, ``extra`` columns, the number of rows and the matrix as bytes."""
-    total = rows.count()
-    blocks = max(1, -(-total // block_rows))
+def _pack(rows: DataFrame, block_rows: int, slices: int, size: int) -> DataFrame:
+    """One row per block and slice: ``ids`` and the matrix as bytes."""
+    blocks = max(1, -(-rows.count() // block_rows))
     bounds = [size * s // slices for s in range(slices + 1)]
 
     def pack(table: pa.Table) -> pa.Table:
@@ -49,22 +50,21 @@ def _pack(rows: DataFrame, block_rows: int, slices: int, size: int, extra: list[
         matrix = np.zeros((len(vectors), size), np.int64)
         for i, v in enumerate(vectors):
             matrix[i, : len(v)] = v
-        n = [table.column(c).to_pylist() for c in ["id", *extra]]
-        out = [{"block": table.column("block")[0].as_py(), "slice": s, "ids": n[0], "matrix": matrix[:, bounds[s] : bounds[s + 1]].tobytes()} | {c: x for c, x in zip(extra, n[1:], strict=True)} for s in range(slices)]
-        return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int32()), ("slice", pa.int32()), ("ids", pa.list_(pa.int64())), ("matrix", pa.binary()), *[(c, pa.list_(pa.int64())) for c in extra]]))
+        block, ids = table.column("block")[0].as_py(), table.column("id").to_pylist()
+        out = [{"block": block, "slice": s, "ids": ids, "matrix": matrix[:, bounds[s] : bounds[s + 1]].tobytes()} for s in range(slices)]
+        return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int32()), ("slice", pa.int32()), ("ids", pa.list_(pa.int64())), ("matrix", pa.binary())]))
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    schema = "block int, slice int, ids array<long>, matrix binary" + "".join(f", {c} array<long>" for c in extra)
-    return dealt.groupBy("block").applyInArrow(pack, schema)
+    return dealt.groupBy("block").applyInArrow(pack, "block int, slice int, ids array<long>, matrix binary")
 
 
-def _units(queries: DataFrame, rows: DataFrame, extra: list[str]) -> DataFrame:
+def _units(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """Every block of queries with every block of rows, slice by slice, dealt out evenly."""
     n_queries, n_rows = (x.agg(F.max("block")).first()[0] + 1 for x in (queries, rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.col("block").alias("qb"), "slice", F.col("ids").alias("qi"), F.col("matrix").alias("qm"), *extra, every(n_rows).alias("rb"))
-    right = rows.select(F.col("block").alias("rb"), "slice", F.col("ids").alias("ri"), F.col("matrix").alias("rm"), every(n_queries).alias("qb"))
-    return left.join(right, ["qb", "rb", "slice"])
+    left = queries.select(F.col("block").alias("qb"), "slice", F.col("ids").alias("qi"), F.col("matrix").alias("qm"), every(n_rows).alias("block"))
+    right = rows.select("block", "slice", F.col("ids").alias("ri"), F.col("matrix").alias("rm"), every(n_queries).alias("qb"))
+    return left.join(right, ["qb", "block", "slice"])
 
 
 def _products(unit: dict) -> np.ndarray:
@@ -76,39 +76,74 @@ def _products(unit: dict) -> np.ndarray:
     return (q.astype(object) @ r.astype(object).T).astype(np.int64)
 
 
-def _lists(chosen) -> callable:
-    """A function over units that gives, for each query, the entries that ``chosen(parts, unit, i)`` selects."""
+def _entries(chosen):
+    """A function over units that gives the entries whose query and row numbers ``chosen(parts, unit)`` selects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("query", pa.int64()), ("slice", pa.int32()), ("least", pa.int64()), ("rows", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64()))])
         for batch in batches:
             for at in range(batch.num_rows):
                 unit = batch.slice(at, 1).to_pylist()[0]
-                parts, ids = _products(unit), np.array(unit["ri"], np.int64)
-                for start in range(0, len(parts), 256):
-                    out = []
-                    for i in range(start, min(start + 256, len(parts))):
-                        kept = chosen(parts[i], unit, i)
-                        if len(kept):
-                            out.append({"query": unit["qi"][i], "slice": unit["slice"], "least": int(parts[i].min()), "rows": ids[kept], "parts": parts[i][kept]})
-                    if out:
-                        yield pa.RecordBatch.from_pylist(out, schema=schema)
+                parts = _products(unit)
+                q, r = chosen(parts, unit)
+                qi, ri = np.array(unit["qi"], np.int64), np.array(unit["ri"], np.int64)
+                for a in range(0, len(q), 1 << 17):
+                    i, j = q[a : a + (1 << 17)], r[a : a + (1 << 17)]
+                    place = [pa.array(np.full(len(i), unit[c], np.int32)) for c in ("block", "slice")]
+                    yield pa.RecordBatch.from_arrays([pa.array(qi[i]), *place, pa.array(ri[j]), pa.array(parts[i, j])], names=["query", "block", "slice", "row", "part"])
 
     return run
 
 
-def _best(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
+def _best_parts(kept: int):
+    def chosen(parts, unit):
+        if parts.shape[1] <= kept:
+            return tuple(x.ravel() for x in np.indices(parts.shape))
+        return np.repeat(np.arange(len(parts)), kept), np.argpartition(-parts, kept - 1, axis=1)[:, :kept].ravel()
+
+    return chosen
+
+
+def _reaching(parts, unit):
+    """Entries that reach their query's cutoff; a query without one asks for nothing here."""
+    cuts = {c["query"]: c["cut"] for c in unit["told"]}
+    return np.nonzero(parts >= np.array([cuts.get(q, _NEVER) for q in unit["qi"]], np.int64)[:, None])
 
 
-def _total(rows: DataFrame, slices: int, instead: list[Column]) -> Column:
-    return sum((F.coalesce(F.col(f"p{s}"), instead[s]) for s in range(1, slices)), F.coalesce(F.col("p0"), instead[0]))
+def _wanted(parts, unit):
+    q, r = ({x: i for i, x in enumerate(unit[c])} for c in ("qi", "ri"))
+    return np.array([q[w["query"]] for w in unit["told"]], np.int64), np.array([r[w["row"]] for w in unit["told"]], np.int64)
+
+
+def _tell(units: DataFrame, queries: DataFrame, messages: DataFrame, content: list[str], chosen) -> DataFrame:
+    """Entries of the units that get messages ``(query, block, slice, ...)``; each gets its own, at most one for each entry."""
+    of = queries.filter("slice = 0").select(F.explode("ids").alias("query"), F.col("block").alias("qb"))
+    told = messages.join(of, "query").groupBy("qb", "block", "slice").agg(F.collect_list(F.struct("query", *content)).alias("told"))
+    return units.join(told, ["qb", "block", "slice"]).mapInArrow(_entries(chosen), _ENTRY)
+
+
+def _best(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
 
 
 def _by_row(entries: DataFrame, slices: int) -> DataFrame:
     """Known partial scores ``p0, p1, ...`` of each query and row."""
-    flat = entries.select("query", "slice", F.explode(F.arrays_zip("rows", "parts")).alias("e")).select("query", "slice", F.col("e.rows").alias("row"), F.col("e.parts").alias("part"))
-    return flat.groupBy("query", "row").agg(*[F.max(F.when(F.col("slice") == s, F.col("part"))).alias(f"p{s}") for s in range(slices)])
+    return entries.groupBy("query", "block", "row").agg(*[F.max(F.when(F.col("slice") == s, F.col("part"))).alias(f"p{s}") for s in range(slices)])
+
+
+def _sum(columns: list[Column]) -> Column:
+    return sum(columns[1:], columns[0])
+
+
+def _missing(rows: DataFrame, slices: int) -> DataFrame:
+    """``(query, block, row, slice)`` of the partial scores that are not known."""
+    gaps = F.array(*[F.when(F.col(f"p{s}").isNull(), F.lit(s)) for s in range(slices)])
+    return rows.select("query", "block", "row", F.explode(F.array_compact(gaps)).alias("slice"))
+
+
+def _kth(rows: DataFrame, k: int) -> DataFrame:
+    """``(query, bar)``: the k-th largest total of each query that has as many."""
+    best = _best(rows, ["query"], [F.col("score").desc(), F.col("row")], k)
+    return best.groupBy("query").agg(F.min("score").alias("bar"), F.count("*").alias("n")).filter(F.col("n") >= k).drop("n")
 
 
 def top_inner_products(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding", slices: int = SLICES, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -132,44 +167,35 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int, key: str =
     if asking.isEmpty():
         return vectors.sparkSession.createDataFrame([], result)
     slices = max(1, min(slices, size or 1))
-    packed = cut(_pack(classes.select(F.col("class").alias("id"), "v"), block_rows, slices, size or 0, []), "blocks")
-    asked = cut(_pack(asking.select(F.col("class").alias("id"), "v"), query_rows, slices, size or 0, []), "queries")
-
-    def phase1(parts, unit, i):
-        return np.argpartition(-parts, kept - 1)[:kept] if len(parts) > kept else np.arange(len(parts))
-
-    lists = cut(_units(asked, packed, []).mapInArrow(_lists(phase1), _LIST), "phase1")
-    least = lists.groupBy("query").agg(*[F.min(F.when(F.col("slice") == s, F.col("least"))).alias(f"least{s}") for s in range(slices)])
-    leasts = [F.col(f"least{s}") for s in range(slices)]
-    known = _by_row(lists, slices).join(least, "query").withColumn("low", _total(lists, slices, leasts))
-    safe = _best(known, ["query"], [F.col("low").desc(), F.col("row")], kept).groupBy("query").agg(F.min("low").alias("safe"), F.count("*").alias("n"))
-    spare = F.expr(f"(safe - {' - '.join(f'least{s}' for s in range(slices))}) div {slices}")
-    cuts = least.join(safe, "query").select("query", *leasts, *[F.when(F.col("n") >= kept, leasts[s] + spare).otherwise(leasts[s]).alias(f"cut{s}") for s in range(slices)])
-    cuts = cut(cuts, "cutoffs")
-
-    extra = [f"cut{s}" for s in range(slices)]
-    informed = asking.select(F.col("class").alias("id"), "v").join(cuts.withColumnRenamed("query", "id"), "id").select("id", "v", *extra)
-    asked2 = cut(_pack(informed, query_rows, slices, size or 0, extra), "queries")
-
-    def phase2(parts, unit, i):
-        return np.flatnonzero(parts >= unit[f"cut{unit['slice']}"][i])
-
-    entries = _units(asked2, packed, extra).mapInArrow(_lists(phase2), _LIST)
-    known = _by_row(entries, slices).join(cuts, "query")
-    known = known.withColumn("low", _total(known, slices, leasts)).withColumn("high", _total(known, slices, [F.col(f"cut{s}") - 1 for s in range(slices)]))
-    known = cut(known, "phase2")
-    bar = _best(known.select("query", "row", "low"), ["query"], [F.col("low").desc(), F.col("row")], kept).groupBy("query").agg(F.min("low").alias("bar"), F.count("*").alias("n"))
-    open_rows = known.join(bar, "query").filter((F.col("n") < kept) | (F.col("high") >= F.col("bar")))
-
-    whole = F.lit(True)
-    for s in range(slices):
-        whole = whole & F.col(f"p{s}").isNotNull()
-    sums = _total(open_rows, slices, [F.lit(None).cast("long")] * slices)
-    done = open_rows.filter(whole).select("query", "row", sums.alias("score"))
-    by_class = lambda name: classes.select(F.col("class").alias(name), F.col("v").alias(f"{name}_v"))
-    missing = open_rows.filter(~whole).select("query", "row").join(by_class("row"), "row").join(by_class("query"), "query")
-    dot = F.aggregate(F.zip_with("query_v", "row_v", lambda a, b: F.coalesce(a * b, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda t, x: t + x)
-    scored = done.unionByName(missing.select("query", "row", dot.alias("score")))
+    packed = cut(_pack(classes.select(F.col("class").alias("id"), "v"), block_rows, slices, size or 0), "blocks")
+    asked = cut(_pack(asking.select(F.col("class").alias("id"), "v"), query_rows, slices, size or 0), "queries")
+    units = _units(asked, packed)
+    parts = [F.col(f"p{s}") for s in range(slices)]
+
+    lists = cut(units.mapInArrow(_entries(_best_parts(kept)), _ENTRY), "phase1")
+    probes = _by_row(_best(lists, ["query", "slice"], [F.col("part").desc(), F.col("row")], max(PROBES, kept)), slices)
+    probes = cut(probes, "probes")
+    asks = _tell(units, asked, _missing(probes, slices), ["row"], _wanted)
+    flat = F.explode(F.array(*[F.struct(F.lit(s).alias("slice"), parts[s].alias("part")) for s in range(slices)])).alias("e")
+    known = lambda rows: rows.select("query", "block", "row", flat).select("query", "block", F.col("e.slice").alias("slice"), "row", F.col("e.part").alias("part")).filter("part IS NOT NULL")
+    safe = _kth(_by_row(known(probes).unionByName(asks), slices).select("query", "row", _sum(parts).alias("score")), kept)
+
+    tops = lists.groupBy("query", "block").agg(*[F.max(F.when(F.col("slice") == s, F.col("part"))).alias(f"top{s}") for s in range(slices)])
+    spare = F.expr(f"({' + '.join(f'top{s}' for s in range(slices))} - bar)")
+    each = F.expr(f"({' + '.join(f'top{s}' for s in range(slices))} - bar) div {slices}")
+    cuts = tops.join(safe, "query", "left").filter(F.col("bar").isNull() | (spare >= 0))
+    cuts = cut(cuts.select("query", "block", "bar", *[F.when(F.col("bar").isNull(), F.lit(-_NEVER)).otherwise(F.col(f"top{s}") - each).alias(f"cut{s}") for s in range(slices)]), "cutoffs")
+    told = cuts.select("query", "block", F.posexplode(F.array(*[F.col(f"cut{s}") for s in range(slices)])).alias("slice", "cut"))
+    found = cut(_by_row(_tell(units, asked, told, ["cut"], _reaching), slices), "phase2")
+
+    whole = _sum(parts).isNotNull()
+    complete = found.filter(whole).select("query", "row", _sum(parts).alias("score"))
+    bars = _kth(complete, kept).withColumnRenamed("bar", "better")
+    most = _sum([F.coalesce(parts[s], F.col(f"cut{s}") - 1) for s in range(slices)])
+    left = found.filter(~whole).join(cuts, ["query", "block"]).join(bars, "query", "left")
+    left = cut(left.filter(F.col("bar").isNull() | (most >= F.greatest("bar", "better"))).select("query", "block", "row", *parts), "open")
+    resolved = _by_row(known(left).unionByName(_tell(units, asked, _missing(left, slices), ["row"], _wanted)), slices)
+    scored = complete.unionByName(resolved.select("query", "row", _sum(parts).alias("score")))
 
     best = _best(scored, ["query"], [F.col("score").desc(), F.col("row")], kept).join(classes.select(F.col("class").alias("row"), "members"), "row")
     hits = best.select("query", "score", F.explode("members").alias("id")).groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("below"), "id"))), 1, kept).alias("hits"))
