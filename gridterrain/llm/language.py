@@ -214,7 +214,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     segment = lambda i: F.substring(F.col(text), (F.pmod(F.xxhash64(F.col(key), F.lit(i)), length + 1) + 1).cast("int"), F.lit(STEPS))
     known = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).rlike(r"\p{L}") & ~is_held_out(F.col(key)))
     drawn = known.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.lit("sample")).alias("draw"), F.array(*[segment(i) for i in range(SAMPLE_SEGMENTS)]).alias("segments"))
-    best = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "segments"))).filter(F.col("n") <= sample_docs)
+    # Tasks send their best; first each of 64 parts of a language is cut down, so that the last step is small for any input.
+    number = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("draw", "segments"))
+    parts = drawn.withColumn("n", number("lang", F.pmod("draw", F.lit(64)))).filter(F.col("n") <= sample_docs)
+    best = parts.withColumn("n", number("lang")).filter(F.col("n") <= sample_docs)
     rows = sorted((r["lang"], r["n"], s) for r in best.select("lang", "n", "segments").collect() for s in r["segments"])
     return train([s.encode() for _, _, s in rows], [name for name, _, _ in rows]) if rows else None
 

@@ -60,8 +60,10 @@ def mix_sources(docs: DataFrame, weights: DataFrame, total: float | None = None,
 
     ``weights`` has one ``(source, weight)`` row for each source to keep; others get no copies. ``total`` is the
     expected number of rows (default: as many as in ``docs``). Rows with the same id and source
-    get the same count. An empty table stays empty. Only two numbers reach the driver.
+    get the same count. An empty table stays empty. Only two numbers reach the driver. Columns of the two
+    new names are replaced.
     """
+    docs = docs.drop("copy", "shuffle_key")
     counts = source_counts(docs, source)
     known = counts.join(weights, counts["source"].eqNullSafe(weights["source"])).select(counts["source"].alias("s"), "n_docs", F.col("weight").cast("double"))
     known = cut(known, "weights")

@@ -261,6 +261,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text:
     added = ["n_words", "n_removed", "removed"]
     kept = [c for c in docs.columns if c not in added]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+    names, numbers = kept, {c: f"c{i}" for i, c in enumerate(kept)}  # no name of the input can meet one of ours
+    docs, kept, key, text = docs.toDF(*numbers.values()), list(numbers.values()), numbers[key], numbers[text]
     placed, repeats, _ = find_repeats(docs, key, text, size)
     span = "array<struct<start: bigint, end: bigint>>"
     empty = F.array().cast(span)
@@ -291,7 +293,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text:
         columns = [pa.array(out, pa.string()) if c == text else texts.column(c).combine_chunks() for c in kept]
         return pa.Table.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, spans)], names=[*kept, *added])
 
-    return placed.groupBy("part").cogroup(repeats.groupBy("part")).applyInArrow(apply, schema)
+    return placed.groupBy("part").cogroup(repeats.groupBy("part")).applyInArrow(apply, schema).toDF(*names, *added)
 
 
 def longest_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
