@@ -178,7 +178,7 @@ def _(spark, sf):
     path = scratch.scratch_path(spark, "table")
     df = fixtures.postcodes(spark, sf)
     tables.save_table(df, path)
-    return tables.load_table(spark, path, df.schema.simpleString())
+    return tables.load_table(spark, path, df.schema)
 
 
 @query("s12_export_csv", sql("scanned", f"SELECT {_SCANNED}, row_id FROM scanned WHERE \"Postcode_area\" = 'NG'"))

@@ -13,14 +13,15 @@ PARTS = {
          CASE WHEN quality NOT IN (60, 90) AND row_id % 3 <> 0 THEN 'C' || (row_id % 27)::VARCHAR END AS "Admin_county_code",
          CASE WHEN quality NOT IN (60, 90) THEN 'D' || (c % 40)::VARCHAR END AS "Admin_district_code",
          CASE WHEN quality NOT IN (60, 90) THEN 'W' || (c % 64)::VARCHAR END AS "Admin_ward_code"
-  FROM (SELECT *, CASE WHEN d <= 5 THEN d::VARCHAR WHEN d <= 7 THEN d::VARCHAR || '0' ELSE d::VARCHAR || 'W' END AS dtext
-        FROM (SELECT o_orderkey AS row_id, o_custkey AS c, (o_orderkey // 10) % 9 + 1 AS d,
+  FROM (SELECT *, CASE WHEN d <= 5 THEN d::VARCHAR || CASE WHEN q = 0 THEN '' ELSE q::VARCHAR END WHEN d <= 7 THEN d::VARCHAR || q::VARCHAR
+            ELSE d::VARCHAR || CASE WHEN q = 0 THEN 'W' ELSE chr((64 + q)::INT) END END AS dtext
+        FROM (SELECT o_orderkey AS row_id, o_custkey AS c, (o_orderkey // 10) % 9 + 1 AS d, (o_orderkey // 608400) % 10 AS q,
                 (['NG','TQ','AB','EH','CF','SW','E','B','IV','NE'])[(o_orderkey % 10 + 1)::INT] AS area,
                 CASE WHEN o_orderkey % 50 = 0 THEN 90 WHEN o_orderkey % 49 = 0 THEN 60 WHEN o_orderkey % 17 = 0 THEN 50 ELSE 10 END AS quality
               FROM orders))""",
     "areas": """
-  SELECT (['NG','TQ','AB','EH','CF','SW','E','B','IV','NE','ZE','HS'])[n_nationkey + 1] AS "Postcode Area", n_name AS "Post Town"
-  FROM nation WHERE n_nationkey < 12""",
+  SELECT (['NG','TQ','AB','EH','CF','SW','E','B','IV','NE','ZE','HS','KW','PH','DD','FK','LL','SY','TR','PL','EX','TA','BA','GL','HR'])[n_nationkey + 1] AS "Postcode Area", n_name AS "Post Town"
+  FROM nation""",
     "countries": """
   SELECT * FROM (VALUES ('E92000001','England'), ('S92000003','Scotland'), ('W92000004','Wales'), ('N92000002','N. Ireland'))
     AS t("Country Code", "Country Name")""",

@@ -256,14 +256,13 @@ def _(spark, sf):
     "j9_around_rows",
     sql(
         "scanned",
-        """SELECT c.centre_id, s.row_id FROM centres c JOIN scanned s ON s."Eastings" BETWEEN ce - 5000 AND ce + 5000
-             AND s."Northings" BETWEEN cn - 5000 AND cn + 5000 WHERE ce <> 0 AND s."Eastings" <> 0""",
+        """SELECT ce AS centre_e, cn AS centre_n, count(DISTINCT c.centre_id) AS centres, s."Eastings", s."Northings", count(DISTINCT s.row_id) AS points
+           FROM centres c JOIN scanned s ON s."Eastings" BETWEEN ce - 5000 AND ce + 5000 AND s."Northings" BETWEEN cn - 5000 AND cn + 5000 GROUP BY ALL""",
         centres=_CENTRES,
     ),
 )
 def _(spark, sf):
-    table = fixtures.postcodes(spark, sf).select("row_id", "Eastings", "Northings")
-    return spatial.around_rows(table, _centres(spark, sf)).select("centre_id", "row_id")
+    return spatial.around_rows(fixtures.postcodes(spark, sf), _centres(spark, sf))
 
 
 # Reports.

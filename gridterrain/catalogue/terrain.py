@@ -8,12 +8,11 @@ from gridterrain import fixtures
 from gridterrain.catalogue import common
 from gridterrain.catalogue.oracle import floor_div, ramp, sql
 from gridterrain.catalogue.registry import query
-from gridterrain.functions.colour import LAND_RAMPS, SCHEMES, WATER, land_colour, ramp_factors, water_colour
+from gridterrain.functions.colour import LAND_RAMPS, NUMERIC, SCHEMES, WATER, land_colour, ramp_factors, water_colour
 from gridterrain.functions.numeric import same_altitude
 from gridterrain.operators import altitudes, flat, terrain
 from gridterrain.plans import terrain_map
 from gridterrain.schemas import NO_ALTITUDE
-from gridterrain.sources.dims import colour_schemes
 
 
 def _rgb(channels: list[str]) -> str:
@@ -83,35 +82,29 @@ def _(spark, sf):
     return common.heights(spark, sf).select("k", same_altitude(F.col("alt"), other).alias("same"))
 
 
-_ASKED = "(['standard','trial','greyscale','red','blue','green','cyan','yellow','magenta','plaid'])[(k % 10 + 1)::INT]"
+_SCHEMES = [*LAND_RAMPS, NUMERIC, "plaid"]
+_ASKED = "([" + ", ".join(f"'{s}'" for s in _SCHEMES) + f"])[(k % {len(_SCHEMES)} + 1)::INT]"
+_USED = "CASE WHEN asked = 'plaid' THEN 'standard' ELSE asked END"
+
+
+def _by_scheme(channel: int, water: bool) -> str:
+    cases = [f"WHEN '{s}' THEN {WATER[s][channel] if water else ramp(LAND_RAMPS[s], 'alt')[channel]}" for s in LAND_RAMPS]
+    return f"(CASE {_USED} {' '.join(cases)} ELSE {_NUMERIC[channel]} END)::INT"
 
 
 @query(
     "s16_colour_schemes",
     sql(
         "heights",
-        f"""SELECT k, asked, CASE WHEN asked = 'plaid' THEN 'standard' ELSE asked END AS scheme, CASE CASE WHEN asked = 'plaid' THEN 'standard' ELSE asked END
-              {' '.join(f"WHEN '{s}' THEN {ramp(LAND_RAMPS[s], 'alt')[0]}" for s in LAND_RAMPS)} END AS r,
-              CASE asked {' '.join(f"WHEN '{s}' THEN {WATER[s][0]}" for s in LAND_RAMPS)} ELSE 204 END::INT AS water_r
-            FROM (SELECT k, alt, {_ASKED} AS asked FROM heights)""",
+        f"SELECT k, asked, {_USED} AS scheme, " + ", ".join(f"{_by_scheme(i, False)} AS {n}, {_by_scheme(i, True)} AS water_{n}" for i, n in enumerate("rgb"))
+        + f" FROM (SELECT k, alt, {_ASKED} AS asked FROM heights)",
     ),
 )
 def _(spark, sf):
-    """Scheme as a column: unknown names fall back, then each row meets its ramp segment."""
-    segments = colour_schemes(spark).filter("altitude is not null").withColumnRenamed("scheme", "_scheme")
-    asked = common.heights(spark, sf).withColumn(
-        "asked", F.expr("get(array('standard','trial','greyscale','red','blue','green','cyan','yellow','magenta','plaid'), int(k % 10))")
-    )
-    resolved = asked.withColumn("scheme", F.when(F.col("asked").isin(list(LAND_RAMPS)), F.col("asked")).otherwise("standard"))
-    joined = resolved.join(
-        F.broadcast(segments),
-        (F.col("scheme") == F.col("_scheme")) & (F.col("alt") >= F.col("altitude")) & (F.col("alt") < F.col("next_altitude")),
-        "left",
-    )
-    water = F.expr("get(array(204,204,204,204,204,204,102,204,204,204), int(k % 10))")
-    share = (F.col("alt") - F.col("altitude")) / (F.col("next_altitude") - F.col("altitude"))
-    red = F.when(F.col("alt") == 1350, 255.0).when(F.col("_scheme").isNull(), 0.0).otherwise(F.col("r") - (F.col("r") - F.col("next_r")) * share)
-    return joined.select("k", "asked", "scheme", red.cast("int").alias("r"), F.coalesce("water_r", water).alias("water_r"))
+    """Scheme as a column: unknown names fall back, then each row meets its ramp segment and its water."""
+    names = F.array(*[F.lit(s) for s in _SCHEMES])
+    asked = common.heights(spark, sf).withColumn("asked", F.get(names, (F.col("k") % len(_SCHEMES)).cast("int")))
+    return altitudes.scheme_colours(asked, "asked", "alt").drop("alt")
 
 
 # Altitude statistics.

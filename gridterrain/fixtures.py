@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridterrain.schemas import NO_ALTITUDE
 
 AREAS = ["NG", "TQ", "AB", "EH", "CF", "SW", "E", "B", "IV", "NE"]
-UNUSED_AREAS = ["ZE", "HS"]
+UNUSED_AREAS = ["ZE", "HS", "KW", "PH", "DD", "FK", "LL", "SY", "TR", "PL", "EX", "TA", "BA", "GL", "HR"]
 TILE_SIDE = 50
 TERRAIN_WIDTH = 100
 
@@ -31,11 +31,11 @@ def scanned_postcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The postcode table as scanned from files, NHS columns included, plus ``row_id``."""
     base = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as row_id", "o_custkey as c", f"{_among(AREAS, 'o_orderkey % 10')} as Postcode_area",
-        "(o_orderkey div 10) % 9 + 1 as d",
+        "(o_orderkey div 10) % 9 + 1 as d", "(o_orderkey div 608400) % 10 as q",
         "case when o_orderkey % 50 = 0 then 90 when o_orderkey % 49 = 0 then 60 when o_orderkey % 17 = 0 then 50 else 10 end as Quality",
     )
     return base.selectExpr(
-        "concat(rpad(concat(Postcode_area, case when d <= 5 then string(d) when d <= 7 then concat(d, '0') else concat(d, 'W') end), 4, ' '),"
+        "concat(rpad(concat(Postcode_area, case when d <= 5 then concat(d, if(q = 0, '', string(q))) when d <= 7 then concat(d, q) else concat(d, if(q = 0, 'W', chr(64 + q))) end), 4, ' '),"
         " (row_id div 90) % 10, chr(65 + (row_id div 900) % 26), chr(65 + (row_id div 23400) % 26)) as Postcode",
         "Postcode_area", "Quality",
         "int(if(Quality = 90, 0, (row_id * 7919) % 700000)) as Eastings",
@@ -54,8 +54,8 @@ def postcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def area_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Post towns: the first twelve nations lend their names to ten used and two unused areas."""
-    return table(spark, sf_dir, "nation").filter("n_nationkey < 12").selectExpr(
+    """Post towns: the 25 nations lend their names to ten used and fifteen unused areas."""
+    return table(spark, sf_dir, "nation").selectExpr(
         f"{_among(AREAS + UNUSED_AREAS, 'n_nationkey')} as `Postcode Area`", "n_name as `Post Town`"
     )
 

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridterrain.functions.colour import hex_colour, land_colour, water_colour
+from gridterrain.functions.colour import LAND_RAMPS, NUMERIC, hex_colour, land_colour, water_colour
 from gridterrain.schemas import NO_ALTITUDE
+from gridterrain.sources.dims import colour_schemes
 
 
 def without_filler(cells: DataFrame) -> DataFrame:
@@ -90,3 +91,29 @@ def histogram_colours(bins: DataFrame, scheme: str, factors: tuple[Column, Colum
     land, water = land_colour(scheme, edge, factors), water_colour(scheme, edge)
     rgb = [F.when(edge >= 0, a).otherwise(b) for a, b in zip(land, water)]
     return bins.withColumn("hex", hex_colour(*rgb))
+
+
+def scheme_colours(rows: DataFrame, scheme: str, alt: str) -> DataFrame:
+    """Land ``r, g, b`` and ``water_r, water_g, water_b`` of rows that name their scheme in a column.
+
+    An unknown name is the standard scheme, which ``scheme`` then shows. Each row meets its segment of
+    the fixed table of schemes; the numeric scheme is a formula and its water is coloured like land.
+    """
+    table = colour_schemes(rows.sparkSession).withColumnRenamed("scheme", "_scheme")
+    segments = F.broadcast(table.filter("altitude IS NOT NULL").select("_scheme", "altitude", "next_altitude", *[F.col(c).alias(f"_{c}") for c in ("r", "g", "b", "next_r", "next_g", "next_b")]))
+    waters = F.broadcast(table.select(F.col("_scheme").alias("_water"), "water_r", "water_g", "water_b").distinct())
+    known = rows.withColumn("scheme", F.when(F.col(scheme).isin([*LAND_RAMPS, NUMERIC]), F.col(scheme)).otherwise("standard"))
+    a = F.col(alt)
+    inside = (F.col("scheme") == F.col("_scheme")) & (a >= F.col("altitude")) & ((a < F.col("next_altitude")) | F.col("next_altitude").isNull())
+    joined = known.join(segments, inside, "left").join(waters, F.col("scheme") == F.col("_water"))
+    share = (a - F.col("altitude")) / (F.col("next_altitude") - F.col("altitude"))
+    top = F.col("next_altitude").isNull() & (a == F.col("altitude"))
+    numbers = land_colour(NUMERIC, a)
+
+    def land(i: int, name: str) -> Column:
+        ramp = F.when(F.col("next_altitude").isNotNull(), F.col(f"_{name}") - (F.col(f"_{name}") - F.col(f"_next_{name}")) * share).when(top, (255.0, 0.0, 0.0)[i])
+        return F.when(F.col("scheme") == NUMERIC, numbers[i]).otherwise(F.coalesce(ramp, F.lit(0.0)).cast("int")).alias(name)
+
+    lands = [land(i, name) for i, name in enumerate("rgb")]
+    water = [F.when(F.col("scheme") == NUMERIC, n).otherwise(F.col(f"water_{c}")).alias(f"water_{c}") for n, c in zip(numbers, "rgb")]
+    return joined.select(*rows.columns, *(["scheme"] if "scheme" not in rows.columns else []), *lands, *water)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridterrain.operators.skew import join_unique
-from gridterrain.scratch import cut
+from gridterrain.scratch import materialise, release
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -32,15 +32,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of the edges ``(a, b)`` that is not its component's lowest.
 
     The rounds grow with the logarithm of the component size, not with its diameter. Each round's
-    edges are written once, which cuts the lineage and survives lost executors; the only values that
+    edges are written once, which cuts the lineage and survives lost executors, and those of the round
+    before are deleted; the only values that
     reach the driver are a count and a checksum. A hot node's edges are never gathered in one task.
     """
     low, high = F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")
-    current = cut(edges.select(high, low).filter("u <> v").distinct(), "stars")
+    current, path = materialise(edges.select(high, low).filter("u <> v").distinct(), "stars")
     mark = F.struct(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)))
     before = current.agg(mark).first()[0]
     while before[0] > 0:
-        current = cut(_small_star(_large_star(current)), "stars")
+        current, made = materialise(_small_star(_large_star(current)), "stars")
+        release(edges.sparkSession, path)
+        path = made
         after = current.agg(mark).first()[0]
         if after == before:
             break

@@ -79,9 +79,9 @@ def map_requests(requests: DataFrame) -> DataFrame:
 def classify_places(places: DataFrame, areas: DataFrame) -> DataFrame:
     """P10: ``place`` strings to ``place_type`` and ``place_value``, both blank on an error.
 
-    ``areas`` holds the known postcode areas, one row each; it stays tiny by the format of its codes.
+    ``areas`` holds the known postcode areas, one row each; the optimiser broadcasts it if its size allows.
     """
-    known = F.broadcast(areas.select(F.col("Postcode_area").alias("_area")))
+    known = areas.select(F.col("Postcode_area").alias("_area"))
     named = places.withColumn("_text", strip(F.col("place"))).withColumn("_parts", F.split("_text", ":"))
     text, parts = F.col("_text"), F.col("_parts")
     joined = named.join(known, F.upper(text) == F.col("_area"), "left").select(
@@ -122,7 +122,7 @@ def place_exists(requests: DataFrame, table: DataFrame, areas: DataFrame) -> Dat
     answers = wanted.join(found, F.col("_pc") == F.col("_found"), "left").select("_pc", "_n", F.col("_found").isNotNull().alias("exists"))
     codes = join_unique(by_code, answers, ["_pc"], "_n").select(*requests.columns, "exists")
 
-    known = F.broadcast(areas.select(F.col("Postcode_area").alias("_area")))
+    known = areas.select(F.col("Postcode_area").alias("_area"))
     others = requests.filter(kind != "pc").join(known, F.upper(strip(value)) == F.col("_area"), "left")
     exists = (
         F.when(kind == "pa", F.col("_area").isNotNull())

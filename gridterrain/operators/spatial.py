@@ -201,27 +201,23 @@ def around_counts(points: DataFrame, centres: DataFrame) -> DataFrame:
     return joined.select("centre_id", "points", "Min_E", "Max_E", "Min_N", "Max_N")
 
 
-# Side of the bins of the row-returning neighbourhood join, in metres.
-WIDE_BIN = 5_000
-
-
 def around_rows(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """The drawable rows around each centre, one row per centre and point in its box.
+    """Every place with points in the box of a centre place, with the row counts of both.
 
-    Both sides meet in 5 km bins, of which a box touches at most nine; the exact box test follows.
-    Rows without a location cannot be drawn and stay out, so they form no hot bin.
+    Columns: ``centre_e``, ``centre_n``, ``centres`` (rows at the centre), ``Eastings``, ``Northings``, ``points`` (rows at the
+    place). Both sides are reduced to distinct places first, unlocated rows at (0, 0) included, so any
+    number of rows at one place is one row here; a join on the place gives the rows back. Places
+    meet in 1 km bins, which hold at most 1 000 000 of them.
     """
     e, n = F.col("Eastings"), F.col("Northings")
     half = NEIGHBOURHOOD // 2
-
-    def bins(c: Column) -> Column:
-        return F.sequence(F.floor((c - half) / WIDE_BIN), F.floor((c + half) / WIDE_BIN))
-
-    boxes = located(centres).select("centre_id", e.alias("ce"), n.alias("cn")).withColumn(
-        "be", F.explode(bins(F.col("ce")))).withColumn("bn", F.explode(bins(F.col("cn"))))
-    binned = located(points).withColumn("be", F.floor(e / WIDE_BIN)).withColumn("bn", F.floor(n / WIDE_BIN))
-    inside = (F.abs(e - F.col("ce")) <= half) & (F.abs(n - F.col("cn")) <= half)
-    return binned.join(boxes, ["be", "bn"]).filter(inside).drop("be", "bn", "ce", "cn")
+    boxes = centres.groupBy(e.alias("centre_e"), n.alias("centre_n")).agg(F.count("*").alias("centres"))
+    boxes = boxes.withColumn("be", F.explode(_bins(F.col("centre_e") - half, F.col("centre_e") + half)))
+    boxes = boxes.withColumn("bn", F.explode(_bins(F.col("centre_n") - half, F.col("centre_n") + half)))
+    places = points.groupBy("Eastings", "Northings").agg(F.count("*").alias("points"))
+    places = places.withColumn("be", F.floor(e / BIN)).withColumn("bn", F.floor(n / BIN))
+    inside = (F.abs(e - F.col("centre_e")) <= half) & (F.abs(n - F.col("centre_n")) <= half)
+    return places.join(boxes, ["be", "bn"]).filter(inside).drop("be", "bn")
 
 
 @dataclass

@@ -7,7 +7,6 @@ nothing but a re-read.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +15,9 @@ _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a local one only for a local session."""
-    root = spark.conf.get(_CHECKPOINT_DIR, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_CHECKPOINT_DIR} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="gridterrain-")
-    spark.conf.set(_CHECKPOINT_DIR, root)
-    return root
+    """The shared folder for intermediate tables; below the warehouse where none is set."""
+    root = spark.conf.get(_CHECKPOINT_DIR, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -42,3 +35,9 @@ def materialise(df: DataFrame, label: str) -> tuple[DataFrame, str]:
 def cut(df: DataFrame, label: str) -> DataFrame:
     """``df`` with its lineage replaced by a written table."""
     return materialise(df, label)[0]
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,6 +32,14 @@ def _open(content: bytes) -> zipfile.ZipFile | None:
         return None
 
 
+def _read(opened: zipfile.ZipFile, info: zipfile.ZipInfo) -> str | None:
+    """Text of an entry; none if it is damaged, encrypted, packed in an unknown way or not UTF-8."""
+    try:
+        return opened.read(info).decode("utf-8")
+    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, UnicodeDecodeError):
+        return None
+
+
 def _strays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         opened = [_open(content) for content in batch["content"]]
@@ -47,14 +56,15 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             stray = _stray(opened.namelist())
             for info in opened.infolist():
                 if not info.is_dir():
-                    data = opened.read(info).decode("utf-8", errors="replace")
+                    data = _read(opened, info)
                     yield pd.DataFrame({"archive": [row.archive], "entry": [info.filename], "bad_entries": [stray], "text": [data]})
 
 
 def entry_texts(archives: DataFrame) -> DataFrame:
     """Whole text of every file in every readable archive, one row per entry.
 
-    ``bad_entries`` is the archive's count of entries outside the allowed folders.
+    ``bad_entries`` is the archive's count of entries outside the allowed folders. An entry that cannot
+    be read has a null text.
     """
     return archives.mapInPandas(_texts, "archive string, entry string, bad_entries bigint, text string")
 
@@ -64,6 +74,11 @@ def rejected_archives(archives: DataFrame) -> DataFrame:
     return archives.mapInPandas(_strays, "archive string, bad_entries bigint").filter("bad_entries > 0")
 
 
+def unreadable_entries(archives: DataFrame) -> DataFrame:
+    """Entries of readable archives whose text cannot be read: ``(archive, entry)``."""
+    return entry_texts(archives).filter(F.col("text").isNull()).select("archive", "entry")
+
+
 def unpack_archives(archives: DataFrame) -> DataFrame:
     """Entries of the archives that pass; one bad entry rejects its whole archive. One read, no shuffle."""
     return entry_texts(archives).filter("bad_entries = 0").select("archive", "entry", "text")

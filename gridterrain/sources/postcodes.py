@@ -23,8 +23,8 @@ def as_scanned(raw: DataFrame, path: Column) -> DataFrame:
 
 
 def scan_postcode_files(spark: SparkSession, folder: str) -> DataFrame:
-    """All files of the folder as one distributed scan."""
-    raw = spark.read.schema(RAW_POSTCODE).option("recursiveFileLookup", True).csv(folder)
+    """All ``*.csv`` files of the folder as one distributed scan; other files are left alone."""
+    raw = spark.read.schema(RAW_POSTCODE).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder)
     return as_scanned(raw, F.col("_metadata.file_path"))
 
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
+from pyspark.sql.types import StructType
 
 
 def save_table(df: DataFrame, path: str) -> None:
     """Store the table, clustered by area so that area filters skip row groups."""
-    df.write.mode("overwrite").parquet(path)
+    by = [c for c in ("Postcode_area", "Postcode") if c in df.columns]
+    (df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df).write.mode("overwrite").parquet(path)
 
 
-def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def load_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Read the table back; a missing one is an empty table."""
     try:
         return spark.read.parquet(path)

@@ -41,11 +41,11 @@ def tile_headers(tiles: DataFrame) -> DataFrame:
 
     def value(name: str) -> Column:
         hit = F.filter("_head", lambda h: h[0] == name)
-        return F.try_element_at(F.try_element_at(hit, F.lit(-1)), F.lit(2)).cast("bigint")
+        return F.try_element_at(F.try_element_at(hit, F.lit(-1)), F.lit(2)).try_cast("bigint")
 
     split = tiles.withColumn("_lines", _lines(F.col("text"))).withColumn("_head", headers)
     bad_form = F.exists(F.slice("_lines", 1, _HEAD), lambda line: _width(line) != 2)
-    bad_value = F.exists("_head", lambda h: ~h[1].rlike(_WHOLE))
+    bad_value = F.exists("_head", lambda h: ~h[1].rlike(_WHOLE) | h[1].try_cast("bigint").isNull())
     names = F.transform("_head", lambda h: h[0])
     lacking = reduce(lambda a, b: a | b, [~F.array_contains(names, n) for n in TILE_HEADER])
     shaped = (

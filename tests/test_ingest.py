@@ -116,3 +116,46 @@ def test_terrain_from_archives(spark, tmp_path):
     assert pixels[(2, 0)] == (0xCC, 0xE5, 0xFF) and len(pixels) == 24
     parts = result.statistics()
     assert parts["summary"].first().cells == 24
+
+
+def test_stray_files_are_left_alone(spark, tmp_path):
+    from gridterrain.sources.postcodes import scan_postcode_files
+
+    (tmp_path / "ng.csv").write_text('"NG1 1AA",10,1,2,"E92000001","","","","",""\n')
+    (tmp_path / "readme.txt").write_text("two\nlines\n")
+    assert [r.Postcode for r in scan_postcode_files(spark, str(tmp_path)).collect()] == ["NG1 1AA"]
+
+
+def test_damaged_entries_are_null_texts(spark):
+    import io
+    import zipfile
+
+    from gridterrain.sources import archives
+
+    def packed(data):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("XX00.asc", data)
+        return out.getvalue()
+
+    good, broken, foreign = packed(b"abcdef"), packed(b"abcdef").replace(b"abcdef", b"abcdeg"), packed(b"\xff\xfe")
+    table = spark.createDataFrame([(f"/d/xx0{i}_a.zip", c) for i, c in enumerate([good, broken, foreign])], "archive string, content binary")
+    assert [r.text for r in archives.entry_texts(table).orderBy("archive").collect()] == ["abcdef", None, None]
+    assert archives.unreadable_entries(table).count() == 2
+
+
+def test_overlong_header_numbers_are_faults(spark):
+    from gridterrain.sources.tiles import tile_headers
+
+    text = "ncols 99999999999999999999\nnrows 1\nxllcorner 0\nyllcorner 0\ncellsize 50\n1\n"
+    tiles = spark.createDataFrame([("t", text)], "tile string, text string")
+    assert tile_headers(tiles).select("fault").first().fault == "header value"
+
+
+def test_missing_table_is_empty(spark, tmp_path):
+    from gridterrain.sources.tables import load_table, save_table
+
+    df = spark.createDataFrame([("NG", "NG1 1AA", "x"), ("AB", "AB1 1AA", "y")], "Postcode_area string, Postcode string, `Post Town` string")
+    assert load_table(spark, str(tmp_path / "none"), df.schema).collect() == []
+    save_table(df, str(tmp_path / "t"))
+    assert load_table(spark, str(tmp_path / "t"), df.schema).count() == 2

@@ -1,6 +1,7 @@
 """Properties on random inputs, checked against plain Python."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -87,8 +88,9 @@ def test_around_counts_and_rows(spark):
         return abs(p[1] - q[1]) <= 5000 and abs(p[2] - q[2]) <= 5000
 
     assert got == {p[0]: sum(close(p, q) for q in places) for p in places}
-    pairs = {(r.centre_id, r.row_id) for r in spatial.around_rows(points, centres).collect()}
-    assert pairs == {(p[0], q[0]) for p in places for q in places if close(p, q) and p[1] and q[1]}
+    spots = Counter(p[1:] for p in places)
+    pairs = {(r.centre_e, r.centre_n, r.centres, r.Eastings, r.Northings, r.points) for r in spatial.around_rows(points, centres).collect()}
+    assert pairs == {(*p, spots[p], *q, spots[q]) for p in spots for q in spots if close((0, *p), (0, *q))}
 
 
 def test_random_rows_are_repeatable(spark):

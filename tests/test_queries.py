@@ -1,7 +1,4 @@
-"""Registered queries against their SQL in DuckDB, on the smallest tables.
-
-A cross-section runs by default; ALL_QUERIES=1 runs every query.
-"""
+"""Every registered query against its SQL in DuckDB, on the smallest tables."""
 
 import os
 
@@ -11,15 +8,7 @@ import pytest
 from gridterrain.catalogue import load
 
 QUERIES, ORACLES = load()
-CROSS_SECTION = [
-    "s1_scan_files", "s10_unpack_archives", "s12_export_csv", "s13_tile_archives", "s14_parse_tiles", "p1_normalise_postcode",
-    "p10_classify_places", "p14_square_reached", "p16_map_requests", "p20_land_ramp_standard", "p22_numeric_colour",
-    "j2_j3_j4_audit", "j8_square_rows", "j9_around_counts", "j9_around_rows", "a2_value_counts", "a13_numeric_profile",
-    "a14_category_profile", "a19_histogram_heights", "f11_breakdown_faults", "l3_quality_examples", "w4_row_numbers",
-    "q1_generate", "q6_whole_map", "q9_postcode_map", "q10_answer_places", "r3_hit_index", "r4_mosaic", "r6_grow_small_blocks",
-    "r7_next_to_marked", "q11_terrain_map",
-]
-NAMES = sorted(ORACLES) if os.environ.get("ALL_QUERIES") else CROSS_SECTION
+NAMES = sorted(ORACLES)
 
 
 @pytest.fixture(scope="module")
