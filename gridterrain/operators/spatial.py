@@ -44,9 +44,13 @@ class Box:
     def from_row(cls, one_row: DataFrame) -> "Box":
         """Box of a one-row frame ``(e0, n0, e1, n1)``.
 
-        The four numbers come back as constants, so that filters by the box reach the file scan.
+        The four numbers come back as constants, so that filters by the box reach the file scan. No row
+        at all raises; the extent of no points has nulls and holds nothing.
         """
-        return cls.of(*one_row.select("e0", "n0", "e1", "n1").first())
+        row = one_row.select("e0", "n0", "e1", "n1").first()
+        if row is None:
+            raise LookupError("there is no row to take a box from")
+        return cls.of(*row)
 
     def grown(self, metres: int) -> "Box":
         return Box(self.e0 - metres, self.n0 - metres, self.e1 + metres, self.n1 + metres)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridterrain.functions.colour import land_colour, water_colour
 from gridterrain.operators.place import square_reached
+from gridterrain.operators.skew import join_unique
 from gridterrain.schemas import NO_ALTITUDE
 from gridterrain.sources.tiles import placed_cells
 
@@ -31,17 +32,20 @@ def tile_statuses(wanted: DataFrame, headers: DataFrame) -> DataFrame:
     """``(request_id, east, north, tile, status, shape)`` of each wanted tile.
 
     ``headers`` has one row per tile with a file (S14), plus ``files``. The first parsed tile of a
-    request in (east, north) order sets the shape the others must have. Tile text stays out of this.
+    request in (east, north) order sets the shape the others must have. Tile text stays out of this,
+    off-grid tiles stay out of the join, and no request is gathered in one task.
     """
     parsed = (F.col("files") == 1) & F.col("fault").isNull()
     light = headers.select(
         "tile", "files", "fault", F.when(parsed, F.struct("cellsize", "ncols", "nrows")).alias("_shape")
     )
-    joined = wanted.join(light, "tile", "left")
-    in_order = Window.partitionBy("request_id").orderBy("east", "north").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
+    found = wanted.filter("tile IS NOT NULL").join(light, "tile", "left").select(*wanted.columns, "files", "fault", "_shape")
+    joined = found.unionByName(wanted.filter("tile IS NULL"), allowMissingColumns=True)
+    placed = F.struct("east", "north")
+    shapes = joined.groupBy("request_id").agg(
+        F.min_by(F.col("_shape"), F.when(F.col("_shape").isNotNull(), placed)).alias("shape"), F.count("*").alias("_tiles")
     )
-    shaped = joined.withColumn("shape", F.first("_shape", ignorenulls=True).over(in_order))
+    shaped = join_unique(joined, shapes, ["request_id"], "_tiles")
     status = (
         F.when(F.col("tile").isNull(), "offgrid")
         .when(F.col("files").isNull() | ((F.col("files") == 1) & F.col("fault").eqNullSafe("empty")), "sea")

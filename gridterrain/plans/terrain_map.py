@@ -37,9 +37,12 @@ def terrain_map(requests: DataFrame, tiles: DataFrame, scheme: str = "", block:
     """Q11: one request ``(request_id, name, dims)`` over tiles ``(tile, files, text)``.
 
     Tiles are parsed where they are read; the placed cells are written once, as later steps read
-    them several times.
+    them several times. Anything but one valid request raises, as maps of several would lie over each other.
     """
-    wanted = terrain.requested_tiles(map_requests(requests).filter("valid"))
+    valid = map_requests(requests).filter("valid")
+    if (found := valid.limit(2).count()) != 1:
+        raise ValueError(f"a terrain map takes one valid request, not {'several' if found else 'none'}")
+    wanted = terrain.requested_tiles(valid)
     return assemble(wanted, tile_headers(tiles), scheme, block)
 
 

@@ -143,3 +143,15 @@ def test_chained_tolerance(spark):
     values = [[1.0, 1.0, 1.0, 9, 9, 9], [1.0, 1.0, 1.0, 1.006, 1.012, 1.1], [1.0, 1.0, 1.0, 9.5, 9.6, -1000]]
     water = {(r.row, r.col): r.water for r in flat.grow_regions(grid(spark, values), block=2).collect()}
     assert water[(1, 3)] == 2 and water[(1, 4)] == 2 and water[(1, 5)] == 0 and water[(2, 5)] == 1
+
+
+def test_a_terrain_map_takes_one_request(spark):
+    import pytest
+
+    from gridterrain.plans.terrain_map import terrain_map
+
+    tiles = spark.createDataFrame([], "tile string, files long, text string")
+    for names in (["NY00", "NY55"], ["nowhere"]):
+        requests = spark.createDataFrame([(i, n, "1x1") for i, n in enumerate(names)], "request_id int, name string, dims string")
+        with pytest.raises(ValueError, match="one valid request"):
+            terrain_map(requests, tiles)
