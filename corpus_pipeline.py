@@ -31,10 +31,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones: that of the smallest id; of rows that repeat it, one."""
-    classes = jaccard_classes(docs).filter(F.col("class_id").eqNullSafe(F.col("doc_id")))
-    kept = classes.select(F.col("doc_id").alias("_kept")).distinct()
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return left.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    # One key for the join and for repeated rows, so that texts are shuffled once.
+    key = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("_key")
+    kept = jaccard_classes(docs).filter(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(key).distinct()
+    left = docs.select("*", key, F.xxhash64("text").alias("_text")).join(kept, "_key", "left_semi")
+    return left.dropDuplicates(["_key", "_text"]).select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
