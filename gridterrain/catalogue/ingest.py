@@ -210,9 +210,9 @@ def _zip_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 )
 def _(spark, sf):
     number = (F.col("north") * 2 + F.col("east")).cast("bigint")
-    tiles = fixtures.tile_texts(spark, sf).select(
-        number.alias("number"), F.lpad(F.conv(number.cast("string"), 10, 36), 4, "0").alias("code"), "text"
-    )
+    # A tile's name has four letters or digits; a number beyond them is refused, as names would collide.
+    code = F.when(number < 36**4, F.lpad(F.conv(number.cast("string"), 10, 36), 4, "0")).otherwise(F.raise_error(F.lit("too many tiles")))
+    tiles = fixtures.tile_texts(spark, sf).select(number.alias("number"), code.alias("code"), "text")
     zipped = scratch.cut(tiles.mapInPandas(_zip_tiles, _ZIPPED), "tile-archives")
     from gridterrain.sources.tiles import tile_headers
 

@@ -160,7 +160,7 @@ def _(spark, sf):
     whole = _whole(spark, sf)
     drawn = whole.canvas.scaled(whole.rows)
     used = drawn.groupBy("Postcode_area").agg(F.count("*").alias("n")).join(
-        F.broadcast(raster.area_colours(drawn)), F.col("Postcode_area") == F.col("area")
+        raster.area_colours(drawn), F.col("Postcode_area") == F.col("area")
     )
     per_group = used.groupBy("colour_group").agg(F.sum("n").alias("cases"))
     return area_palette(spark).join(per_group, "colour_group").select("r", "g", "b", "cases")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridterrain.functions.colour import SOFT_PALETTE, WHITE, pack, packed_palette, unpack
 from gridterrain.operators.rows import number_rows
@@ -12,33 +12,23 @@ from gridterrain.operators.spatial import Canvas, area_column, area_extents
 DISC_RADIUS = 30
 BLOCK = 3
 
-# Kinds of area with at most 26 + 26 * 26 values (one or two letters) or four values.
-FEW = ("pa", "cr")
-
 
 def area_colours(df: DataFrame, kind: str = "pa") -> DataFrame:
     """``(area, colour_group)``, groups dealt out by ascending west edge.
 
-    Postcode areas (one or two letters) and countries are few by their format, so one window ranks
-    them; other kinds can have as many values as rows and are numbered in parallel.
+    A kind can have as many values as rows, so all are numbered in parallel.
     """
     extents = area_extents(df, area_column(kind)).select("area", "Min_E")
-    if kind.lower() in FEW:
-        ranked = extents.withColumn("rank", F.row_number().over(Window.orderBy("Min_E", "area")) - 1)
-    else:
-        ranked = number_rows(extents, "Min_E", "area", name="rank")
+    ranked = number_rows(extents, "Min_E", "area", name="rank")
     return ranked.select("area", (F.col("rank") % len(SOFT_PALETTE)).cast("int").alias("colour_group"))
 
 
 def with_colours(df: DataFrame, colours: DataFrame, kind: str = "pa") -> DataFrame:
     """Packed colour of each row's area, grey when it has none.
 
-    Area and country colours are few by the format of their codes and are broadcast. Other kinds
-    are left to the optimiser, which broadcasts below its size threshold and else splits hot keys.
+    The join is left to the optimiser, which broadcasts colours below its size threshold and else splits hot keys.
     """
     named = colours.withColumnRenamed("area", "_area")
-    if kind.lower() in FEW:
-        named = F.broadcast(named)
     joined = df.join(named, df[f"`{area_column(kind)}`"] == named["_area"], "left")
     return joined.withColumn("rgb", packed_palette(F.col("colour_group"))).drop("_area", "colour_group")
 

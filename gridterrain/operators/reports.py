@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridterrain.schemas import CATEGORY_COLUMNS
+from gridterrain.scratch import cut
 
 # Columns counted value by value; the district is listed twice.
 COUNTED_COLUMNS = [
@@ -17,6 +18,7 @@ COUNTED_COLUMNS = [
     "Admin_district_code", "Admin_ward_code",
 ]
 QUALITY_EXAMPLES = 10
+QUARTILES = (25, 50, 75)
 
 
 def _c(name: str) -> Column:
@@ -100,32 +102,61 @@ def code_usage(df: DataFrame, code: str, name: str, first: int) -> DataFrame:
     return used.orderBy("code", "name").limit(first).withColumn("more", F.greatest(total - first, F.lit(0)).cast("bigint"))
 
 
+def _weighted_quartiles(counted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(column, q25, q50, q75)`` of values ``(column, value, w, _part)`` in ranges of ``_part``, interpolated.
+
+    A table with one row per column and range gives the weight before each range; within a range a running
+    sum does. The values at the two ranks around each quartile are picked out, six a column at most.
+    """
+    ranges = counted.groupBy("column", "_part").agg(F.sum("w").alias("_w"))
+    earlier = Window.partitionBy("column").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("column", "_part", F.coalesce(F.sum("_w").over(earlier), F.lit(0).cast("bigint")).alias("_offset"))
+    running = Window.partitionBy("column", "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = counted.withColumn("_upto", F.sum("w").over(running))
+    placed = upto.join(F.broadcast(offsets), ["column", "_part"]).join(F.broadcast(sizes), "column")
+    last = F.col("_offset") + F.col("_upto")
+    # Four times the rank of the quartile p per cent of the way from 0 to n - 1.
+    at = {p: p // 25 * (F.col("count") - 1) for p in QUARTILES}
+    low = {p: F.floor(at[p] / 4) for p in QUARTILES}
+    high = {p: F.ceil(at[p] / 4) for p in QUARTILES}
+    holds = lambda rank: (rank >= last - F.col("w")) & (rank < last)
+    picked = placed.groupBy("column").agg(
+        *[F.max(F.when(holds(rank[p]), F.col("value"))).alias(f"_{name}{p}") for name, rank in (("low", low), ("high", high)) for p in QUARTILES],
+        F.max("count").alias("count"),
+    )
+    part = {p: F.pmod(at[p], F.lit(4)) / 4 for p in QUARTILES}
+    return picked.select(
+        "column", *[(F.col(f"_low{p}") + (F.col(f"_high{p}") - F.col(f"_low{p}")) * part[p]).alias(f"q{p}") for p in QUARTILES]
+    )
+
+
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum of numeric columns.
 
-    Quartiles are exact. Rows shrink to one per distinct value first, so the percentile step sees a
-    value and its frequency instead of every row.
+    Quartiles are exact. Rows shrink to one per distinct value first; these are range-partitioned and
+    written once, and quartiles are found by rank, so no task holds all values of a column.
     """
     rows = F.array(*[F.struct(F.lit(c).alias("column"), _c(c).cast("double").alias("value")) for c in columns])
-    counted = (
+    counted = cut(
         df.select(F.inline(rows)).filter(F.col("value").isNotNull())
         .groupBy("column", "value").agg(F.count("*").alias("w"))
+        .repartitionByRange("column", "value").withColumn("_part", F.spark_partition_id()),
+        "values",
     )
     v, w = F.col("value"), F.col("w")
-    quartiles = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), w)
     sums = counted.groupBy("column").agg(
-        F.sum("w").alias("count"), F.sum(v * w).alias("_s"), F.min("value").alias("min"),
-        F.max("value").alias("max"), quartiles.alias("_q"),
+        F.sum("w").alias("count"), F.sum(v * w).alias("_s"), F.min("value").alias("min"), F.max("value").alias("max")
     )
     mean = sums.select(F.col("column").alias("_column"), (F.col("_s") / F.col("count")).alias("mean"))
     spread = (
         counted.join(mean, F.col("column") == F.col("_column"))
         .groupBy("column").agg(F.sum(w * (v - F.col("mean")) * (v - F.col("mean"))).alias("_d"))
     )
-    return sums.join(spread, "column").select(
+    quartiles = _weighted_quartiles(counted, sums.select("column", "count"))
+    return sums.join(spread, "column").join(quartiles, "column").select(
         "column", "count", (F.col("_s") / F.col("count")).alias("mean"),
         F.when(F.col("count") > 1, F.sqrt(F.col("_d") / (F.col("count") - 1))).alias("std"), "min",
-        *[F.get("_q", F.lit(i)).alias(f"q{p}") for i, p in enumerate((25, 50, 75))], "max",
+        *[f"q{p}" for p in QUARTILES], "max",
     )
 
 

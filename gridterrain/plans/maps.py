@@ -147,7 +147,7 @@ def answer_places(table: DataFrame, squares: DataFrame, requests: DataFrame, see
         .unionByName(table.agg(F.count("*").alias("rows")).select(F.lit("all").alias("_type"), F.lit("GB").alias("_value"), "rows"))
     )
     by_name = known.filter("place_type <> 'pc' or status <> 0").join(
-        F.broadcast(named), (F.col("place_type") == F.col("_type")) & (value == F.col("_value")), "left"
+        named, (F.col("place_type") == F.col("_type")) & (value == F.col("_value")), "left"
     )
     centres = known.filter("place_type = 'pc' and status = 0").withColumn("_pc", normalise_postcode(F.col("place_value")))
     wanted = centres.groupBy("_pc").agg(F.count("*").alias("_n"))
