@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ingest", "text", "places", "tables", "maps", "terrain"]
+MODULES = ["ingest", "faults", "text", "places", "tables", "maps", "terrain"]
 
 
 def load():

@@ -274,7 +274,7 @@ _FINISHED = ", ".join(
 )
 def _(spark, sf):
     loaded = generate.stored_lookups(common.lookups(spark, sf))
-    return generate.build_postcodes(fixtures.postcodes(spark, sf).drop("row_id"), loaded)[0]
+    return generate.build_postcodes(fixtures.postcodes(spark, sf).drop("row_id"), loaded).table
 
 
 @query(
@@ -284,9 +284,7 @@ def _(spark, sf):
 def _(spark, sf):
     loaded = generate.stored_lookups(common.lookups(spark, sf))
     table = fixtures.postcodes(spark, sf)
-    faults = quality.key_violations(table, "Postcode").select("cases").unionByName(
-        quality.breakdown_faults(quality.add_breakdown(table)).select(F.lit(1).cast("bigint").alias("cases"))
-    ).unionByName(sheets.lookup_faults(loaded).select("cases"))
+    faults = generate.build_postcodes(table, loaded).faults.select("cases").unionByName(sheets.lookup_faults(loaded).select("cases"))
     found = faults.agg(F.count("*")).scalar()
     return table.groupBy("Postcode_area").agg(F.count("*").alias("cases")).withColumn("faults", found)
 

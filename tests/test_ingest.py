@@ -50,8 +50,11 @@ def build(spark, folder):
 
 def test_build_from_archive(spark, tmp_path):
     write_zip(tmp_path / "codes.zip", {"Doc/Column_Headers.csv": HEADINGS, "Data/CSV/ng.csv": NG, "Data/CSV/e.csv": E_ROWS})
-    table, faults = build(spark, tmp_path)
+    table, faults, audit = build(spark, tmp_path)
     assert faults.collect() == []
+    found = {(r.check, r.code_column, r.code): r.cases for r in audit.collect()}
+    assert found[("unused", "Admin_district_code", "D8")] == 0 and found[("null, unlocated", "Admin_ward_code", None)] == 1
+    assert not [k for k in found if k[0] == "failed"]
     rows = {r.Postcode: r for r in table.collect()}
     assert [rows[p].row_id for p in ("E1  1AA", "NG1 1AA", "NG2 6AG")] == [0, 1, 2]
     east = rows["E1  1AA"]
@@ -65,7 +68,7 @@ def test_bad_archive_and_rows(spark, tmp_path):
     write_zip(tmp_path / "codes.zip", {"Data/CSV/ng.csv": NG + "ab1 0AA,10,1,1,E92000001,,,,,\n"})
     write_zip(tmp_path / "evil.zip", {"Data/CSV/e.csv": E_ROWS, "Data/../../x": "x"})
     (tmp_path / "broken.zip").write_bytes(b"not a zip")
-    table, faults = build(spark, tmp_path)
+    table, faults, _ = build(spark, tmp_path)
     assert sorted((r.check, r.subject.split("/")[-1], r.cases) for r in faults.collect()) == [
         ("archive", "broken.zip", 1), ("archive", "evil.zip", 1), ("heading", "missing", 1), ("pattern", "ab1 0AA", 1)]
     assert table.filter("Postcode_area = 'E'").count() == 0
