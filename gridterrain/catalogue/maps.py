@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridterrain import fixtures
+from gridterrain import fixtures, scratch
 from gridterrain.catalogue import common
 from gridterrain.catalogue.oracle import floor_div, sql
-from gridterrain.catalogue.registry import query
+from gridterrain.catalogue.registry import ORACLES, query
 from gridterrain.catalogue.text import DESCRIPTION
 from gridterrain.functions.colour import hex_colour, unpack
 from gridterrain.operators import raster, spatial
@@ -292,3 +292,27 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return _titled(maps.postcode_map(common.named(spark, sf), " ng31aa"))
+
+
+# One place of each kind, and ones that are not known.
+_DRAWN = [("all", "GB", "q6_whole_map"), ("pa", "ng", "q7_area_map"), ("ng", "tq", "q8_square_map"), ("pc", " ng31aa", "q9_postcode_map")]
+_NOT_DRAWN = [("pa", "zz", 2), ("ng", "qq", 2), ("ng", "ha", 2), ("pc", "zz99zz", 2), ("xx", "ng", 1)]
+
+
+@query(
+    "q10_draw_places",
+    " UNION ALL BY NAME ".join(
+        [f"SELECT '{t}' AS place_type, '{v}' AS place_value, 0 AS status, * FROM ({ORACLES[q]})" for t, v, q in _DRAWN]
+        + [f"SELECT '{t}' AS place_type, '{v}' AS place_value, {s} AS status" for t, v, s in _NOT_DRAWN]
+    ),
+)
+def _(spark, sf):
+    """The pixels of each place that is drawn; one row with the outcome for each other place."""
+    table, squares = scratch.cut(common.named(spark, sf), "named"), common.squares(spark)
+    out = None
+    for place_type, value in [p[:2] for p in _DRAWN + _NOT_DRAWN]:
+        status, a_map = maps.draw_place(table, squares, place_type, value)
+        pixels = _titled(a_map) if a_map else spark.range(1).drop("id")
+        part = pixels.select(F.lit(place_type).alias("place_type"), F.lit(value).alias("place_value"), F.lit(status).alias("status"), "*")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out

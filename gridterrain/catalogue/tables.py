@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from gridterrain import fixtures
 from gridterrain.catalogue import common
@@ -10,13 +12,20 @@ from gridterrain.catalogue.oracle import sql
 from gridterrain.catalogue.registry import query
 from gridterrain.operators import quality, reports, rows, spatial
 from gridterrain.plans.generate import stored_lookups
-from gridterrain.schemas import CATEGORY_COLUMNS, LOOKUPS, SCANNED_COLUMNS
+from gridterrain.schemas import CATEGORY_COLUMNS, DERIVED_COLUMNS, LOOKED_UP_COLUMNS, LOOKUPS, SCANNED_COLUMNS
+from gridterrain.scratch import cut
 
 _SCANNED = ", ".join(f'"{c}"' for c in SCANNED_COLUMNS)
 _NAMES = ["Post Town", "Country Name", "County Name", "District Name", "Ward Name"]
 _RANGE = 'min("Eastings") AS "Min_E", max("Eastings") AS "Max_E", min("Northings") AS "Min_N", max("Northings") AS "Max_N"'
 
 
+def _stacked(parts: dict[str, DataFrame]) -> DataFrame:
+    """Reports on top of each other with their name as ``part``; columns that a report lacks are null."""
+    named = [df.withColumn("part", F.lit(name)) for name, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
 @query("a10_key_check", sql("scanned", """SELECT key_value, count(*) AS cases FROM (
     SELECT CASE WHEN row_id % 97 = 0 THEN NULL WHEN row_id % 31 = 0 THEN 'DUP' || (row_id % 5)::VARCHAR ELSE "Postcode" END AS key_value FROM scanned)
   GROUP BY 1 HAVING count(*) > 1 OR key_value IS NULL"""))
@@ -442,29 +451,29 @@ def _(spark, sf):
     return reports.column_report(fixtures.postcodes(spark, sf))
 
 
+_FINISHED = [*SCANNED_COLUMNS, "row_id", *LOOKED_UP_COLUMNS, *DERIVED_COLUMNS]
+_FINISHED_COLUMNS = " UNION ALL ".join(
+    f"""SELECT {i}::INT AS position, '{c}' AS "column", '{_TYPES.get(c, "string")}' AS "type", count("{c}") AS non_null, count(*) AS "rows" FROM parted"""
+    for i, c in enumerate(_FINISHED)
+)
+
+
 @query(
     "q4_df_info",
     sql(
         "parted",
-        f"""SELECT 'category' AS part, "column", "count", "unique"::DOUBLE AS a, freq::DOUBLE AS b FROM ({_CATEGORIES})
-            UNION ALL SELECT 'numeric', "column", "count", mean, std FROM ({_PROFILE})
-            UNION ALL SELECT 'column', "column", non_null, position::DOUBLE, "rows"::DOUBLE FROM ({_COLUMNS})""",
+        f"""SELECT 'category' AS part, * FROM ({_CATEGORIES}) UNION ALL BY NAME SELECT 'numeric' AS part, * FROM ({_PROFILE})
+            UNION ALL BY NAME SELECT 'column' AS part, * FROM ({_FINISHED_COLUMNS})""",
     ),
 )
 def _(spark, sf):
-    """The table profile in one result; the three parts are the operators above."""
-    table = common.parted(spark, sf)
-    raw = fixtures.postcodes(spark, sf)
-    category = reports.category_profile(table).select(
-        F.lit("category").alias("part"), "column", "count", F.col("unique").cast("double").alias("a"), F.col("freq").cast("double").alias("b")
-    )
-    numeric = _rounded(reports.numeric_profile(raw, ["Eastings", "Northings"])).select(
-        F.lit("numeric").alias("part"), "column", "count", F.col("mean").alias("a"), F.col("std").alias("b")
-    )
-    columns = reports.column_report(raw).select(
-        F.lit("column").alias("part"), "column", F.col("non_null").alias("count"), F.col("position").cast("double").alias("a"), F.col("rows").cast("double").alias("b")
-    )
-    return category.unionByName(numeric).unionByName(columns)
+    """The whole profile of the finished table in one result: categories, numbers and columns."""
+    table = cut(common.parted(spark, sf).select(*[f"`{c}`" for c in _FINISHED]), "parted")
+    parts = {
+        "category": reports.category_profile(table), "numeric": _rounded(reports.numeric_profile(table, ["Eastings", "Northings"])),
+        "column": reports.column_report(table),
+    }
+    return _stacked(parts)
 
 
 @query(
@@ -476,27 +485,30 @@ def _(spark, sf):
     return reports.quality_examples(fixtures.postcodes(spark, sf))
 
 
-_LOCATION = """SELECT 'range' AS part, "Quality"::VARCHAR AS key, count(*) AS a, max("Eastings")::BIGINT AS b FROM parted GROUP BY 2
-  UNION ALL SELECT 'pattern', "Pattern", count(*), 0 FROM parted GROUP BY 2
-  UNION ALL SELECT 'outwards', "Postcode_area", count(DISTINCT "Outward"), 0 FROM parted GROUP BY 2
-  UNION ALL SELECT 'located', "Quality"::VARCHAR, count("District Name"), count("County Name") FROM parted GROUP BY 2"""
+_COUNTED = ["Postcode", "Postcode_area", "Eastings", "Northings", "County Name", "District Name", "Ward Name"]
+_LOCATION = f"""SELECT 'counts' AS part, "Quality", {", ".join(f'count("{c}") AS "with {c}"' for c in _COUNTED)} FROM parted GROUP BY 2
+  UNION ALL BY NAME SELECT 'ranges' AS part, "Quality", count(*) AS "Cases", {_RANGE} FROM parted GROUP BY 2
+  UNION ALL BY NAME SELECT 'examples' AS part, "Quality", row_id, "Postcode", "Eastings", "Northings", "District Name", "Ward Name" FROM parted WHERE "Quality" IN (60, 90)
+    QUALIFY row_number() OVER (PARTITION BY "Quality" ORDER BY row_id) <= 10
+  UNION ALL BY NAME SELECT 'patterns' AS part, "Pattern", count("Postcode") AS "Cases" FROM parted GROUP BY 2
+  UNION ALL BY NAME SELECT 'outwards' AS part, "Postcode_area", "Post Town", "Outward", count("Postcode") AS "Cases" FROM parted WHERE "Post Town" IS NOT NULL GROUP BY 2, 3, 4
+  UNION ALL BY NAME SELECT 'outwards of areas' AS part, "Postcode_area", "Post Town", count(DISTINCT "Outward") AS "Cases" FROM parted WHERE "Post Town" IS NOT NULL GROUP BY 2, 3"""
 
 
 @query("q13_location_reports", sql("parted", _LOCATION))
 def _(spark, sf):
-    """The location-quality and pattern reports in one result."""
-    table = common.parted(spark, sf)
-    zero = F.lit(0).cast("bigint").alias("b")
-    parts = [
-        reports.quality_ranges(table).select(F.lit("range").alias("part"), F.col("Quality").cast("string").alias("key"), F.col("Cases").alias("a"), F.col("Max_E").cast("bigint").alias("b")),
-        reports.pattern_counts(table).select(F.lit("pattern").alias("part"), F.col("Pattern").alias("key"), F.col("Postcode").alias("a"), zero),
-        reports.outwards_per_area(table).select(F.lit("outwards").alias("part"), F.col("Postcode_area").alias("key"), F.col("Outward").alias("a"), zero),
-        reports.quality_counts(table).select(F.lit("located").alias("part"), F.col("Quality").cast("string").alias("key"), F.col("`District Name`").alias("a"), F.col("`County Name`").alias("b")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """All location-quality and pattern reports in one result."""
+    table = cut(common.parted(spark, sf), "parted")
+    examples = ["Quality", "row_id", "Postcode", "Eastings", "Northings", "`District Name`", "`Ward Name`"]
+    parts = {
+        "counts": reports.quality_counts(table).withColumnsRenamed({c: f"with {c}" for c in _COUNTED}),
+        "ranges": reports.quality_ranges(table),
+        "examples": reports.quality_examples(table).select(*examples),
+        "patterns": reports.pattern_counts(table).withColumnRenamed("Postcode", "Cases"),
+        "outwards": reports.outward_counts(table).withColumnRenamed("Postcode", "Cases"),
+        "outwards of areas": reports.outwards_per_area(table).withColumnRenamed("Outward", "Cases"),
+    }
+    return _stacked(parts)
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from gridterrain import fixtures
@@ -345,24 +347,15 @@ def _(spark, sf):
     "q12_mosaic_statistics",
     _histogram_sql(
         "counted", "counted",
-        f"""SELECT 'summary' AS part, min_alt AS alt, cells AS cases, mean_exact AS value FROM ({_SUMMARY})
-            UNION ALL SELECT 'commonest', alt, cases, percent FROM ({_COMMON}) UNION ALL SELECT 'notable', alt, cases, percent FROM ({_NOTABLE})
-            UNION ALL SELECT 'histogram', lower, cases, upper FROM bins""",
+        f"""SELECT 'summary' AS part, * FROM ({_SUMMARY}) UNION ALL BY NAME SELECT 'commonest' AS part, * FROM ({_COMMON})
+            UNION ALL BY NAME SELECT 'notable' AS part, * FROM ({_NOTABLE}) UNION ALL BY NAME SELECT 'histogram' AS part, * FROM ({_BARS})""",
     ),
 )
 def _(spark, sf):
-    """All parts of the statistics of one mosaic in one result."""
+    """All parts of the statistics of one mosaic in one result; columns that a part lacks are null."""
     parts = terrain_map.terrain_statistics(fixtures.terrain_cells(spark, sf), "standard")
-    rows = [
-        parts["summary"].selectExpr("'summary' as part", "min_alt as alt", "cells as cases", "mean_exact as value"),
-        parts["commonest"].selectExpr("'commonest' as part", "alt", "cases", "percent as value"),
-        parts["notable"].selectExpr("'notable' as part", "alt", "cases", "percent as value"),
-        parts["histogram"].selectExpr("'histogram' as part", "lower as alt", "cases", "upper as value"),
-    ]
-    out = rows[0]
-    for part in rows[1:]:
-        out = out.unionByName(part)
-    return out
+    named = [df.withColumn("part", F.lit(name)) for name, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
 @query(

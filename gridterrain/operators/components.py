@@ -41,8 +41,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = F.struct(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)))
     before = current.agg(mark).first()[0]
     while before[0] > 0:
-        current, made = materialise(_small_star(_large_star(current)), "stars")
+        # The small star reads the large one several times.
+        large, large_path = materialise(_large_star(current), "stars")
+        current, made = materialise(_small_star(large), "stars")
         release(edges.sparkSession, path)
+        release(edges.sparkSession, large_path)
         path = made
         after = current.agg(mark).first()[0]
         if after == before:

@@ -126,7 +126,8 @@ def _label_block(cells: pd.DataFrame) -> pd.DataFrame:
 
 def _crossing(labelled: DataFrame, block: int) -> DataFrame:
     """Pairs of regions in different blocks that touch: links that leave a block, joined cell by cell."""
-    rim = labelled.filter(F.col("region").isNotNull())
+    edge = [F.pmod(F.col(c), F.lit(block)).isin(0, block - 1) for c in ("row", "col")]
+    rim = labelled.filter(F.col("region").isNotNull() & (edge[0] | edge[1]))
     steps = F.array(
         *[
             F.when(F.col("links").bitwiseAND(1 << i) != 0, F.struct((F.col("row") + STEPS[i][0]).alias("nr"), (F.col("col") + STEPS[i][1]).alias("nc")))
@@ -141,8 +142,7 @@ def _crossing(labelled: DataFrame, block: int) -> DataFrame:
         )
         .select("a", F.col("to.nr").alias("row"), F.col("to.nc").alias("col"))
     )
-    edge = [F.pmod(F.col(c), F.lit(block)).isin(0, block - 1) for c in ("row", "col")]
-    target = rim.filter(edge[0] | edge[1]).select("row", "col", F.col("region").alias("b"))
+    target = rim.select("row", "col", F.col("region").alias("b"))
     return out.join(target, ["row", "col"]).select("a", "b").distinct()
 
 

@@ -48,7 +48,8 @@ class PostcodeMap:
         Colours are dealt out among the rows that survive thinning and clipping.
         """
         columns = {"row_id", "Postcode", "Eastings", "Northings", area_column(self.kind)}
-        drawn = self.canvas.scaled(thin(self.rows.select(*[f"`{c}`" for c in sorted(columns)]), self.density))
+        # Written once: colours, key and image all read the clipped rows.
+        drawn = cut(self.canvas.scaled(thin(self.rows.select(*[f"`{c}`" for c in sorted(columns)]), self.density)), "drawn")
         return raster.with_colours(drawn, raster.area_colours(drawn, self.kind), self.kind)
 
     def raster(self) -> DataFrame:
@@ -107,21 +108,33 @@ def postcode_map(table: DataFrame, postcode: str, **options) -> PostcodeMap:
     )
 
 
-def draw_place(table: DataFrame, squares: DataFrame, place_type: str, place_value: str, **options) -> PostcodeMap:
-    """Q10 for one concrete place."""
+# Outcome of a place request.
+DRAWN, BAD_PLACE, UNKNOWN_PLACE = 0, 1, 2
+
+
+def draw_place(table: DataFrame, squares: DataFrame, place_type: str, place_value: str, **options) -> tuple[int, PostcodeMap | None]:
+    """Q10, F8 for one concrete place: the outcome and, if it is known, its map.
+
+    ``table`` needs the looked-up names for an area's or a postcode's title. A type that does not exist is
+    a bad place; an area or postcode without rows, or a square without land, an unknown one.
+    """
+    value = place_value.strip()
     if place_type == "all":
-        return whole_map(table, **options)
+        return DRAWN, whole_map(table, **options)
+    if place_type not in places.PLACE_TYPES:
+        return BAD_PLACE, None
+    found = {
+        "pa": lambda: table.filter(F.col("Postcode_area") == value.upper()),
+        "ng": lambda: squares.filter((F.col("name") == value.upper()) & F.col("is_real")),
+        "pc": lambda: find_postcode(table, value),
+    }[place_type]()
+    if found.isEmpty():
+        return UNKNOWN_PLACE, None
     if place_type == "pa":
-        return area_map(table, place_value, **options)
+        return DRAWN, area_map(table, value, **options)
     if place_type == "ng":
-        return square_map(table, squares, place_value, **options)
-    if place_type == "pc":
-        return postcode_map(table, place_value, **options)
-    raise ValueError(f"unknown place type {place_type!r}")
-
-
-# Outcome of a place request.
-DRAWN, BAD_PLACE, UNKNOWN_PLACE = 0, 1, 2
+        return DRAWN, square_map(table, squares, value, **options)
+    return DRAWN, postcode_map(table, value, **options)
 
 
 def answer_places(table: DataFrame, squares: DataFrame, requests: DataFrame, seed: int) -> DataFrame:
