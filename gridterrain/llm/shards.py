@@ -54,6 +54,7 @@ class Library:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenizer.model._resize_cache(0)  # what comes here is new, so the library's own table of words costs more than it saves
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -110,18 +111,22 @@ class Library:
         """Packed ids of each text, little-endian with the width of ``kind``."""
         out: list[bytes | None] = [None] * len(texts)
         known = self.runs
-        split: list[tuple[int, str, list[str]]] = []
+        split: list[tuple[int, str, list[str], list[bytes | None], list[int]]] = []
         missing: set[str] = set()
         for i, text in enumerate(texts):
             if self.by_runs and not any(s in text for s in self.special):
                 start, *runs = text.split(" ")
                 if not runs or not is_awkward(start):
-                    split.append((i, start, runs))
-                    missing.update([r for r in runs if r not in known])
-        self._learn(missing, {start for _, start, _ in split})
-        for i, start, runs in split:
+                    found = [*map(known.get, runs)]
+                    holes = [j for j, ids in enumerate(found) if ids is None]
+                    split.append((i, start, runs, found, holes))
+                    missing.update([runs[j] for j in holes])
+        self._learn(missing, {s[1] for s in split})
+        for i, start, runs, found, holes in split:
+            for j in holes:
+                found[j] = known.get(runs[j])
             with contextlib.suppress(TypeError):  # a run that has no ids of its own
-                out[i] = self.starts[start] + b"".join(map(known.get, runs))
+                out[i] = b"".join([self.starts[start], *found])
         whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self._encode_all([texts[i] for i in whole]), strict=True):
             out[i] = ids
@@ -130,7 +135,7 @@ class Library:
                 self.runs.pop(run, None)
         if len(self.runs) > CACHED_RUNS:
             self.old, self.runs = self.runs, {}
-        if len(self.starts) > CACHED_RUNS // 4 or any(len(start) > CACHED_LENGTH for _, start, _ in split):
+        if len(self.starts) > CACHED_RUNS // 4 or any(len(s[1]) > CACHED_LENGTH for s in split):
             self.starts.clear()
         return out
 
