@@ -170,7 +170,7 @@ def _zip_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _(spark, sf):
     # Zipping is repeatable only if batches are, so the archives are written before they are read twice.
     zipped = scratch.cut(_raw(spark, sf).mapInPandas(_zip_batches, _ZIPPED), "archives")
-    return postcodes.postcodes_from_entries(archives.unpack_archives(zipped))
+    return postcodes.postcodes_from_lines(archives.entry_lines(zipped, postcodes.DATA_ENTRY))
 
 
 @query("s11_save_and_load", sql("scanned", f"SELECT {_SCANNED}, row_id FROM scanned"))

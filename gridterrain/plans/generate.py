@@ -67,15 +67,14 @@ def build_from_archive(
     districts: dict[str, DataFrame], wards: dict[str, DataFrame],
 ) -> Built:
     """Q1 from zip archives and code sheets: table, faults and audit; archive and heading faults included."""
-    entries = zips.unpack_archives(archives)
-    scanned = files.postcodes_from_entries(entries)
+    scanned = files.postcodes_from_lines(zips.entry_lines(archives, files.DATA_ENTRY))
     lookups = stored_lookups(sheets.load_lookups(spark, areas, counties, districts, wards))
     table, faults, audit = build_postcodes(scanned, lookups)
     one = F.lit(1).cast("bigint").alias("cases")
     bad_archives = zips.rejected_archives(archives).select(
         F.lit("archive").alias("check"), F.col("archive").alias("subject"), F.col("bad_entries").alias("cases")
     )
-    heading_entries = entries.filter(F.col("entry").rlike(r"^Doc/.*Column_Headers\.csv$"))
+    heading_entries = zips.unpack_archives(archives, r"^Doc/.*Column_Headers\.csv$")
     heading_files = cut(heading_entries.select(F.col("entry").alias("path"), "text"), "headings")
     headings = files.header_faults(heading_files).select(F.lit("heading").alias("check"), F.col("path").alias("subject"), one)
     no_heading = heading_files.agg(F.count("*").alias("n")).filter("n = 0").select(

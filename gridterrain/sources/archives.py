@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import itertools
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -12,6 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The only folders a postcode archive may hold.
 ALLOWED_FOLDERS = ["Data/", "Doc/"]
+# What reading a damaged, encrypted, unknown or undecodable entry raises.
+_DAMAGED = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, UnicodeDecodeError)
+# Lines handed on at a time.
+LINES = 20_000
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -36,10 +42,26 @@ def _read(opened: zipfile.ZipFile, info: zipfile.ZipInfo) -> str | None:
     """Text of an entry; none if it is damaged, encrypted, packed in an unknown way or not UTF-8."""
     try:
         return opened.read(info).decode("utf-8")
-    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, UnicodeDecodeError):
+    except _DAMAGED:
         return None
 
 
+def _readable(opened: zipfile.ZipFile, info: zipfile.ZipInfo) -> bool:
+    """Whether an entry can be read to its end; it is not held."""
+    try:
+        with opened.open(info) as raw:
+            text = io.TextIOWrapper(raw, "utf-8")
+            while text.read(1 << 20):
+                pass
+        return True
+    except _DAMAGED:
+        return False
+
+
+def _files(opened: zipfile.ZipFile, pattern: str) -> list[zipfile.ZipInfo]:
+    return [info for info in opened.infolist() if not info.is_dir() and re.search(pattern, info.filename)]
+
+
 def _strays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         opened = [_open(content) for content in batch["content"]]
@@ -47,26 +69,49 @@ def _strays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"archive": batch["archive"], "bad_entries": counts})
 
 
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            opened = _open(row.content)
-            if opened is None:
-                continue
-            stray = _stray(opened.namelist())
-            for info in opened.infolist():
-                if not info.is_dir():
+def entry_texts(archives: DataFrame, pattern: str = "") -> DataFrame:
+    """Whole text of every small file in every readable archive, one row per entry whose name has the pattern.
+
+    ``bad_entries`` is the archive's count of entries outside the allowed folders. An entry that cannot
+    be read has a null text.
+    """
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                opened = _open(row.content)
+                if opened is None:
+                    continue
+                stray = _stray(opened.namelist())
+                for info in _files(opened, pattern):
                     data = _read(opened, info)
                     yield pd.DataFrame({"archive": [row.archive], "entry": [info.filename], "bad_entries": [stray], "text": [data]})
 
+    return archives.mapInPandas(texts, "archive string, entry string, bad_entries bigint, text string")
 
-def entry_texts(archives: DataFrame) -> DataFrame:
-    """Whole text of every file in every readable archive, one row per entry.
 
-    ``bad_entries`` is the archive's count of entries outside the allowed folders. An entry that cannot
-    be read has a null text.
+def entry_lines(archives: DataFrame, pattern: str = "") -> DataFrame:
+    """``(archive, entry, line)`` of the archives that pass, for entries whose name has the pattern.
+
+    An entry is read through once to check it and then streamed in batches of lines, so a task holds an
+    archive's packed bytes and never a whole text. A damaged entry gives no lines; ``unreadable_entries`` names it.
     """
-    return archives.mapInPandas(_texts, "archive string, entry string, bad_entries bigint, text string")
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                opened = _open(row.content)
+                if opened is None or _stray(opened.namelist()):
+                    continue
+                for info in _files(opened, pattern):
+                    if not _readable(opened, info):
+                        continue
+                    with opened.open(info) as raw:
+                        text = io.TextIOWrapper(raw, "utf-8")
+                        while part := [line.removesuffix("\n") for line in itertools.islice(text, LINES)]:
+                            yield pd.DataFrame({"archive": [row.archive] * len(part), "entry": [info.filename] * len(part), "line": part})
+
+    return archives.mapInPandas(lines, "archive string, entry string, line string")
 
 
 def rejected_archives(archives: DataFrame) -> DataFrame:
@@ -76,12 +121,21 @@ def rejected_archives(archives: DataFrame) -> DataFrame:
 
 def unreadable_entries(archives: DataFrame) -> DataFrame:
     """Entries of readable archives whose text cannot be read: ``(archive, entry)``."""
-    return entry_texts(archives).filter(F.col("text").isNull()).select("archive", "entry")
+
+    def damaged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                opened = _open(row.content)
+                names = [] if opened is None else [i.filename for i in _files(opened, "") if not _readable(opened, i)]
+                if names:
+                    yield pd.DataFrame({"archive": [row.archive] * len(names), "entry": names})
+
+    return archives.mapInPandas(damaged, "archive string, entry string")
 
 
-def unpack_archives(archives: DataFrame) -> DataFrame:
+def unpack_archives(archives: DataFrame, pattern: str = "") -> DataFrame:
     """Entries of the archives that pass; one bad entry rejects its whole archive. One read, no shuffle."""
-    return entry_texts(archives).filter("bad_entries = 0").select("archive", "entry", "text")
+    return entry_texts(archives, pattern).filter("bad_entries = 0").select("archive", "entry", "text")
 
 
 def tile_of_archive(path: Column) -> Column:

@@ -8,6 +8,10 @@ from gridterrain.operators.quality import key_violations
 from gridterrain.schemas import HEADER_LONG, HEADER_SHORT, RAW_POSTCODE, SCANNED_COLUMNS
 
 
+# Names of the postcode files in an archive.
+DATA_ENTRY = r"^Data/CSV/[^/]+\.csv$"
+
+
 def area_of_file(path: Column) -> Column:
     """Area of a file named after it (``ng.csv``), or of part files below such a folder."""
     return F.upper(F.regexp_extract(path, r"([^/=]+)\.csv(?:/[^/]*)?$", 1))
@@ -30,8 +34,12 @@ def scan_postcode_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def postcodes_from_entries(entries: DataFrame) -> DataFrame:
     """S1 on archive entries ``(entry, text)`` instead of files."""
-    data = entries.filter(F.col("entry").rlike(r"^Data/CSV/[^/]+\.csv$"))
-    lines = data.select("entry", F.explode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")).alias("line"))
+    data = entries.filter(F.col("entry").rlike(DATA_ENTRY))
+    return postcodes_from_lines(data.select("entry", F.explode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")).alias("line")))
+
+
+def postcodes_from_lines(lines: DataFrame) -> DataFrame:
+    """S1 on lines ``(entry, line)`` of archive entries; empty lines are left out."""
     parsed = lines.filter(F.length("line") > 0).select(
         "entry", F.from_csv("line", RAW_POSTCODE.simpleString()[len("struct<"):-1].replace(":", " ")).alias("r")
     )

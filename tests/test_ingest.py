@@ -147,6 +147,19 @@ def test_damaged_entries_are_null_texts(spark):
     assert archives.unreadable_entries(table).count() == 2
 
 
+def test_lines_are_streamed_from_sound_entries(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "LINES", 2)
+    write_zip(tmp_path / "a.zip", {"Data/CSV/ng.csv": "one\r\ntwo\rthree\n\nfive", "Data/CSV/e.csv": "", "Doc/x.csv": "no"})
+    write_zip(tmp_path / "b.zip", {"Data/CSV/tq.csv": "abcdef\nghi\n"})
+    (tmp_path / "b.zip").write_bytes((tmp_path / "b.zip").read_bytes().replace(b"abcdef", b"abcdeg"))
+    write_zip(tmp_path / "c.zip", {"Data/CSV/ab.csv": "stray\n", "Other/x": "x"})
+    zipped = archives.read_archives(spark, str(tmp_path))
+    found = archives.entry_lines(zipped, postcodes.DATA_ENTRY).collect()
+    assert [(r.entry, r.line) for r in found] == [("Data/CSV/ng.csv", line) for line in ("one", "two", "three", "", "five")]
+    assert [r.entry for r in archives.unreadable_entries(zipped).collect()] == ["Data/CSV/tq.csv"]
+    assert [r.entry for r in archives.entry_texts(zipped, r"^Doc/").collect()] == ["Doc/x.csv"]
+
+
 def test_overlong_header_numbers_are_faults(spark):
     from gridterrain.sources.tiles import tile_headers
 
