@@ -13,10 +13,10 @@ from gridterrain import fixtures, scratch
 from gridterrain.catalogue import common, ingest
 from gridterrain.catalogue.oracle import sql
 from gridterrain.catalogue.registry import ORACLES, query
-from gridterrain.catalogue.tables import _audit_sql
+from gridterrain.catalogue.tables import _PATTERNS, _audit_sql
 from gridterrain.operators import quality
 from gridterrain.plans import generate
-from gridterrain.schemas import CATEGORY_COLUMNS, DERIVED_COLUMNS, HEADER_LONG, HEADER_SHORT, LOOKED_UP_COLUMNS, SCANNED_COLUMNS, VALID_PATTERNS
+from gridterrain.schemas import CATEGORY_COLUMNS, DERIVED_COLUMNS, HEADER_LONG, HEADER_SHORT, LOOKED_UP_COLUMNS, SCANNED_COLUMNS
 from gridterrain.sources import lookups as sheets, postcodes, tables
 
 # Some rows have a postcode in lower case, a foreign area, no postcode, or one of five that repeat.
@@ -32,7 +32,6 @@ def _spoilt(rows: DataFrame) -> DataFrame:
 
 _SPOILT_SQL = f"""SELECT * REPLACE ({_SPOILT_POSTCODE.format(pc='"Postcode"')} AS "Postcode", {_SPOILT_AREA.format(area='"Postcode_area"')} AS "Postcode_area") FROM scanned"""
 _KEYS_SQL = """SELECT 'key' AS "check", "Postcode" AS subject, count(*) AS cases FROM spoilt GROUP BY 2 HAVING count(*) > 1 OR "Postcode" IS NULL"""
-_PATTERNS = ", ".join(f"'{p}'" for p in VALID_PATTERNS)
 
 
 @query(

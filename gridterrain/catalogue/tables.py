@@ -12,7 +12,7 @@ from gridterrain.catalogue.oracle import sql
 from gridterrain.catalogue.registry import query
 from gridterrain.operators import quality, reports, rows, spatial
 from gridterrain.plans.generate import stored_lookups
-from gridterrain.schemas import CATEGORY_COLUMNS, DERIVED_COLUMNS, LOOKED_UP_COLUMNS, LOOKUPS, SCANNED_COLUMNS
+from gridterrain.schemas import CATEGORY_COLUMNS, DERIVED_COLUMNS, LOOKED_UP_COLUMNS, LOOKUPS, SCANNED_COLUMNS, VALID_PATTERNS
 from gridterrain.scratch import cut
 
 _SCANNED = ", ".join(f'"{c}"' for c in SCANNED_COLUMNS)
@@ -112,11 +112,14 @@ def _(spark, sf):
     return quality.audit(fixtures.postcodes(spark, sf), stored_lookups(common.lookups(spark, sf)))
 
 
+_PATTERNS = ", ".join(f"'{p}'" for p in VALID_PATTERNS)
+
+
 @query(
     "f11_breakdown_faults",
     sql(
         "scanned",
-        """SELECT "Postcode", "Postcode_area", "Pattern", CASE WHEN "Pattern" IS NULL OR "Pattern" NOT IN ('X9  9XX','X99 9XX','X9X 9XX','XX9 9XX','XX999XX','XX9X9XX') THEN 'pattern'
+        f"""SELECT "Postcode", "Postcode_area", "Pattern", CASE WHEN "Pattern" IS NULL OR "Pattern" NOT IN ({_PATTERNS}) THEN 'pattern'
              WHEN area IS DISTINCT FROM "Postcode_area" THEN 'area' WHEN area || district IS DISTINCT FROM o THEN 'district' END AS fault
            FROM (SELECT *, regexp_replace(regexp_replace(trim("Postcode"), '[0-9]', '9', 'g'), '[A-Z]', 'X', 'g') AS "Pattern",
                    nullif(regexp_extract(o, '([A-Z][A-Z]?)([0-9].*)', 1), '') AS area, nullif(regexp_extract(o, '([A-Z][A-Z]?)([0-9].*)', 2), '') AS district

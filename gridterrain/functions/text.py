@@ -72,6 +72,10 @@ def is_detached_ward(c: Column) -> Column:
     return F.endswith(strip(c), F.lit("(DET)"))
 
 
+# Endings and parts of names that are left out of a description, and what stands for no ward.
+WARD_PARTS, DISTRICT_PARTS, NO_WARD = (" Ward", " ED"), (" (B)", " District"), "[No ward]"
+
+
 def _without(c: Column, *drops: str) -> Column:
     c = F.coalesce(c, F.lit(""))
     for drop in drops:
@@ -81,11 +85,11 @@ def _without(c: Column, *drops: str) -> Column:
 
 def location_description(ward: Column, district: Column, county: Column) -> Column:
     """Ward, district and county in one line, blanks skipped."""
-    ward = _without(ward, " Ward", " ED")
-    district = F.replace(_without(district, " (B)", " District"), F.lit(" London Borough"), F.lit(", London"))
+    ward = _without(ward, *WARD_PARTS)
+    district = F.replace(_without(district, *DISTRICT_PARTS), F.lit(" London Borough"), F.lit(", London"))
     return F.concat_ws(
         ", ",
-        F.coalesce(F.nullif(ward, F.lit("")), F.lit("[No ward]")),
+        F.coalesce(F.nullif(ward, F.lit("")), F.lit(NO_WARD)),
         F.nullif(district, F.lit("")),
         F.nullif(county, F.lit("")),
     )
