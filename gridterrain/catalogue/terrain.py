@@ -14,7 +14,6 @@ from gridterrain.functions.colour import LAND_RAMPS, NUMERIC, SCHEMES, WATER, la
 from gridterrain.functions.numeric import same_altitude
 from gridterrain.operators import altitudes, flat, terrain
 from gridterrain.plans import terrain_map
-from gridterrain.schemas import NO_ALTITUDE
 
 
 def _rgb(channels: list[str]) -> str:

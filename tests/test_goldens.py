@@ -155,3 +155,33 @@ def test_a_terrain_map_takes_one_request(spark):
         requests = spark.createDataFrame([(i, n, "1x1") for i, n in enumerate(names)], "request_id int, name string, dims string")
         with pytest.raises(ValueError, match="one valid request"):
             terrain_map(requests, tiles)
+
+
+def test_quartiles_by_rank(spark):
+    import numpy as np
+
+    from gridterrain.operators.reports import numeric_profile
+
+    rng = np.random.default_rng(5)
+    for values in ([7], [1, 2], [3, 3, 3, 9], rng.integers(-50, 50, 501).tolist(), (rng.integers(0, 4000, 998) / 4).tolist()):
+        rows = [(float(v), None) for v in values] + [(None, None)]
+        found = numeric_profile(spark.createDataFrame(rows, "a double, b double"), ["a", "b"]).collect()
+        assert [r.column for r in found] == ["a"] and found[0]["count"] == len(values)
+        assert [found[0][f"q{p}"] for p in (25, 50, 75)] == np.percentile(values, [25, 50, 75]).tolist()
+    assert numeric_profile(spark.createDataFrame([], "a double"), ["a"]).collect() == []
+
+
+def test_places_are_drawn_or_refused(spark):
+    from gridterrain.plans.maps import BAD_PLACE, DRAWN, UNKNOWN_PLACE, draw_place
+    from gridterrain.sources.dims import grid_squares
+
+    names = ", ".join(f"`{c}` string" for c in ("Post Town", "County Name", "District Name", "Ward Name"))
+    table = spark.createDataFrame(
+        [(0, "NG1 1AA", "NG", 457000, 340000, "Nottingham", None, "Rushcliffe", "Mill Ward"), (1, "NG2 6AG", "NG", 458000, 341000, "Nottingham", None, None, None)],
+        f"row_id bigint, Postcode string, Postcode_area string, Eastings int, Northings int, {names}",
+    )
+    asked = [("all", "GB"), ("pa", " ng"), ("ng", "sk"), ("pc", "ng11aa"), ("pa", "zz"), ("ng", "ha"), ("ng", "zz"), ("pc", "zz11zz"), ("xx", "ng")]
+    got = [draw_place(table, grid_squares(spark), kind, value) for kind, value in asked]
+    assert [status for status, _ in got] == [DRAWN] * 4 + [UNKNOWN_PLACE] * 4 + [BAD_PLACE]
+    assert all((a_map is None) == (status != DRAWN) for status, a_map in got)
+    assert got[3][1].pixels().count() > 0
