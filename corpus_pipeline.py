@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridterrain.llm.bpe import add_encoding
-from gridterrain.llm.jaccard import jaccard_classes
+from gridterrain.llm.jaccard import without_near_copies
 from gridterrain.llm.language import UNKNOWN, fit, label_languages
 from gridterrain.llm.mixing import mix_sources, source_counts, tempered_weights
 from gridterrain.llm.queries import MIX_EXPONENT, MIX_SEED, tokenizer_path
@@ -31,11 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones: that of the smallest id; of rows that repeat it, one."""
-    # One key for the join and for repeated rows, so that texts are shuffled once.
-    key = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("_key")
-    kept = jaccard_classes(docs).filter(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(key).distinct()
-    left = docs.select("*", key, F.xxhash64("text").alias("_text")).join(kept, "_key", "left_semi")
-    return left.dropDuplicates(["_key", "_text"]).select(*docs.columns)
+    return without_near_copies(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

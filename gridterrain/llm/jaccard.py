@@ -13,7 +13,8 @@ group are then compared exactly, on whole shingle sets, in blocks of bounded siz
 leave a block. Equal sets are one set with a weight from the start.
 
 Texts with fewer words than an n-gram are one n-gram; texts without words and null texts have none and are linked
-to nothing. A null id is replaced by the greatest integer inside and comes back as null.
+to nothing. A null id is replaced by the greatest integer inside and comes back as null. Ids may repeat and may be
+null: inside, a set goes by a number of its own, and a text by its id and hash. Ids only name the classes at the end.
 """
 
 from __future__ import annotations
@@ -92,13 +93,13 @@ def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, words: int, runs: int, threshold: float) -> DataFrame:
-    """``(id, n, f1, f2, sig, paths)`` of each text with words; ``f1, f2`` fingerprint its set of n-grams."""
+    """``(id, mark, n, f1, f2, sig, paths)`` of each text with words; ``f1, f2`` fingerprint its set of n-grams."""
     roots, at = _root_splits(runs, threshold)
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("sig", pa.binary()), ("paths", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("sig", pa.binary()), ("paths", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            ids, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "mark"))
             data, bounds = utf8(batch.column("text"))
             for a, b in slices(bounds):
                 own = bounds[a : b + 1] - bounds[a]
@@ -111,11 +112,11 @@ def _signatures(docs: DataFrame, words: int, runs: int, threshold: float) -> Dat
                     least = min_hashes(grams)
                     paths = mix(mix(roots ^ (at.astype(np.uint64) << np.uint64(48))) + least[at])
                     f1, f2 = (int(f) for f in _fingerprint(grams))
-                    out.append({"id": int(ids[i]), "n": len(grams), "f1": f1, "f2": f2, "sig": blob((least >> np.uint64(48)).astype(np.uint16)), "paths": np.unique(paths.view(np.int64))})
+                    out.append({"id": int(ids[i]), "mark": int(marks[i]), "n": len(grams), "f1": f1, "f2": f2, "sig": blob((least >> np.uint64(48)).astype(np.uint16)), "paths": np.unique(paths.view(np.int64))})
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return docs.mapInArrow(run, "id long, n int, f1 long, f2 long, sig binary, paths array<long>")
+    return docs.mapInArrow(run, "id long, mark long, n int, f1 long, f2 long, sig binary, paths array<long>")
 
 
 def _fingerprint(grams: np.ndarray) -> np.ndarray:
@@ -266,11 +267,18 @@ _VERIFIED_SCHEMA = pa.schema([("grp", pa.int64()), ("block", pa.int32()), ("bloc
 
 
 def _grams_of(words: int):
-    """Shingle sets of the members' texts; a text whose set is not the member's (an id that repeats) is left out."""
+    """Shingle sets of the members' texts, once a task for rows that repeat; a text whose set is not the member's is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["grp", "block", "blocks", "rep", "copies"]
+        seen: set[int] = set()
         for batch in batches:
+            rep, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n_rows"))
+            new = np.ones(batch.num_rows, bool)
+            for i in np.flatnonzero(rows > 1).tolist():
+                new[i] = rep[i] not in seen
+                seen.add(rep[i])
+            batch = batch.filter(pa.array(new))
             data, bounds = utf8(batch.column("text"))
             want = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("f1", "f2")], axis=1) if batch.num_rows else np.zeros((0, 2))
             for a, b in slices(bounds):
@@ -347,16 +355,19 @@ def _add_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(rows[0]["ids"], np.int64)), pa.array(total)], names=["rep", "links"])
 
 
-def _exact(docs: DataFrame, sets: DataFrame, ties: DataFrame, words: int, threshold: float) -> DataFrame:
+def _exact(docs: DataFrame, signed: DataFrame, sets: DataFrame, ties: DataFrame, words: int, threshold: float) -> DataFrame:
     """``(rep, class, links)`` of the sets in candidate groups: exact classes, and the weight of each set's links."""
     found = connected_components(ties)
     groups = found.select(F.col("node").alias("rep"), F.col("root").alias("grp")).unionByName(found.select(F.col("root").alias("rep"), F.col("root").alias("grp")).distinct())
-    members = cut(groups.join(sets.select("rep", "n", "f1", "f2", "copies"), "rep"), "members")
+    members = cut(groups.join(sets.select("rep", "id", "mark", "n", "f1", "f2", "copies"), "rep"), "members")
     sizes = members.groupBy("grp").agg(F.count("*").alias("n_sets"), F.sum("n").alias("n_grams"))
     blocks = F.greatest(F.ceil(F.col("n_sets") / BLOCK_SETS), F.ceil(F.col("n_grams") / BLOCK_SHINGLES)).cast("int")
     members = join_unique(members, sizes.withColumn("blocks", blocks), ["grp"], "n_sets").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = docs.join(members.select("grp", "block", "blocks", "rep", "copies", "f1", "f2"), docs["id"] == F.col("rep"))
-    grams = texts.select("grp", "block", "blocks", "rep", "copies", "f1", "f2", "text").mapInArrow(_grams_of(words), "grp long, block int, blocks int, rep long, copies long, grams binary")
+    repeated = signed.groupBy("id", "mark").agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
+    sources = members.join(repeated, ["id", "mark"], "left").select("id", "mark", "grp", "block", "blocks", "rep", "copies", "f1", "f2", F.coalesce("n_rows", F.lit(1).cast("long")).alias("n_rows"))
+    # Sorted and merged at any size; what repeats a row is split as a skewed partition and dropped in its task.
+    texts = docs.join(sources.hint("merge"), ["id", "mark"])
+    grams = texts.select("grp", "block", "blocks", "rep", "copies", "f1", "f2", "n_rows", "text").mapInArrow(_grams_of(words), "grp long, block int, blocks int, rep long, copies long, grams binary")
     dealt = grams.repartition("grp", "block").sortWithinPartitions("grp", "block")
     verified = cut(dealt.mapInArrow(_verify(threshold), _VERIFIED), "verified")
     decided = verified.filter("blocks IS NULL").select("rep", "class", "links")
@@ -374,18 +385,42 @@ def _exact(docs: DataFrame, sets: DataFrame, ties: DataFrame, words: int, thresh
     return decided.unionByName(classed.select("rep", F.coalesce("class", "rep").alias("class"), "links"))
 
 
-def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the key, ``class_id`` (least id of its similar documents, directly or through others) and
-    ``n_links`` (how many other documents are similar to it directly, copies included)."""
+def _classed(docs: DataFrame, words: int, threshold: float, recall: float, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed texts; ``(f1, f2, copies, class_id, class_mark, n_links)`` of each set, where ``class_id, class_mark`` are the id
+    and hash of the first text of its class; and ``(id, mark)`` of the texts without words."""
     least = F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID))
-    rows = docs.select(least.alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(least.alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
     signed = cut(_signatures(rows, words, runs_for(recall, threshold), threshold), "signatures")
     by = ["f1", "f2"]
-    sets = signed.groupBy(*by).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("paths").alias("paths"))
-    sets = cut(sets, "sets")
-    exact = _exact(rows, sets, _candidate_ties(sets, threshold), words, threshold)
-    classed = sets.select(*by, "rep", "copies").join(exact, "rep", "left").select(*by, "copies", F.coalesce("class", "rep").alias("class_id"), (F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("n_links"))
-    found = join_unique(signed.select("id", *by), classed, by, "copies").select("id", "class_id", "n_links")
-    wordless = rows.filter(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    sets = signed.groupBy(*by).agg(F.min(F.struct("id", "mark")).alias("source"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("paths").alias("paths"))
+    sets = cut(sets.select(F.monotonically_increasing_id().alias("rep"), "source.id", "source.mark", *by, "copies", "n", "sig", "paths"), "sets")
+    exact = _exact(rows, signed, sets, _candidate_ties(sets, threshold), words, threshold)
+    exact = cut(exact.join(sets.select("rep", "id", "mark"), "rep"), "classes")
+    first = exact.groupBy("class").agg(F.min(F.struct("id", "mark")).alias("first"), F.count("*").alias("n_sets"))
+    first = first.select("class", F.col("first.id").alias("class_id"), F.col("first.mark").alias("class_mark"), "n_sets")
+    named = join_unique(exact.select("rep", "class", "links"), first, ["class"], "n_sets").select("rep", "class_id", "class_mark", "links")
+    classed = sets.select(*by, "rep", "id", "mark", "copies").join(named, "rep", "left").select(
+        *by, "copies", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_mark", "mark").alias("class_mark"),
+        (F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("n_links"),
+    )
+    return signed, classed, rows.filter(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("id", "mark")
+
+
+def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: the key, ``class_id`` (least id of its similar documents, directly or through others) and
+    ``n_links`` (how many other documents are similar to it directly, copies included). Classes of null ids alone have a
+    null ``class_id``, and different classes may share the id of rows that repeat it with other texts."""
+    signed, classed, wordless = _classed(docs, words, threshold, recall, key, text)
+    found = join_unique(signed.select("id", "f1", "f2"), classed, ["f1", "f2"], "copies").select("id", "class_id", "n_links")
+    wordless = wordless.select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     back = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
     return found.unionByName(wordless).select(back("id").alias(key), back("class_id").alias("class_id"), "n_links")
+
+
+def without_near_copies(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each class: that of the least id, and of its texts one. Texts without words all stay, repeated rows once."""
+    _, classed, wordless = _classed(docs, words, threshold, recall, key, text)
+    kept = classed.select(F.col("class_id").alias("_id"), F.col("class_mark").alias("_mark")).distinct().unionByName(wordless.toDF("_id", "_mark").distinct())
+    # One key for the join and for repeated rows, so that texts are shuffled once.
+    names = [F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(F.col(text)).alias("_mark")]
+    return docs.select("*", *names).join(kept, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*docs.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridterrain.llm import jaccard, substrings
 from gridterrain.llm.fingerprints import add_fingerprints, edit_likeness, fingerprint, fingerprint_text
-from gridterrain.llm.jaccard import jaccard_classes, runs_for
+from gridterrain.llm.jaccard import jaccard_classes, runs_for, without_near_copies
 from gridterrain.llm.language import _new_model, fit, is_held_out, label_languages, loss_and_gradients
 from gridterrain.llm.substrings import longest_repeats, remove_repeats
 
@@ -144,6 +144,27 @@ def test_classes_corner_cases(spark):
     assert jaccard_classes(rows.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("block", [1024, 2])
+def test_null_and_repeated_ids_with_different_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rnd = random.Random(9)
+    texts = [[f"k{rnd.randrange(10**6)}" for _ in range(120)] for _ in range(12)]
+    near = lambda i: " ".join([*texts[i][:60], "changed", *texts[i][61:]])
+    full = [" ".join(t) for t in texts]
+    rows = [(None, t) for t in full[:8]] + [(None, near(i)) for i in range(4)] + [(None, full[0]), (5, near(4)), (6, full[8]), (6, full[9]), (6, near(9)), (7, near(8)), (8, full[10])]
+    rows += [(6, full[11])] * 3 + [(9, near(11)), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # Brute force over rows that each have an id of their own, in the order of the ids.
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    classes = brute_classes([(n, rows[i][1]) for n, i in enumerate(order)])
+    want = [(rows[i][0], rows[order[classes[n][0]]][0], classes[n][1]) for n, i in enumerate(order)]
+    assert sorted(map(repr, map(tuple, jaccard_classes(docs).collect()))) == sorted(map(repr, want))
+    kept = without_near_copies(docs).collect()
+    place = {rows[i]: n for n, i in enumerate(order)}
+    assert sorted(classes[place[tuple(r)]][0] for r in kept) == sorted({c for c, _ in classes.values()})
+    assert all(r["doc_id"] == rows[order[classes[place[tuple(r)]][0]]][0] for r in kept)
+
+
 def test_more_recall_takes_more_runs():
     assert 1 < runs_for(0.9) < runs_for(0.99) < runs_for(0.999)
 
