@@ -4,10 +4,15 @@ The standard library's tokenizer feeds a tree builder that supplies implied end
 table parts, options) and closes what is left open. Rendering walks the tree without recursion:
 
 * Nothing invisible is emitted: scripts, styles, templates, the head but for its title, comments, elements with
-  ``hidden``, ``aria-hidden="true"``, ``display:none`` or ``visibility:hidden``, and closed parts of ``details``.
-* Blocks stand on lines of their own, paragraphs and headings with a blank line around them.
+  ``hidden``, ``aria-hidden="true"``, ``display:none`` or ``visibility:hidden``, and closed parts of ``details``;
+  what browsers replace or run (``noscript``, ``iframe``, ``object``, ``canvas``, ``audio``, ``video``, ``datalist``); and
+  what drawings and formulas hold without showing it (titles, definitions, annotations).
+* Blocks stand on lines of their own, paragraphs and headings with a blank line around them; so do the options of a
+  ``select``, the lines of a ``textarea`` and each text of a drawing. Parts of a formula that stand above or below
+  each other are kept apart by a blank.
 * List items get bullets or numbers and are indented by their depth; ``br``, ``hr`` and ``pre`` are kept.
-* A table is one line per row, its cells padded to the width of their column.
+* A table is one line per row, its cells padded to the width of their column; blocks within a cell are kept apart by a
+  blank. Tables whose cells hold lists, tables or ``pre`` are laid out as blocks.
 
 White space outside ``pre`` collapses to one blank. Everything else that is visible is emitted, in order.
 """
@@ -17,24 +22,29 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_UNSEEN = frozenset("script style template head noscript iframe object svg math canvas audio video datalist select textarea map".split())
-_BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form header html legend main nav ol section summary table ul li hgroup menu optgroup option tr caption".split())
+_UNSEEN = frozenset("script style template head noscript iframe object canvas audio video datalist annotation annotation-xml".split())
+# Elements of a drawing that are not drawn where they stand, and those of a formula whose parts are not set in one line.
+_UNDRAWN = frozenset("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+_APART = frozenset("mfrac mroot msub msup msubsup munder mover munderover mmultiscripts mtr mlabeledtr".split())
+_BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form header html legend main nav ol section summary table ul li hgroup menu optgroup option tr caption mtr mlabeledtr".split())
 _SPACED = frozenset("p h1 h2 h3 h4 h5 h6 pre ul ol dl table blockquote article section figure".split())
 # Start tag: the open elements that it ends, and the elements beyond which it does not look.
 _ENDS = {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select datalist optgroup"),
+    "optgroup": ("option optgroup", "select datalist"),
     "tr": ("tr td th caption colgroup", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
     "thead": ("thead tbody tfoot tr td th caption colgroup", "table"), "tbody": ("thead tbody tfoot tr td th caption colgroup", "table"),
     "tfoot": ("thead tbody tfoot tr td th caption colgroup", "table"), "body": ("head", "html"),
 }
 _ENDS = {tag: (frozenset(ended.split()), frozenset(within.split())) for tag, (ended, within) in _ENDS.items()}
-_ENDS_P = _BLOCK | _SPACED | {"hr"}
+_ENDS_P = (_BLOCK | _SPACED | {"hr"}) - {"option", "optgroup", "mtr", "mlabeledtr"}
 _SCOPE = frozenset("table td th caption button".split())
 _GAP = re.compile(r"[ \t\n\r\f]+")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
@@ -42,15 +52,17 @@ _MAX_INDENT = 20
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "drawn", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str | None]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str | None], drawn: bool = False):
+        self.tag, self.attrs, self.children, self.drawn = tag, attrs, [], drawn
 
 
 class TreeBuilder(HTMLParser):
     """Elements and texts of a page below one root."""
 
+    CDATA_CONTENT_ELEMENTS = (*HTMLParser.CDATA_CONTENT_ELEMENTS, "textarea")
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
@@ -81,7 +93,9 @@ class TreeBuilder(HTMLParser):
             self._end(*_ENDS[tag])
         elif self.open[-1].tag == "head" and tag not in ("title", "meta", "link", "base", "style", "script", "noscript", "template"):
             self._close(len(self.open) - 1)
-        node = Node(tag, dict(attrs))
+        node = Node(tag, dict(attrs), self.held["svg"] > 0)
+        if node.drawn and tag in _UNDRAWN:
+            node.attrs["hidden"] = ""
         self.open[-1].children.append(node)
         if tag not in _VOID:
             self.open.append(node)
@@ -103,7 +117,12 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
+        self.open[-1].children.append(unescape(data) if self.cdata_elem == "textarea" else data)
+
+    def close(self):
+        super().close()
+        if self.cdata_elem == "textarea" and self.rawdata:  # never closed: all that follows is its text
+            self.handle_data(self.rawdata)
 
 
 def visible(node: Node) -> bool:
@@ -161,36 +180,83 @@ class _Page:
         return "\n".join(self.lines)
 
 
+def _shown(node: Node) -> list[Node | str]:
+    """Children of a visible node but for the closed part of ``details``."""
+    if node.tag == "details" and "open" not in node.attrs:
+        return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"]
+    return node.children
+
+
 def _inner_text(node: Node) -> str:
-    """Visible text below a node, unchanged; without recursion."""
+    """Visible text below a node, its white space unchanged and its blocks on lines of their own; without recursion."""
     out, todo = [], [node]
+
+    def new_line() -> None:
+        if out and not out[-1].endswith("\n"):
+            out.append("\n")
+
     while todo:
         at = todo.pop()
         if isinstance(at, str):
-            out.append(at)
-        elif at is node or visible(at):
-            out.extend(["\n"] if at.tag == "br" else [])
+            out.extend([at] if at else [])
+        elif callable(at):
+            at()
+        elif at is node:
             todo.extend(reversed(at.children))
+        elif not visible(at):
+            continue
+        elif at.tag in ("br", "hr", "img"):
+            if at.tag == "hr":
+                new_line()
+            out.append({"br": "\n", "hr": "---\n", "img": at.attrs.get("alt") or ""}[at.tag])
+        else:
+            if at.tag in _BLOCK or at.tag in _SPACED or at.tag == "textarea":
+                new_line()
+                todo.append(new_line)
+            elif at.tag in ("td", "th") and out and not out[-1][-1:].isspace():
+                out.append(" ")
+            todo.extend(reversed(_shown(at)))
     return "".join(out)
 
 
+def _cell_text(cell: Node) -> str:
+    """A cell's visible text in one line."""
+    if all(isinstance(c, str) for c in cell.children):
+        return _GAP.sub(" ", "".join(cell.children)).strip(" ")
+    return " ".join(line for line in (line.strip(" ") for line in render(cell).split("\n")) if line)
+
+
 def _rows(table: Node) -> tuple[list[list[Node]], list[object]]:
     """Rows of cells of a table, its own only, and what else lies in it (captions, stray content)."""
     rows, rest, todo = [], [], list(reversed(table.children))
+
+    def apart() -> None:
+        if rest and rest[-1] != " ":
+            rest.append(" ")
+
     while todo:
         at = todo.pop()
         if isinstance(at, str):
             if at.strip():
                 rest.append(at)
+            else:
+                apart()
         elif not visible(at):
             continue
         elif at.tag in ("thead", "tbody", "tfoot"):
             todo.extend(reversed(at.children))
         elif at.tag == "tr":
             rows.append([c for c in at.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)])
-            rest.extend(c for c in at.children if (c.strip() if isinstance(c, str) else c.tag not in ("td", "th")))
+            apart()
+            for c in at.children:
+                if c.strip() if isinstance(c, str) else c.tag not in ("td", "th"):
+                    rest.append(c)
+                else:
+                    apart()
+            apart()
         elif at.tag in ("td", "th"):
             rows.append([at])
+            apart()
         elif at.tag not in ("col", "colgroup"):
             rest.append(at)
     return rows, rest
@@ -202,7 +268,7 @@ def _nested(node: Node) -> bool:
     while todo:
         at = todo.pop()
         if isinstance(at, Node):
-            if at.tag in ("table", "ul", "ol", "pre"):
+            if at.tag in ("table", "ul", "ol", "menu", "pre"):
                 return True
             todo.extend(at.children)
     return False
@@ -218,7 +284,7 @@ def _aligned(rows: list[list[Node]]) -> list[str]:
     for row in rows:
         cells = []
         for cell in row:
-            cells += [_GAP.sub(" ", _inner_text(cell)).strip(" ")] + [""] * (_span(cell) - 1)
+            cells += [_cell_text(cell)] + [""] * (_span(cell) - 1)
         grid.append(cells)
     widths = [max((len(r[i]) for r in grid if i < len(r)), default=0) for i in range(max(map(len, grid), default=0))]
     lines = ["  ".join(cell.ljust(w) for cell, w in zip(r, widths, strict=False)).rstrip(" ") for r in grid]
@@ -246,7 +312,7 @@ def render(root: Node) -> str:
 
 
 def _open(node: Node, page: _Page, lists: list[list], todo: list[object]) -> None:
-    tag, children = node.tag, node.children
+    tag, children = node.tag, _shown(node)
     if tag == "br":
         if not page.line:
             page.blank = True
@@ -263,6 +329,11 @@ def _open(node: Node, page: _Page, lists: list[list], todo: list[object]) -> Non
         page.raw(_inner_text(node).removeprefix("\n").rstrip("\n").split("\n"))
         page.end_line(True)
         return
+    if tag == "textarea":
+        text = _inner_text(node).removeprefix("\n").rstrip("\n")
+        if text:
+            page.raw(text.split("\n"))
+        return
     if tag == "table":
         rows, rest = _rows(node)
         if not any(_nested(cell) for row in rows for cell in row):
@@ -271,12 +342,15 @@ def _open(node: Node, page: _Page, lists: list[list], todo: list[object]) -> Non
             todo.append(lambda: (page.end_line(), page.raw(lines) if lines else None, page.end_line(True)))
             todo.extend(reversed(rest))
             return
-    if tag == "details" and "open" not in node.attrs:
-        children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
     spaced = tag in _SPACED and not (tag in ("ul", "ol") and lists)
-    block = tag in _BLOCK or tag in _SPACED or tag in ("td", "th", "title")
+    block = tag in _BLOCK or tag in _SPACED or tag in ("td", "th", "title") or (tag == "text" and node.drawn)
     if block:
         page.end_line(spaced)
+    if tag == "optgroup" and node.attrs.get("label"):
+        page.text(node.attrs["label"])
+        page.end_line()
+    elif tag in _APART:
+        children = [x for c in children for x in (c, " ")]
     if tag in ("ul", "ol", "menu"):
         start = node.attrs.get("start") or "1"
         lists.append([int(start) if tag == "ol" and re.fullmatch(r"-?\d{1,9}", start) else 1 if tag == "ol" else None])

@@ -160,6 +160,37 @@ def test_every_visible_word_is_emitted(spark, sf_dir):
         assert "".join(want) == "".join(w for w in re.sub(r"(?m)^ *(\*|\d+\.) ", "", row["text"]).split())
 
 
+@pytest.mark.parametrize(
+    ("html", "words"),
+    [
+        ("<table><tr><td><p>one</p><p>two</p><td><div>a</div>b<h1>c</h1>d</table>", "one two a b c d"),
+        ("<table><tr><td><dl><dt>t<dd>d</dl><td><img alt=pic> x<br>y<td><details><summary>s</summary>no</details></table>", "t d pic x y s"),
+        ("<table>a<tr><td>x</td></tr>b<tr><td>y</table>", "a b x y"),
+        ("<pre>a<img alt=pic>b<div>c</div>d<table><tr><td>e<td>f</table></pre>", "apicb c d e f"),
+        ("<p>Pick <select><option>one<option selected>two<optgroup label=more><option>three</select> now <textarea>x &amp; <b>\ny</textarea>z", "Pick one two more three now x & <b> y z"),
+        ("<textarea>open <i>", "open <i>"),
+        ("<p>a <svg><title>no</title><defs><text>no</text></defs><text>b</text><text>c</text></svg> d", "a b c d"),
+        ("<math><semantics><mfrac><mn>1</mn><mn>2</mn></mfrac><mo>=</mo><mi>x</mi><annotation>no</annotation></semantics></math>", "1 2 =x"),
+        ("<map><p>in<area></map>", "in"),
+    ],
+)
+def test_words_of_cells_forms_drawings_and_formulas(html, words):
+    assert page_text(html).split() == words.split()
+
+
+def test_word_lists_of_all_pages(spark, sf_dir):
+    import html
+    import re
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = extract_text(pages.withColumn("text", F.lit(1))).collect()
+    assert len(rows) == pages.count()
+    for row in rows:
+        bare = re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->", "", row["html"] or "")
+        want = html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?[ab]\b[^>]*>", "", bare))).split()
+        assert want == re.sub(r"(?m)^ *(\*|\d+\.) ", "", row["text"]).split()
+
+
 def brute_top(rows, k):
     vectors = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = []
