@@ -49,6 +49,8 @@ _SCOPE = frozenset("table td th caption button".split())
 _GAP = re.compile(r"[ \t\n\r\f]+")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _MAX_INDENT = 20
+# A character number longer than Python turns into an integer; what has more than seven digits names no character.
+_LONG_NUMBER = re.compile(r"&#([0-9]{1000,});?")
 
 
 class Node:
@@ -119,6 +121,19 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data):
         self.open[-1].children.append(unescape(data) if self.cdata_elem == "textarea" else data)
 
+    def parse_html_declaration(self, i):
+        """Of ``<![ ... >``, a section of characters is text in drawings and formulas; all else is a comment up to the next ``>``.
+        Without an end, both run to the end of the page, which is fed as one."""
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        text = self.rawdata.startswith("<![CDATA[", i) and (self.held["svg"] or self.held["math"])
+        closing = "]]>" if text else ">"
+        end = self.rawdata.find(closing, i + 3)
+        end = len(self.rawdata) if end < 0 else end
+        if text:
+            self.handle_data(self.rawdata[i + 9 : end])
+        return min(end + len(closing), len(self.rawdata))
+
     def close(self):
         super().close()
         if self.cdata_elem == "textarea" and self.rawdata:  # never closed: all that follows is its text
@@ -275,8 +290,8 @@ def _nested(node: Node) -> bool:
 
 
 def _span(cell: Node) -> int:
-    value = cell.attrs.get("colspan") or "1"
-    return min(int(value), 100) if value.isdigit() and value != "0" else 1
+    value = re.fullmatch(r"\s*0*([1-9][0-9]*)\s*", cell.attrs.get("colspan") or "1")
+    return 1 if not value else 100 if len(value[1]) > 3 else min(int(value[1]), 100)
 
 
 def _aligned(rows: list[list[Node]]) -> list[str]:
@@ -381,7 +396,7 @@ def _open(node: Node, page: _Page, lists: list[list], todo: list[object]) -> Non
 def page_text(html: str | None) -> str:
     """Visible text of one page; null and empty pages have none."""
     builder = TreeBuilder()
-    builder.feed(html or "")
+    builder.feed(_LONG_NUMBER.sub(lambda m: f"&#{n};" if len(n := m[1].lstrip("0") or "0") < 8 else "\ufffd", html or ""))
     builder.close()
     return render(builder.root)
 

@@ -178,6 +178,22 @@ def test_words_of_cells_forms_drawings_and_formulas(html, words):
     assert page_text(html).split() == words.split()
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("a<![foo[x]]>b", "ab"),
+        ("<![ endif]>c<![if !IE]>d<![endif]>e<![", "cde"),
+        ("f<![CDATA[x]]>g<svg><text><![CDATA[h>i]]></text></svg>", "fg\nh>i"),
+        ("<table><tr><td colspan='²'>a<td colspan=" + "9" * 5000 + ">b<td colspan='٣'>c</table>", "a  b" + "  " * 100 + "c"),
+        ("x&#" + "9" * 5000 + ";y&#" + "0" * 5000 + "65;<ol start='²'><li>z</ol>", "x\ufffdyA\n\n1. z"),
+    ],
+)
+def test_odd_pages_do_not_end_the_job(spark, html, text):
+    assert page_text(html) == text
+    pages = spark.createDataFrame([(1, html), (2, "other")], "page_id long, html string")
+    assert {r["page_id"]: r["text"] for r in extract_text(pages).collect()} == {1: text, 2: "other"}
+
+
 def test_word_lists_of_all_pages(spark, sf_dir):
     import html
     import re
