@@ -12,8 +12,8 @@ the method, so its phases hold:
 3. The k-th largest complete total now bounds better what entries and cutoffs allow a row at most. Missing
    partial scores of the rows that are left are asked for, and the best ``k`` are taken.
 
-Equal vectors form one class with its ``k + 1`` smallest ids, as no other member can be in a result, and equal
-queries are answered once. Queries meet rows in blocks; a task holds two blocks. Scores are integers
+Equal vectors form one class with its smallest ids, ``k`` and as many more as a query's id has vectors, as no other
+member can be in a result, and equal queries are answered once. Queries meet rows in blocks; a task holds two blocks. Scores are integers
 and must fit in 64 bits; partial scores beyond 2^53 are added as Python integers.
 """
 
@@ -150,19 +150,23 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int, key: str =
     """``(query_id, rank, vec_id, score)``: the ``k`` rows of largest integer inner product with each query, ties to smaller ids.
 
     ``vector`` holds integers (see ``quantised``); missing components of shorter vectors count as zero. Rows with a
-    null id or vector take no part, a query never finds its own id, and an id that repeats stands for its
-    least vector. Queries without any other row, and empty tables, give no rows.
+    null id or vector take no part, and a query never finds its own id. Rows that repeat an id with other vectors all
+    count, and the ``k`` best of all vectors of a query's id are its result; rows that repeat both are one. Queries
+    without any other row, and empty tables, give no rows.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("asks")).filter("id IS NOT NULL AND v IS NOT NULL")
-    rows = cut(rows.groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks")), "vectors")
+    rows = cut(rows.groupBy("id", "v").agg(F.max("asks").alias("asks")), "vectors")
     result = "query_id long, rank int, vec_id long, score long"
     size = rows.agg(F.max(F.size("v"))).first()[0]
     if not size and rows.isEmpty():
         return vectors.sparkSession.createDataFrame([], result)
-    kept = k + 1
+    # A query's own id is left out at the end, with every vector it has.
+    kept = k + (rows.filter("asks").groupBy("id").count().agg(F.max("count")).first()[0] or 1)
     members = _best(rows.select("id", "v"), ["v"], [F.col("id")], kept)
-    counts = rows.groupBy("v").agg(F.min("id").alias("class"), F.count("*").alias("n_rows"), F.count_if("asks").alias("n_asks"))
-    classes = cut(members.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("members")).join(counts, "v").select("class", "v", "members", "n_asks"), "classes")
+    counts = rows.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n_rows"), F.count_if("asks").alias("n_asks"))
+    # Classes are numbered in the order of their least ids, which decides between equal scores.
+    classes = members.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("members")).join(counts, "v").orderBy("least", "v")
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("class"), "v", "members", "n_asks"), "classes")
     asking = classes.filter("n_asks > 0")
     if asking.isEmpty():
         return vectors.sparkSession.createDataFrame([], result)
@@ -203,5 +207,6 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int, key: str =
     queries = rows.filter("asks").select(F.col("id").alias("query_id"), "v")
     answered = join_unique(queries, hits.join(sizes, "query").select("v", "hits", "n_asks"), ["v"], "n_asks")
     others = F.slice(F.filter("hits", lambda h: h["id"] != F.col("query_id")), 1, k)
-    ranked = answered.select("query_id", F.posexplode(others).alias("rank", "hit"))
-    return ranked.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.below")).alias("score"))
+    ranked = answered.select("query_id", F.explode(others).alias("hit")).select("query_id", F.col("hit.id").alias("vec_id"), (-F.col("hit.below")).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -236,6 +236,20 @@ def test_top_products_corner_cases(spark):
     assert top([(5, [big, big]), (6, [big, -1]), (7, [1, 1])]) == [(5, 1, 6, big * big - big), (5, 2, 7, 2 * big)]
 
 
+def test_repeated_ids_keep_all_their_vectors(spark):
+    rnd = random.Random(8)
+    rows = [(i % 20, [rnd.randint(-3, 3) for _ in range(3)]) for i in range(90)]
+    rows += [*rows[:9], *((7, rows[i][1]) for i in range(20)), *((5, [9, 9, i]) for i in range(12))]
+    distinct = sorted({(i, tuple(v)) for i, v in rows})
+    want = []
+    for q in range(0, 20, 5):
+        scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), j) for i, a in distinct if i == q for j, b in distinct if j != q)
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(scores[:4])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<bigint>")
+    found = top_inner_products(vectors, F.col("vec_id") % 5 == 0, 4, block_rows=20, query_rows=8)
+    assert sorted(map(tuple, found.collect())) == want
+
+
 def test_poisson_counts_invert_the_distribution(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, None).otherwise("s").alias("source"), F.lit("t").alias("copy"))
     weights = spark.createDataFrame([(None, 3.0), ("s", 1.0), ("unknown", 9.0)], "source string, weight double")
