@@ -178,3 +178,102 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     return label_languages(docs.select("doc_id", "text"), fit(docs)).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def _field_sql(c: str) -> str:
+    return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+
+
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_CRC_STEP = "list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), {})"
+_CRC_SQL = f"xor(list_reduce(string_split(doc_id::VARCHAR, ''), lambda c, x: {_CRC_STEP.format('xor(c, ascii(x))')}, 4294967295::BIGINT), 4294967295)"
+# Levels of the SQL's trees: up to 8^7 leaves a language and 8^2 languages.
+_LEVELS, _TOPS = 7, 2
+
+
+def _level_sql(source: str, target: str, tree: str, carry: str) -> str:
+    """Nodes of ``source`` with their siblings (``{target}_s``), and their parents (``{target}``)."""
+    return f"""
+{target}_s AS (SELECT *,
+    coalesce(string_agg(h, '') OVER (PARTITION BY {tree}pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lefts,
+    coalesce(string_agg(h, '') OVER (PARTITION BY {tree}pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rights FROM {source}),
+{target} AS (SELECT {carry}pos // 8 AS pos, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN sha256(h || rights) ELSE h END AS h FROM {target}_s WHERE pos % 8 = 0)"""
+
+
+_MERKLE_SQL = f"""
+WITH l0 AS (SELECT doc_id, lang, sha256({' || '.join(map(_field_sql, ('doc_id', 'source', 'lang', 'n_chars', 'text')))}) AS h,
+    sha256({' || '.join(map(_field_sql, ('doc_id', 'source', 'lang', 'n_chars')))} || {_field_sql(f"translate(text, '{_UP}', '{_LOW}')")}) AS low,
+    coalesce({_CRC_SQL} % 3 = 0, false) AS bad FROM documents),
+a0 AS (SELECT doc_id, lang, h, CASE WHEN bad THEN low ELSE h END AS held, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n FROM l0),
+{','.join(_level_sql(f'a{i}', f'a{i + 1}', 'lang, ', 'lang, ') for i in range(_LEVELS))},
+t0 AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM a{_LEVELS}),
+{','.join(_level_sql(f't{i}', f't{i + 1}', '', '') for i in range(_TOPS))},
+f0 AS (SELECT doc_id, lang, pos, n, h AS leaf, held AS f, '' AS proof FROM a0),
+{','.join(f"""
+f{i + 1} AS (SELECT f.doc_id, f.lang, f.pos // 8 AS pos, (f.n + 7) // 8 AS n, leaf, CASE WHEN f.n > 1 THEN sha256(lefts || f || rights) ELSE f END AS f,
+    CASE WHEN f.n > 1 THEN proof || lefts || rights ELSE proof END AS proof
+    FROM f{i} f JOIN a{i + 1}_s s ON f.lang IS NOT DISTINCT FROM s.lang AND f.pos = s.pos)""" for i in range(_LEVELS))},
+g0 AS (SELECT f.doc_id, t.pos, t.n, leaf, f, proof, t.h AS subroot FROM f{_LEVELS} f JOIN t0 t ON f.lang IS NOT DISTINCT FROM t.lang),
+{','.join(f"""
+g{i + 1} AS (SELECT doc_id, g.pos // 8 AS pos, (g.n + 7) // 8 AS n, leaf, subroot, CASE WHEN g.n > 1 THEN sha256(lefts || f || rights) ELSE f END AS f,
+    CASE WHEN g.n > 1 THEN proof || lefts || rights ELSE proof END AS proof FROM g{i} g JOIN t{i + 1}_s s ON g.pos = s.pos)""" for i in range(_TOPS))}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified FROM g{_TOPS}, t{_TOPS}
+"""
+
+
+@_query("op11_merkle_manifest", _MERKLE_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridterrain.llm.merkle import hex_text, leaf_digest, merkle_proofs, proof_digest
+
+    names = ["doc_id", "source", "lang", "n_chars"]
+    docs = _table(spark, sf_dir, "documents").select(*names, "text")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    leaf = leaf_digest(F.col(n) for n in [*names, "text"])
+    lowered = leaf_digest([*[F.col(n) for n in names], F.translate("text", _UP, _LOW)])
+    rows = docs.select("doc_id", "lang", leaf.alias("leaf"), F.when(tampered, lowered).alias("other"))
+    rows = rows.select("doc_id", "lang", "leaf", F.coalesce("other", "leaf").alias("held"))
+    found = merkle_proofs(rows, "doc_id", "lang", "leaf", "held")
+    return found.select(
+        "doc_id", hex_text(F.col("leaf")).alias("leaf"), hex_text(F.col("subroot")).alias("subroot"), hex_text(F.col("root")).alias("root"),
+        hex_text(proof_digest(F.col("path"))).alias("proof_sha256"), hex_text(F.col("folded_root")).alias("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+_AUDIT_SQL = """
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+fails AS (
+  SELECT doc_id, part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS mask FROM w),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masks AS (SELECT part, mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM fails LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+steps AS (SELECT filter_order, i::INTEGER AS step, bits[i] AS own, coalesce(list_sum(bits[1:i - 1]), 0)::INTEGER AS earlier FROM orders, unnest(range(1, 6)) AS s(i)),
+found AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (mask & earlier = 0 AND mask & own = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & earlier = 0 AND mask & own <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & earlier <> 0 AND mask & own <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (mask & earlier = 0 AND mask & own <> 0 AND good), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (mask & earlier = 0 AND mask & own <> 0 AND toxic), 0)::BIGINT AS toxic_lost
+  FROM masks, steps GROUP BY ALL)
+SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM found
+"""
+
+
+@_query("op12_filter_audit", _AUDIT_SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridterrain.llm.audit import interactions, part_counters, stream_masks
+
+    masks = stream_masks(spark, f"{sf_dir}/documents.parquet")
+    return interactions(part_counters(masks, _table(spark, sf_dir, "labels")))
+
+
+@_query("op13_quality_rules")
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridterrain.llm.outliers import judge_quality
+
+    return judge_quality(_table(spark, sf_dir, "documents"))
