@@ -26,6 +26,9 @@ from gridterrain.scratch import scratch_path
 
 FILTERS = "ABCDE"
 COPY_BIT = 16
+# State beyond this many bytes goes to RocksDB; below, the session's store (by default the executors' memory) holds it.
+# An entry of the state has a digest of 32 bytes, an id, a count, a mask and a part.
+MEMORY_STATE, _ENTRY = 1 << 30, 64
 # The state of this many rows makes one value of the state store.
 ROWS_PER_BUCKET = 4_000
 # Files are dealt into about this many micro-batches.
@@ -127,8 +130,9 @@ def stream_masks(spark: SparkSession, path: str, key: str = "doc_id", text: str
     )
     deltas = rows.groupBy("bucket").applyInPandasWithState(_retract, _DELTA, _STATE, "append", GroupStateTimeout.NoTimeout)
     found = scratch_path(spark, "masks")
-    before = {name: spark.conf.get(name, None) for name in _STORE}
-    for name, value in _STORE.items():
+    store = _STORE if size * _ENTRY > MEMORY_STATE else {}
+    before = {name: spark.conf.get(name, None) for name in store}
+    for name, value in store.items():
         spark.conf.set(name, value)
     try:
         query = deltas.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "progress")).trigger(availableNow=True).start(found)

@@ -5,7 +5,7 @@ component by component, modulo powers of two:
 
 * ``exact``: 16 components modulo 2^32 over whole paragraphs. Two texts with the same paragraphs, in any
   order, have the same sums, and a paragraph is inserted or deleted by adding or subtracting its vector.
-* ``near``: 64 components modulo 2^24 over the paragraphs cut into runs of eight words, with odd values of
+* ``near``: 64 components modulo 2^40 over the paragraphs cut into runs of eight words, with odd values of
   mean zero. The squared length of the difference of two such sums estimates how many runs differ.
 
 Only built-in functions run here, inside a projection; nothing is shuffled for a fingerprint. A null text is
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 EXACT_PARTS, EXACT_BITS = 16, 32
-NEAR_PARTS, NEAR_BITS = 64, 24
+NEAR_PARTS, NEAR_BITS = 64, 40
 _RUN = r"[^\S\n]*(?:\S+[^\S\n]*){1,8}"
 
 

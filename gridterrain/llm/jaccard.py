@@ -204,7 +204,8 @@ def _candidate_ties(sets: DataFrame, threshold: float) -> DataFrame:
     while True:
         counts = rows.groupBy("path").agg(F.count("*").alias("n_sets"), F.min("rep").alias("pivot")).filter("n_sets > 1")
         counts = cut(counts, "buckets")
-        live = join_unique(rows, counts.filter(F.col("n_sets") <= BUCKET).select("path", "n_sets"), ["path"], "n_sets")
+        # No small bucket is hot, so this join needs no look at its keys.
+        live = rows.join(counts.filter(F.col("n_sets") <= BUCKET).select("path"), "path")
         small = live.join(signed, "rep").select("path", "rep", "sig").repartition("path").sortWithinPartitions("path", "rep")
         found = small.mapInArrow(_tie_small, "a long, b long")
         ties = found if ties is None else ties.unionByName(found)
@@ -420,7 +421,8 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 def without_near_copies(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each class: that of the least id, and of its texts one. Texts without words all stay, repeated rows once."""
     _, classed, wordless = _classed(docs, words, threshold, recall, key, text)
-    kept = classed.select(F.col("class_id").alias("_id"), F.col("class_mark").alias("_mark")).distinct().unionByName(wordless.toDF("_id", "_mark").distinct())
-    # One key for the join and for repeated rows, so that texts are shuffled once.
-    names = [F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(F.col(text)).alias("_mark")]
-    return docs.select("*", *names).join(kept, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+    kept = classed.select("class_id", "class_mark").distinct().unionByName(wordless.toDF("class_id", "class_mark").distinct())
+    # One key for the join and for repeated rows, so that texts are shuffled once. No name of the input can meet one of ours.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    marked = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("class_id"), F.xxhash64(F.col(text)).alias("class_mark"))
+    return marked.join(kept, ["class_id", "class_mark"], "left_semi").dropDuplicates(["class_id", "class_mark"]).select(*names).toDF(*docs.columns)

@@ -64,6 +64,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame, total: float | None = None,
     new names are replaced.
     """
     docs = docs.drop("copy", "shuffle_key")
+    named = docs.columns
+    inner = [f"c{i}" for i in range(len(named))]  # no name of the input can meet one of ours
+    docs, source, key = docs.toDF(*inner), inner[named.index(source)], inner[named.index(key)]
     counts = source_counts(docs, source)
     known = counts.join(weights, counts["source"].eqNullSafe(weights["source"])).select(counts["source"].alias("s"), "n_docs", F.col("weight").cast("double"))
     known = cut(known, "weights")
@@ -75,9 +78,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame, total: float | None = None,
     uniform = _hash52(seed, "copies", F.col(key)).cast("double") / float(1 << _BITS)
     counted = join_unique(docs.withColumn("_mix_key", _source_key(F.col(source))), rates.withColumnRenamed("n_docs", "_mix_docs"), ["_mix_key"], "_mix_docs")
     counted = counted.withColumn("_mix_copies", poisson_count(uniform, F.col("_mix_steps"))).filter("_mix_copies > 0")
-    copies = counted.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("_mix_copies") - 1)).alias("copy"))
+    copies = counted.select(*inner, F.explode(F.sequence(F.lit(0), F.col("_mix_copies") - 1)).alias("copy"))
     shuffled = copies.withColumn("shuffle_key", _hash52(seed, "order", F.col(key), F.col("copy")))
-    return shuffled.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    return shuffled.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key").toDF(*named, "copy", "shuffle_key")
 
 
 def _source_key(source: Column) -> Column:

@@ -10,7 +10,7 @@ A task hashes the words of a slice of documents and keeps one entry for each dif
 the others are decided on the spot. So an entry's bucket gets at most one row's worth of it from each
 slice, however often a window occurs. Entries travel packed by bucket, decisions packed by
 groups of documents, where they meet the texts again. Windows are equal if two independent hashes agree, one of
-64 bits and the bucket number. The order of occurrences is (id, hash of the text, place): rows of equal
+64 bits and one of 32 and the bucket number; others agree in both with a chance below 2^-96 a pair. The order of occurrences is (id, hash of the text, place): rows of equal
 id and text count as one document, a null id comes first. Null texts have no words.
 """
 
@@ -26,9 +26,9 @@ from gridterrain.llm.words import hashed_words, inside, windows
 from gridterrain.llm.workers import blob, slices, sorted_groups, utf8
 
 SIZE = 20
-_ENTRIES = "bucket int, decided boolean, hashes binary, ids binary, marks binary, places binary, many binary"
+_ENTRIES = "bucket int, decided boolean, hashes binary, others binary, ids binary, marks binary, places binary, many binary"
 _DECISIONS = "part int, ids binary, marks binary, places binary, later binary"
-_ENTRY_SCHEMA = pa.schema([("bucket", pa.int32()), ("decided", pa.bool_()), ("hashes", pa.binary()), ("ids", pa.binary()), ("marks", pa.binary()), ("places", pa.binary()), ("many", pa.binary())])
+_ENTRY_SCHEMA = pa.schema([("bucket", pa.int32()), ("decided", pa.bool_()), ("hashes", pa.binary()), ("others", pa.binary()), ("ids", pa.binary()), ("marks", pa.binary()), ("places", pa.binary()), ("many", pa.binary())])
 _DECISION_SCHEMA = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("marks", pa.binary()), ("places", pa.binary()), ("later", pa.binary())])
 _FLUSH = 1 << 20
 
@@ -62,13 +62,14 @@ def _entries(words: np.ndarray, firsts: np.ndarray, places: np.ndarray, length:
     within, k, m = (places - firsts[text]).astype(np.uint32), ids[text], marks[text]
     order = np.argsort(hashes, kind="stable")
     new = np.ones(len(order), bool)
-    new[1:] = hashes[order][1:] != hashes[order][:-1]
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (other[order][1:] != other[order][:-1])
     head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     repeat = np.zeros(len(order), bool)
     repeat[order] = (k[order] != k[head]) | (m[order] != m[head]) | (within[order] != within[head])
     many = np.zeros(len(order), bool)
     many[head[repeat[order]]] = True
     heads = np.sort(order[new])
+    tails = (other >> np.uint64(32)).astype(np.uint32)
     out = []
 
     def pack(rows: np.ndarray, bucket: np.ndarray, decided: bool) -> None:
@@ -78,7 +79,7 @@ def _entries(words: np.ndarray, firsts: np.ndarray, places: np.ndarray, length:
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(rows)], strict=True):
             r = rows[a:b]
             if len(r):
-                out.append({"bucket": int(at[a]), "decided": decided, "hashes": b"" if decided else blob(hashes[r]), "ids": blob(k[r]), "marks": blob(m[r]), "places": blob(within[r]), "many": b"" if decided else blob(many[r])})
+                out.append({"bucket": int(at[a]), "decided": decided, "hashes": b"" if decided else blob(hashes[r]), "others": b"" if decided else blob(tails[r]), "ids": blob(k[r]), "marks": blob(m[r]), "places": blob(within[r]), "many": b"" if decided else blob(many[r])})
 
     pack(heads, (other % np.uint64(buckets)).astype(np.int32), False)
     pack(np.flatnonzero(repeat), _part_of(k, m, buckets), True)
@@ -110,7 +111,7 @@ def _decide(buckets: int, parts: int, firsts_too: bool):
                 held.append((k, read(sure, "marks", np.int64), read(sure, "places", np.uint32), np.ones(len(k), bool)))
                 size += len(k)
             rows = [r for r in rows if not r["decided"]]
-            hashes, k, m, p, many = read(rows, "hashes", np.uint64), read(rows, "ids", np.int64), read(rows, "marks", np.int64), read(rows, "places", np.uint32), read(rows, "many", bool)
+            hashes, others, k, m, p, many = read(rows, "hashes", np.uint64), read(rows, "others", np.uint32), read(rows, "ids", np.int64), read(rows, "marks", np.int64), read(rows, "places", np.uint32), read(rows, "many", bool)
             order = np.argsort(hashes, kind="stable")
             h = hashes[order]
             new = np.ones(len(h), bool)
@@ -118,10 +119,10 @@ def _decide(buckets: int, parts: int, firsts_too: bool):
             group_of = np.cumsum(new) - 1
             alone = np.bincount(group_of, minlength=1)[group_of] == 1 if len(h) else np.zeros(0, bool)
             kept = order[~alone | many[order]]  # the few that need a full order
-            order = kept[np.lexsort((p[kept], m[kept], k[kept], hashes[kept]))]
-            h, k, m, p, many = hashes[order], k[order], m[order], p[order], many[order]
+            order = kept[np.lexsort((p[kept], m[kept], k[kept], others[kept], hashes[kept]))]
+            h, o, k, m, p, many = hashes[order], others[order], k[order], m[order], p[order], many[order]
             new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
+            new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
             head, group_of = np.flatnonzero(new), np.cumsum(new) - 1
             first = head[group_of]
             later = (k != k[first]) | (m != m[first]) | (p != p[first])

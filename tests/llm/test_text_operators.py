@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from gridterrain.llm import jaccard, substrings
 from gridterrain.llm.fingerprints import add_fingerprints, edit_likeness, fingerprint, fingerprint_text
 from gridterrain.llm.jaccard import jaccard_classes, runs_for, without_near_copies
-from gridterrain.llm.language import _new_model, fit, is_held_out, label_languages, loss_and_gradients
+from gridterrain.llm.language import PAD, STEPS, UNITS, _new_model, fit, is_held_out, label_languages, loss_and_gradients, pooled, train
+from gridterrain.llm.mixing import mix_sources
 from gridterrain.llm.substrings import longest_repeats, remove_repeats
+from gridterrain.llm.words import hashed_words, windows
 
 DOCS = "doc_id long, text string, part string, copies string"
 
@@ -184,6 +186,45 @@ def test_gradients_are_those_of_the_loss():
         assert abs((ends[0] - ends[1]) / 2e-2 - grad[at]) < 1e-3
 
 
+def by_hand(model, text):
+    """Label probabilities of one text, segment by segment and byte by byte."""
+    squash = lambda x: x / (1 + abs(x))
+    total = np.zeros(len(model.labels))
+    for start in range(0, len(text), STEPS):
+        part = text[start : start + STEPS]
+        sides = []
+        for d, codes in ((model.forward, part), (model.backward, part[::-1])):
+            h, states = np.zeros(UNITS), []
+            for c in codes:
+                z, r = (0.5 + 0.5 * squash(d.table[i][c] + h @ d.back[i]) for i in (0, 1))
+                n = squash(d.table[2][c] + r * (h @ d.back[2] + d.bias))
+                h = z * h + (1 - z) * n
+                states.append(h)
+            sides.append(states)
+        for f, b in zip(sides[0], sides[1][::-1], strict=True):
+            e = np.exp(np.concatenate([f, b]) @ model.out + model.out_bias)
+            total += e / e.sum()
+    return total / max(1, len(text))
+
+
+def test_prediction_equals_a_plain_loop_for_any_length_and_company():
+    rng = np.random.default_rng(3)
+    model = train([bytes(rng.integers(97 + 5 * (i % 3), 110, int(n), np.uint8)) for i, n in enumerate(rng.integers(1, 65, 90))], [f"l{i % 3}" for i in range(90)], epochs=2)
+    texts = [bytes(rng.integers(0, 256, n, np.uint8)) for n in (1, 63, 64, 65, 0, 2, 200, 130_000, 64)]
+    bounds = np.cumsum([0, *map(len, texts)])
+    found = pooled(model, np.frombuffer(b"".join(texts), np.uint8), bounds)
+    assert np.allclose(found, [by_hand(model, t) for t in texts], atol=2e-5)
+
+
+def test_training_and_prediction_see_the_same_positions():
+    rng = np.random.default_rng(4)
+    model, text = _new_model(["a", "b"], rng), bytes(rng.integers(0, 256, 40, np.uint8))
+    codes = np.full((STEPS, 1), PAD)
+    codes[:40, 0] = list(text)
+    loss, _ = loss_and_gradients(model, codes, np.array([1]))
+    assert np.isclose(loss, loss_and_gradients(model, codes[:40], np.array([1]))[0], atol=1e-6)
+
+
 def test_held_out_languages_are_recognised(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
     labelled = label_languages(docs.withColumn("lang", F.when(is_held_out(F.col("doc_id")), None).otherwise(F.col("lang"))), fit(docs)).select("doc_id", "lang_pred", "score")
@@ -215,8 +256,8 @@ def brute_fingerprint(text):
         exact = [(e + (h[i // 2] >> 32 * (i % 2))) % 2**32 for i, e in enumerate(exact)]
     for run in re.findall(r"[^\S\n]*(?:\S+[^\S\n]*){1,8}", text, re.A):
         h = hashes(run, 8)
-        near = [(v + (h[i // 8] >> 8 * (i % 8) & 255) * 2 - 255) % 2**24 for i, v in enumerate(near)]
-    return "".join(f"{x:08x}" for x in exact) + "".join(f"{x:06x}" for x in near)
+        near = [(v + (h[i // 8] >> 8 * (i % 8) & 255) * 2 - 255) % 2**40 for i, v in enumerate(near)]
+    return "".join(f"{x:08x}" for x in exact) + "".join(f"{x:010x}" for x in near)
 
 
 def test_fingerprints_equal_brute_force(spark):
@@ -247,3 +288,63 @@ def test_fingerprints_corner_cases(spark):
     assert edit_likeness(rows.limit(0)).collect() == []
     assert [(r["edited"], r["near_next"]) for r in edit_likeness(rows.limit(1)).collect()] == [("aa", 1.0)]
     assert hashlib.sha256(b"aa").hexdigest() == edit_likeness(rows.limit(1)).select(F.sha2("edited", 256)).first()[0]
+
+
+def thue_morse(levels, a, b):
+    one, two = [a], [b]
+    for _ in range(levels):
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_words_and_windows_that_collide_in_powers_of_two(spark):
+    one, two = ("".join(x) for x in thue_morse(11, "a", "b"))
+    data = f"{one} {two}".encode()
+    hashes = hashed_words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
+    assert hashes[0] != hashes[1]
+    values = np.array([*thue_morse(11, 3, 8)[0], *thue_morse(11, 3, 8)[1]], np.uint64)
+    for other in (False, True):
+        found = windows(values, 2048, other)
+        assert found[0] != found[2048]
+    filler = " ".join(f"f{i}" for i in range(25))
+    rows = spark.createDataFrame([(1, f"{filler} {one}"), (2, f"x {one}"), (3, f"y {two} z")], "doc_id long, text string")
+    texts = spark.createDataFrame([(1, " ".join(f"p{i}" for i in range(19)) + " " + one), (2, " ".join(f"p{i}" for i in range(19)) + " " + two)], "doc_id long, text string")
+    assert [r["n_removed"] for r in remove_repeats(texts).collect()] == [0, 0]
+    alone = [(r["doc_id"], r["n_links"]) for r in jaccard_classes(spark.createDataFrame([(1, f"{one} " * 5), (2, f"{two} " * 5)], "doc_id long, text string")).collect()]
+    assert sorted(alone) == [(1, 0), (2, 0)]
+    assert all(r["n_removed"] == 0 for r in remove_repeats(rows).collect())
+
+
+def test_hashes_of_words_depend_on_the_word_alone():
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("ab é\t") for _ in range(rnd.randint(0, 60))) for _ in range(200)]
+    data = "".join(texts).encode()
+    bounds = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    hashes, starts, ends, _ = hashed_words(np.frombuffer(data, np.uint8), bounds)
+    found = {}
+    for h, a, b in zip(hashes.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        assert found.setdefault(data[a:b], h) == h
+    assert len(set(found.values())) == len(found)
+    words = np.array([found[w] for w in sorted(found)] * 2, np.uint64)
+    for size in (1, 2, 3, 5, 10, 20):
+        once = windows(words, size)
+        assert (once[: len(found) - size + 1] == once[len(found) : len(found) + len(found) - size + 1]).all()
+        assert len(set(once[: len(found)].tolist())) == len(found)
+
+
+def test_likeness_does_not_depend_on_how_often_lines_repeat(spark):
+    from gridterrain.llm.fingerprints import likeness
+
+    rows = spark.createDataFrame([(n, "a b c\n" * n, "a b c\n" * (n // 2) + "x y z\n" * (n // 2)) for n in (1000, 100_000)], "n int, one string, two string")
+    found = rows.select(likeness(fingerprint(F.col("one")), fingerprint(F.col("two")))).collect()
+    assert abs(found[0][0] - found[1][0]) < 1e-6
+
+
+def test_names_of_the_input_meet_none_of_the_operators(spark):
+    names = ["_letters", "letters", "c0", "_mix_key", "_mix_steps", "_mix_docs", "_mix_copies", "_id", "_mark", "class_id"]
+    docs = spark.createDataFrame([(1, "abc def", "s"), (2, "xyz", "s")], "doc_id long, text string, source string").withColumns({n: F.lit(n) for n in names})
+    weights = spark.createDataFrame([("s", 1.0)], "source string, weight double")
+    model = train([b"abc", b"xyz"], ["a", "b"], epochs=1)
+    for found in (label_languages(docs, model), mix_sources(docs, weights, total=20.0), without_near_copies(docs)):
+        assert found.columns[: len(docs.columns)] == docs.columns
+        assert found.count() and all(r[n] == n for r in found.collect() for n in names)
