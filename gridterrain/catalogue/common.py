@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridterrain import fixtures
 from gridterrain.operators.quality import add_breakdown, add_lookups
 from gridterrain.plans.generate import stored_lookups
+from gridterrain.scratch import cut, scratch_path
+from gridterrain.sources.archives import read_archives, store_of
 from gridterrain.sources.dims import grid_squares
 from gridterrain.sources.lookups import load_lookups
 from gridterrain.sources.tiles import tile_headers
@@ -54,3 +61,31 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def squares(spark: SparkSession) -> DataFrame:
     return grid_squares(spark)
+
+
+def zipped(name: str, data: str) -> bytes:
+    """An archive of one file."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(name, data)
+    return out.getvalue()
+
+
+def stored_archives(made: DataFrame) -> DataFrame:
+    """Archives ``(archive, content)`` written as files by their tasks, and listed.
+
+    Their bytes are written as a table first, so a task that runs again writes the same files.
+    """
+    folder = scratch_path(made.sparkSession, "zips")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, inner = store_of(folder)
+        store.create_dir(inner, recursive=True)
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                with store.open_output_stream(f"{inner}/{row.archive}") as out:
+                    out.write(row.content)
+            yield batch[["archive"]]
+
+    cut(cut(made, "archives").mapInPandas(write, "archive string"), "written")
+    return read_archives(made.sparkSession, folder)

@@ -77,7 +77,7 @@ def _zip_areas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _built(spark: SparkSession, sf: str) -> generate.Built:
-    zipped = scratch.cut(ingest._raw(spark, sf).mapInPandas(_zip_areas, "archive string, content binary"), "archives")
+    zipped = common.stored_archives(ingest._raw(spark, sf).mapInPandas(_zip_areas, "archive string, content binary"))
     return generate.build_from_archive(
         spark, zipped, fixtures.area_sheet(spark, sf), fixtures.county_sheet(spark, sf), fixtures.district_sheets(spark, sf), fixtures.ward_sheets(spark, sf)
     )

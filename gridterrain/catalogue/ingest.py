@@ -147,13 +147,6 @@ def _(spark, sf):
 _ZIPPED = "archive string, content binary"
 
 
-def _zip(name: str, data: str) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr(name, data)
-    return out.getvalue()
-
-
 def _zip_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One archive per batch of rows with a file per area, and one archive with a stray folder."""
     for batch in batches:
@@ -162,14 +155,13 @@ def _zip_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for file, rows in batch.groupby("file"):
                 z.writestr(f"Data/CSV/{file}", rows[HEADER_LONG].to_csv(header=False, index=False))
         first = batch["row_id"].iloc[0]
-        bad = _zip("Other/ng.csv", "AB1 0AA\n")
+        bad = common.zipped("Other/ng.csv", "AB1 0AA\n")
         yield pd.DataFrame({"archive": [f"a{first}.zip", f"b{first}.zip"], "content": [out.getvalue(), bad]})
 
 
 @query("s10_unpack_archives", sql("scanned", f"SELECT {_SCANNED} FROM scanned"))
 def _(spark, sf):
-    # Zipping is repeatable only if batches are, so the archives are written before they are read twice.
-    zipped = scratch.cut(_raw(spark, sf).mapInPandas(_zip_batches, _ZIPPED), "archives")
+    zipped = common.stored_archives(_raw(spark, sf).mapInPandas(_zip_batches, _ZIPPED))
     return postcodes.postcodes_from_lines(archives.entry_lines(zipped, postcodes.DATA_ENTRY))
 
 
@@ -192,9 +184,9 @@ def _zip_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One archive per tile; every seventh tile has two, every eleventh the wrong file inside."""
     for batch in batches:
         for t in batch.itertuples(index=False):
-            name = "XX00.asc" if t.number % 11 == 5 else f"{t.code}.asc"
-            data = _zip(name, t.text)
-            paths = [f"/data/{t.code.lower()}_grid.zip"] + ([f"/data/{t.code.lower()}_copy.zip"] if t.number % 7 == 3 else [])
+            name = "OTHER.asc" if t.number % 11 == 5 else f"{t.code}.asc"
+            data = common.zipped(name, t.text)
+            paths = [f"{t.code.lower()}_grid.zip"] + ([f"{t.code.lower()}_copy.zip"] if t.number % 7 == 3 else [])
             yield pd.DataFrame({"archive": paths, "content": [data] * len(paths)})
 
 
@@ -210,13 +202,14 @@ def _zip_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 )
 def _(spark, sf):
     number = (F.col("north") * 2 + F.col("east")).cast("bigint")
-    # A tile's name has four letters or digits; a number beyond them is refused, as names would collide.
-    code = F.when(number < 36**4, F.lpad(F.conv(number.cast("string"), 10, 36), 4, "0")).otherwise(F.raise_error(F.lit("too many tiles")))
-    tiles = fixtures.tile_texts(spark, sf).select(number.alias("number"), code.alias("code"), "text")
-    zipped = scratch.cut(tiles.mapInPandas(_zip_tiles, _ZIPPED), "tile-archives")
+    texts = fixtures.tile_texts(spark, sf).select(number.alias("number"), "text")
+    # Names are as wide as the largest number needs.
+    width = max(4, texts.agg(F.length(F.conv(F.max("number").cast("string"), 10, 36))).first()[0] or 0)
+    tiles = texts.withColumn("code", F.lpad(F.conv(F.col("number").cast("string"), 10, 36), width, "0"))
+    zipped = common.stored_archives(tiles.mapInPandas(_zip_tiles, _ZIPPED))
     from gridterrain.sources.tiles import tile_headers
 
-    read = tile_headers(archives.tile_archive_texts(zipped))
+    read = tile_headers(archives.tile_archive_texts(zipped, width=width))
     cells = F.when(F.col("fault").isNull(), F.col("nrows") * F.col("ncols")).otherwise(0)
     return read.select(F.conv("tile", 36, 10).cast("bigint").alias("number"), "files", "fault", cells.alias("cells"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gridterrain import fixtures
@@ -14,6 +15,7 @@ from gridterrain.functions.colour import LAND_RAMPS, NUMERIC, SCHEMES, WATER, la
 from gridterrain.functions.numeric import same_altitude
 from gridterrain.operators import altitudes, flat, terrain
 from gridterrain.plans import terrain_map
+from gridterrain.sources import dims
 
 
 def _rgb(channels: list[str]) -> str:
@@ -38,7 +40,8 @@ _EFF = """CASE WHEN alt >= 0 THEN alt * (1349.9::DOUBLE / (SELECT max(alt) FROM
 )
 def _(spark, sf):
     cells = common.heights(spark, sf)
-    factors = ramp_factors("standard", *terrain.altitude_range(cells.withColumn("real", F.lit(True))))
+    lowest, highest = cells.agg(F.min("alt"), F.max("alt")).first()
+    factors = ramp_factors("standard", F.lit(lowest), F.lit(highest))
     return cells.select("k", *land_colour("standard", F.col("alt"), factors))
 
 
@@ -215,7 +218,7 @@ _MOSAIC = """SELECT c."row", c.col, CASE WHEN s.status = 'ok' THEN c.alt ELSE -1
 @query("r4_mosaic", sql("cells", 'SELECT "row", col, alt, real FROM mosaic', tiles=_TILES, statuses=_STATUS, mosaic=_MOSAIC))
 def _(spark, sf):
     wanted, headers = _tile_inputs(spark, sf)
-    return terrain.mosaic(terrain.tile_statuses(wanted, headers), headers)
+    return terrain.mosaic(terrain.tile_statuses(wanted, headers), headers).drop("request_id")
 
 
 @query(
@@ -230,8 +233,8 @@ def _(spark, sf):
 def _(spark, sf):
     wanted, headers = _tile_inputs(spark, sf)
     statuses = terrain.tile_statuses(wanted, headers)
-    lo, hi = terrain.altitude_range(terrain.mosaic(statuses, headers))
-    return terrain.request_status(statuses).withColumn("min_alt", F.lit(lo)).withColumn("max_alt", F.lit(hi))
+    ranges = terrain.altitude_ranges(terrain.mosaic(statuses, headers)).select("request_id", F.col("lowest").alias("min_alt"), F.col("highest").alias("max_alt"))
+    return terrain.request_status(statuses).join(ranges, "request_id", "left")
 
 
 @query(
@@ -317,29 +320,87 @@ def _(spark, sf):
     return terrain.terrain_pixels(flat.grow_regions(fixtures.terrain_cells(spark, sf)), "standard")
 
 
-_Q11_EFF = """CASE WHEN alt >= 0 THEN alt * (1349.9::DOUBLE / (SELECT max(alt) FROM mosaic WHERE real)) ELSE alt * (9.9::DOUBLE / (SELECT abs(nullif(min(alt), 0)) FROM mosaic WHERE real)) END"""
-_Q11_NEAR = """SELECT c."row", c.col, c.alt, d."row" AS nrow, d.col AS ncol, d.alt AS nalt
+# Terrain maps start at request texts and at tile archives in a folder. The tiles of the spoilt mosaic lie in the national grid
+# from 400 km east and 200 km north on, a hundred to a column; every nation asks for an overlapping rectangle there, two for nothing.
+
+_REQUESTS = """SELECT k, 39 + k % 3 AS gx, 19 + (k // 3) % 3 AS gy, 1 + (k * 7) % 3 AS w, 1 + (k * 5) % 4 AS h FROM (SELECT n_nationkey AS k FROM nation) WHERE k NOT IN (5, 17)"""
+_ASKED_TILES = """SELECT k, de AS east, dn AS north, t.number, t.n, t.north AS tn, t.east AS te, t.number IS NOT NULL AND t.number % 5 <> 4 AS held
+  FROM requests JOIN range(3) AS x(de) ON de < w JOIN range(4) AS y(dn) ON dn < h
+    LEFT JOIN tiles t ON 40 + t.east + 2 * (t.north // 100) = gx + de AND 20 + t.north % 100 = gy + dn"""
+_MANY_SHAPES = "SELECT k, arg_min(n, east * 1000 + north) AS first_n FROM asked WHERE held AND number % 7 <> 3 AND number % 11 <> 5 GROUP BY k"
+_MANY_STATUS = """SELECT a.*, s.first_n, CASE WHEN NOT held THEN 'sea' WHEN number % 7 <> 3 AND number % 11 <> 5 AND n = s.first_n THEN 'ok' ELSE 'error' END AS status
+  FROM asked a LEFT JOIN shapes s USING (k)"""
+_MANY_MOSAIC = """SELECT s.k, c."row" - tn * 50 + s.north * (first_n // 50) AS "row", c.col - te * 50 + s.east * 50 AS col, c.alt, true AS real
+  FROM statuses s JOIN cells c ON c."row" // 50 = tn AND c.col // 50 = te WHERE status = 'ok'
+  UNION ALL SELECT k, north * (first_n // 50) + r, east * 50 + q, -1000, false FROM statuses JOIN range(50) AS a(r) ON r < first_n // 50 JOIN range(50) AS b(q) ON true WHERE status <> 'ok'"""
+_MANY_NEAR = """SELECT c.k, c."row", c.col, c.alt, d."row" AS nrow, d.col AS ncol, d.alt AS nalt
   FROM mosaic c JOIN (SELECT a AS dr, b AS dc FROM range(-1, 2) AS x(a), range(-1, 2) AS y(b) WHERE a <> 0 OR b <> 0) s ON true
-    JOIN mosaic d ON d."row" = c."row" + s.dr AND d.col = c.col + s.dc"""
+    JOIN mosaic d ON d.k = c.k AND d."row" = c."row" + s.dr AND d.col = c.col + s.dc"""
+_MANY_SEEDS = """SELECT c.k, c."row", c.col, c.alt, CASE WHEN c.alt = -1000 OR coalesce(n.same, 0) >= 6 THEN 1 ELSE 0 END AS seed
+  FROM mosaic c LEFT JOIN (SELECT k, "row", col, count(*) AS same FROM near WHERE abs(alt - nalt) < 0.01 GROUP BY ALL) n ON c.k = n.k AND c."row" = n."row" AND c.col = n.col"""
+_MANY_FLOOD = """SELECT k, "row", col FROM seeds WHERE seed = 1 AND alt <> -1000
+  UNION SELECT n.k, n.nrow, n.ncol FROM flood f JOIN near n ON n.k = f.k AND n."row" = f."row" AND n.col = f.col WHERE abs(n.alt - n.nalt) < 0.01 AND n.nalt <> -1000"""
+_MANY_MARKED = """SELECT s.k, s."row", s.col, s.alt, CASE WHEN s.seed = 1 THEN 1 WHEN f."row" IS NOT NULL THEN 2 ELSE 0 END AS water, e.lo, e.hi
+  FROM seeds s LEFT JOIN flood f ON s.k = f.k AND s."row" = f."row" AND s.col = f.col JOIN (SELECT k, min(alt) FILTER (real) AS lo, max(alt) FILTER (real) AS hi FROM mosaic GROUP BY k) e ON e.k = s.k"""
+_EFFECTIVE = "CASE WHEN alt >= 0 THEN alt * (1349.9::DOUBLE / nullif(hi, 0)) ELSE alt * (9.9::DOUBLE / abs(nullif(lo, 0))) END"
 
 
-def _q11_sql() -> str:
-    from gridterrain.catalogue.oracle import PARTS
-
-    seeds = PARTS["seeds"].replace("FROM cells c", "FROM mosaic c")
-    pixels = ", ".join(
-        f"CASE WHEN water = 0 THEN {c} ELSE {w} END::INT AS {n}" for c, w, n in zip(ramp(LAND_RAMPS["red"], "eff"), WATER["red"], "rgb")
-    )
+def _many_sql(body: str) -> str:
     return sql(
-        "cells", f'SELECT "row", col, {pixels} FROM (SELECT *, {_Q11_EFF} AS eff FROM marked)',
-        tiles=_TILES, statuses=_STATUS, mosaic=_MOSAIC, near=_Q11_NEAR, seeds=seeds, flood=PARTS["flood"], marked=PARTS["marked"],
+        "cells", body, tiles=_TILES, requests=_REQUESTS, asked=_ASKED_TILES, shapes=_MANY_SHAPES, statuses=_MANY_STATUS, mosaic=_MANY_MOSAIC,
+        near=_MANY_NEAR, seeds=_MANY_SEEDS, flood=_MANY_FLOOD, marked=_MANY_MARKED,
+    )
+
+
+def _many_requests(spark, sf):
+    """Request texts by nation: a square's name and a size; one with an unknown name, one without a width."""
+    k = F.col("n_nationkey").cast("bigint")
+    e, n = 39 + k % 3, 19 + F.floor(k / 3) % 3
+    name = F.concat(dims.square_name(F.floor(e / 10), F.floor(n / 10)), (e % 10).cast("string"), (n % 10).cast("string"))
+    size = F.concat((1 + (k * 7) % 3).cast("string"), F.lit("x"), (1 + (k * 5) % 4).cast("string"))
+    return fixtures.table(spark, sf, "nation").select(
+        k.alias("request_id"), F.when(k == 5, "nowhere").otherwise(F.lower(name)).alias("name"), F.when(k == 17, "0x2").otherwise(size).alias("dims"),
     )
 
 
-@query("q11_terrain_map", _q11_sql())
+def _zip_in_grid(batches):
+    """Tile archives as files are named; every seventh tile has two."""
+    for batch in batches:
+        for t in batch.itertuples(index=False):
+            names = [f"{t.tile.lower()}_grid.zip"] + ([f"{t.tile.lower()}_copy.zip"] if t.number % 7 == 3 else [])
+            yield pd.DataFrame({"archive": names, "content": [common.zipped(f"{t.tile}.asc", t.text)] * len(names)})
+
+
+def _grid_archives(spark, sf):
+    """Listed archives of the spoilt mosaic's tiles, named by their square of the national grid."""
+    number = (F.col("north") * 2 + F.col("east")).cast("bigint")
+    e, n = 40 + F.col("east") + 2 * F.floor(F.col("north") / 100), 20 + F.col("north") % 100
+    tile = F.concat(dims.square_name(F.floor(e / 10), F.floor(n / 10)), (e % 10).cast("string"), (n % 10).cast("string"))
+    spoilt = F.when(number % 11 == 5, F.replace("text", F.lit("cellsize"), F.lit("cell size"))).otherwise(F.col("text"))
+    texts = fixtures.tile_texts(spark, sf).filter(number % 5 != 4).select(number.alias("number"), tile.alias("tile"), spoilt.alias("text"))
+    return common.stored_archives(texts.filter("tile IS NOT NULL").mapInPandas(_zip_in_grid, "archive string, content binary"))
+
+
+def _q11_pixels() -> str:
+    pixels = ", ".join(f"CASE WHEN water = 0 THEN {c} ELSE {w} END::INT AS {n}" for c, w, n in zip(ramp(LAND_RAMPS["red"], "eff"), WATER["red"], "rgb"))
+    return f'SELECT k AS request_id, "row", col, {pixels} FROM (SELECT *, {_EFFECTIVE} AS eff FROM marked)'
+
+
+@query("q11_terrain_map", _many_sql(_q11_pixels()))
 def _(spark, sf):
-    wanted, headers = _tile_inputs(spark, sf)
-    return terrain_map.assemble(wanted, headers, "red").pixels()
+    """Overlapping requests, from their texts and zipped tiles to pixels."""
+    return terrain_map.terrain_map_from_archives(_many_requests(spark, sf), _grid_archives(spark, sf), "red").pixels()
+
+
+@query(
+    "q11_request_statuses",
+    _many_sql("""SELECT s.k AS request_id, east, north, status, m.cells FROM statuses s LEFT JOIN (SELECT k, count(*) AS cells FROM mosaic GROUP BY k) m ON m.k = s.k"""),
+)
+def _(spark, sf):
+    """Status of every tile of every request, and the size of the request's map."""
+    made = terrain_map.terrain_map_from_archives(_many_requests(spark, sf), _grid_archives(spark, sf))
+    sizes = made.cells.groupBy("request_id").agg(F.count("*").alias("cells"))
+    return made.statuses.join(sizes, "request_id", "left").select("request_id", "east", "north", "status", "cells")
 
 
 @query(
@@ -357,10 +418,32 @@ def _(spark, sf):
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
+_BY_TILE = {
+    "counts": """SELECT 't_' || ("row" // 50)::VARCHAR || '_' || (col // 50)::VARCHAR AS tile, alt, count(*) AS cases FROM cells GROUP BY 1, 2""",
+    "totals": "SELECT tile, sum(cases)::BIGINT AS total, min(alt) AS lo, max(alt) AS hi, CASE WHEN max(alt) < 100 THEN 10 WHEN max(alt) < 200 THEN 20 WHEN max(alt) < 300 THEN 50 ELSE 100 END AS width FROM counts GROUP BY 1",
+    "edges": """SELECT tile, row_number() OVER (PARTITION BY tile ORDER BY o) - 1 AS i, edge FROM (SELECT tile, -1 AS o, lo AS edge FROM totals WHERE lo <= 0
+      UNION ALL SELECT tile, s, (s * width)::DOUBLE FROM totals JOIN range(0, 2000) AS r(s) ON s * width - hi <= 2 * width)""",
+    "bins": """SELECT a.tile, a.i::INT AS bin, a.edge AS lower, b.edge AS upper, coalesce(sum(c.cases), 0)::BIGINT AS cases FROM edges a JOIN edges b ON b.tile = a.tile AND b.i = a.i + 1
+      LEFT JOIN counts c ON c.tile = a.tile AND c.alt >= a.edge AND c.alt < b.edge GROUP BY 1, 2, 3, 4""",
+}
+
+
 @query(
     "q12_tile_statistics",
-    sql("cells", """SELECT 't_' || ("row" // 50)::VARCHAR || '_' || (col // 50)::VARCHAR AS tile, count(*) AS cells, count(DISTINCT alt) AS unique_altitudes,
-        min(alt) AS min_alt, max(alt) AS max_alt, sum(alt) / count(*)::DOUBLE AS mean_exact FROM cells GROUP BY 1"""),
+    sql(
+        "cells",
+        f"""SELECT 'summary' AS part, tile, sum(cases)::BIGINT AS cells, count(*) AS unique_altitudes, min(alt) AS min_alt, max(alt) AS max_alt, round_even(max(alt) - min(alt), 1) AS alt_range,
+              round_even(sum(alt * cases) / sum(cases)::DOUBLE, 1) AS mean_alt, sum(alt * cases) / sum(cases)::DOUBLE AS mean_exact FROM counts GROUP BY tile
+            UNION ALL BY NAME SELECT 'commonest' AS part, tile, alt, cases, round_even(cases / total::DOUBLE * 100, 3) AS percent
+              FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY cases DESC, alt) AS place FROM counts JOIN totals USING (tile)) WHERE place = 1
+            UNION ALL BY NAME SELECT 'notable' AS part, tile, alt, cases, round_even(cases * 100 / total::DOUBLE, 2) AS percent FROM counts JOIN totals USING (tile) WHERE alt < 1 OR cases >= total / 100::DOUBLE
+            UNION ALL BY NAME SELECT 'histogram' AS part, tile, * FROM (SELECT * EXCLUDE (r, g, b), CASE WHEN lower >= 0 THEN {_HEX} ELSE '#cce5ff' END AS hex
+              FROM (SELECT *, {_rgb(ramp(LAND_RAMPS['standard'], 'lower'))} FROM bins))""".replace("tile, * FROM (SELECT", "* FROM (SELECT"),
+        **_BY_TILE,
+    ),
 )
 def _(spark, sf):
-    return terrain_map.tile_statistics(common.headers(spark, sf))
+    """All parts of the statistics of every tile in one result, each tile with bins of its own; columns that a part lacks are null."""
+    parts = terrain_map.tile_statistics(common.headers(spark, sf))
+    named = [df.withColumn("part", F.lit(name)) for name, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)

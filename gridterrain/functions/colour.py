@@ -81,12 +81,10 @@ def hex_colour(r: Column, g: Column, b: Column) -> Column:
     return F.format_string("#%02x%02x%02x", r, g, b)
 
 
-def ramp_factors(scheme: str, lowest: float | None, highest: float | None) -> tuple[Column, Column]:
+def ramp_factors(scheme: str, lowest: Column, highest: Column) -> tuple[Column, Column]:
     """Factors that stretch [lowest, highest] to the ramp; null without a range to divide by."""
     stops = [s[0] for s in LAND_RAMPS[scheme]]
-    up = (max(stops) - 0.1) / highest if highest else None
-    down = (abs(min(stops)) - 0.1) / abs(lowest) if lowest else None
-    return F.lit(up).cast("double"), F.lit(down).cast("double")
+    return F.when(highest != 0, (max(stops) - 0.1) / highest), F.when(lowest != 0, (abs(min(stops)) - 0.1) / F.abs(lowest))
 
 
 def _numeric_channels(alt: Column) -> list[Column]:

@@ -17,35 +17,42 @@ def without_filler(cells: DataFrame) -> DataFrame:
     return cells.filter(F.col("alt") != NO_ALTITUDE)
 
 
-def altitude_counts(cells: DataFrame) -> DataFrame:
-    """L2: cells per distinct altitude."""
-    return cells.groupBy("alt").agg(F.count("*").alias("cases"))
+def altitude_counts(cells: DataFrame, *by: str) -> DataFrame:
+    """L2: cells per distinct altitude, and per group with ``by``."""
+    return cells.groupBy(*by, "alt").agg(F.count("*").alias("cases"))
 
 
-def altitude_summary(counts: DataFrame) -> DataFrame:
+def altitude_summary(counts: DataFrame, *by: str) -> DataFrame:
     """Cells, distinct altitudes, minimum, maximum, range and mean (both also to one decimal)."""
     mean = F.sum(F.col("alt") * F.col("cases")) / F.sum("cases")
     span = F.max("alt") - F.min("alt")
-    return counts.agg(
+    return counts.groupBy(*by).agg(
         F.sum("cases").alias("cells"), F.count("*").alias("unique_altitudes"), F.min("alt").alias("min_alt"),
         F.max("alt").alias("max_alt"), F.bround(span, 1).alias("alt_range"), F.bround(mean, 1).alias("mean_alt"),
         mean.alias("mean_exact"),
     )
 
 
-def commonest_altitude(counts: DataFrame) -> DataFrame:
+def commonest_altitude(counts: DataFrame, *by: str) -> DataFrame:
     """The most frequent altitude, the smallest on a tie, with its count and share."""
-    total = counts.agg(F.sum("cases")).scalar()
-    return counts.orderBy(F.col("cases").desc(), "alt").limit(1).select(
-        "alt", "cases", F.bround(F.col("cases") / total * 100, 3).alias("percent")
-    )
+    first = F.max_by(F.struct("alt", "cases"), F.struct(F.col("cases"), -F.col("alt"))).alias("_first")
+    found = counts.groupBy(*by).agg(first, F.sum("cases").alias("_total")).filter("_first IS NOT NULL")
+    return found.select(*by, "_first.alt", "_first.cases", F.bround(F.col("_first.cases") / F.col("_total") * 100, 3).alias("percent"))
+
+
+def _beside(counts: DataFrame, totals: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Counts with the columns of their group's row in ``totals``; without groups that is one row, sent as constants."""
+    if by:
+        return counts.join(totals, [*by])
+    row = totals.first()
+    return counts.withColumns({name: F.lit(row[name]).cast(totals.schema[name].dataType) for name in totals.columns})
 
 
-def notable_altitudes(counts: DataFrame) -> DataFrame:
+def notable_altitudes(counts: DataFrame, *by: str) -> DataFrame:
     """Altitudes below 1 m, or held by at least one per cent of the cells."""
-    total = counts.agg(F.sum("cases")).scalar()
-    return counts.filter((F.col("alt") < 1) | (F.col("cases") >= total / 100)).select(
-        "alt", "cases", F.bround(F.col("cases") * 100 / total, 2).alias("percent")
+    shared = _beside(counts, counts.groupBy(*by).agg(F.sum("cases").alias("_total")), by)
+    return shared.filter((F.col("alt") < 1) | (F.col("cases") >= F.col("_total") / 100)).select(
+        *by, "alt", "cases", F.bround(F.col("cases") * 100 / F.col("_total"), 2).alias("percent")
     )
 
 
@@ -54,33 +61,32 @@ def _width(highest: Column) -> Column:
     return F.when(highest < 100, 10).when(highest < 200, 20).when(highest < 300, 50).otherwise(100)
 
 
-def histogram(counts: DataFrame) -> DataFrame:
-    """``(bin, lower, upper, cases)``; bins are half-open and empty ones are kept.
+def histogram(counts: DataFrame, *by: str) -> DataFrame:
+    """``(*by, bin, lower, upper, cases)``; bins are half-open and empty ones are kept.
 
     Edges run from 0 in steps of the width to more than two widths past the highest altitude; when
-    the lowest is not above 0 it is an extra first edge.
+    the lowest is not above 0 it is an extra first edge. Width and edges are those of the group.
     """
-    bounds = counts.agg(F.min("alt").alias("lo"), F.max("alt").alias("hi")).withColumn("width", _width(F.col("hi")))
-    last = F.floor((F.col("hi") + 2 * F.col("width")) / F.col("width"))
+    bounds = counts.groupBy(*by).agg(F.min("alt").alias("_lo"), F.max("alt").alias("_hi")).withColumn("_width", _width(F.col("_hi")))
+    last = F.floor((F.col("_hi") + 2 * F.col("_width")) / F.col("_width"))
     zero_based = F.when(
-        last >= 0, F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: (i * F.col("width")).cast("double"))
+        last >= 0, F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: (i * F.col("_width")).cast("double"))
     ).otherwise(F.array().cast("array<double>"))
-    edges = F.when(F.col("lo") <= 0, F.concat(F.array("lo"), zero_based)).otherwise(zero_based)
+    edges = F.when(F.col("_lo") <= 0, F.concat(F.array("_lo"), zero_based)).otherwise(zero_based)
     bins = (
-        bounds.withColumn("edges", edges)
-        .withColumn("spans", F.arrays_zip(F.slice("edges", 1, F.greatest(F.size("edges") - 1, F.lit(0))).alias("lower"),
-                                          F.slice("edges", 2, F.greatest(F.size("edges") - 1, F.lit(0))).alias("upper")))
-        .select(F.posexplode("spans").alias("bin", "span"))
-        .select("bin", F.col("span.lower").alias("lower"), F.col("span.upper").alias("upper"))
+        bounds.withColumn("_edges", edges)
+        .withColumn("_spans", F.arrays_zip(F.slice("_edges", 1, F.greatest(F.size("_edges") - 1, F.lit(0))).alias("lower"),
+                                           F.slice("_edges", 2, F.greatest(F.size("_edges") - 1, F.lit(0))).alias("upper")))
+        .select(*by, F.posexplode("_spans").alias("bin", "_span"))
+        .select(*by, "bin", F.col("_span.lower").alias("lower"), F.col("_span.upper").alias("upper"))
     )
-    scale = bounds.select(F.struct("lo", "width").alias("scale")).scalar()
-    width = scale["width"]
-    lower = F.when(F.col("alt") < 0, scale["lo"]).otherwise(F.floor(F.col("alt") / width) * width).cast("double")
-    filled = counts.groupBy(lower.alias("lower")).agg(F.sum("cases").alias("cases"))
+    scaled = _beside(counts, bounds.select(*by, "_lo", "_width"), by)
+    lower = F.when(F.col("alt") < 0, F.col("_lo")).otherwise(F.floor(F.col("alt") / F.col("_width")) * F.col("_width")).cast("double")
+    filled = scaled.groupBy(*by, lower.alias("lower")).agg(F.sum("cases").alias("cases"))
     degenerate = F.col("lower") == F.col("upper")
-    joined = bins.join(filled, "lower", "left")
+    joined = bins.join(filled, [*by, "lower"], "left")
     return joined.select(
-        "bin", "lower", "upper",
+        *by, "bin", "lower", "upper",
         F.when(degenerate, 0).otherwise(F.coalesce("cases", F.lit(0))).cast("bigint").alias("cases"),
     )
 

@@ -4,27 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridterrain.operators.skew import join_unique
 from gridterrain.scratch import materialise, release
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
-    """Lowest neighbour and degree of each ``u``; pre-aggregated in every task."""
-    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    """Lowest neighbour of each ``u``; pre-aggregated in every task."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Connect each larger neighbour of a node to the lowest of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = _lowest(both).select("u", F.least("u", "m").alias("m"), "degree")
+    lowest = _lowest(both).select("u", F.least("u", "m").alias("m"))
     higher = both.filter("v > u")
-    return join_unique(higher, lowest, ["u"], "degree").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return higher.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Connect a node and its smaller neighbours to the lowest of them; edges point downwards."""
     lowest = _lowest(edges)
-    moved = join_unique(edges, lowest, ["u"], "degree").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -34,7 +33,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     The rounds grow with the logarithm of the component size, not with its diameter. Each round's
     edges are written once, which cuts the lineage and survives lost executors, and those of the round
     before are deleted; the only values that
-    reach the driver are a count and a checksum. A hot node's edges are never gathered in one task.
+    reach the driver are a count and a checksum. Each star is one job: a node's
+    lowest neighbour is unique, so adaptive execution broadcasts these or splits the partition of a node with many edges.
     """
     low, high = F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")
     current, path = materialise(edges.select(high, low).filter("u <> v").distinct(), "stars")

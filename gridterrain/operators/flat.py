@@ -1,14 +1,17 @@
 """3 x 3 stencils, flat seeds and region growing over a dense mosaic.
 
-A mosaic is ``(row, col, alt)``, one row per cell. It is cut into square blocks, so every group a
-task sees has a fixed size however large the mosaic is.
+A mosaic is ``(row, col, alt)``, one row per cell; with ``by``, the names of its key columns, a table holds many mosaics
+side by side, which never touch. A mosaic is cut into square blocks, so every group a
+task sees has a fixed size however large it is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gridterrain.functions.numeric import same_altitude
 from gridterrain.operators.components import connected_components
@@ -29,7 +32,7 @@ def _block(c: Column, block: int) -> Column:
     return F.floor(c / block)
 
 
-def neighbours(cells: DataFrame, *values: str, block: int = BLOCK) -> DataFrame:
+def neighbours(cells: DataFrame, *values: str, block: int = BLOCK, by: Sequence[str] = ()) -> DataFrame:
     """Cells with an array ``near`` of their eight neighbours' ``values``, in the order of STEPS.
 
     Missing neighbours are null. Cells on a block's rim are also sent to the block across it (about
@@ -42,10 +45,10 @@ def neighbours(cells: DataFrame, *values: str, block: int = BLOCK) -> DataFrame:
     spread = (
         cells.withColumn("br", F.explode(blocks("row")))
         .withColumn("bc", F.explode(blocks("col")))
-        .repartition("br", "bc")
+        .repartition(*by, "br", "bc")
     )
-    along = Window.partitionBy("br", "bc", "row").orderBy("col")
-    across = Window.partitionBy("br", "bc", "col").orderBy("row")
+    along = Window.partitionBy(*by, "br", "bc", "row").orderBy("col")
+    across = Window.partitionBy(*by, "br", "bc", "col").orderBy("row")
     here = F.struct(*values)
     triple = F.struct(F.lag(here).over(along).alias("w"), here.alias("c"), F.lead(here).over(along).alias("e"))
     rows = spread.withColumn("_here", triple)
@@ -71,9 +74,9 @@ def _seed() -> Column:
     return F.when(_is_filler(F.col("alt")) | flat, 1).otherwise(0)
 
 
-def flat_seeds(cells: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(row, col, alt, seed)``; 1 for filler cells and for cells equal to six or more neighbours."""
-    return neighbours(cells, "alt", block=block).select("row", "col", "alt", _seed().alias("seed"))
+def flat_seeds(cells: DataFrame, block: int = BLOCK, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, row, col, alt, seed)``; 1 for filler cells and for cells equal to six or more neighbours."""
+    return neighbours(cells, "alt", block=block, by=by).select(*by, "row", "col", "alt", _seed().alias("seed"))
 
 
 def next_to_marked(cells: DataFrame, mask: str, block: int = BLOCK) -> DataFrame:
@@ -94,10 +97,7 @@ def _links() -> Column:
     return mask
 
 
-_LABELLED = "row bigint, col bigint, alt double, seed int, links int, region bigint, grown boolean"
-
-
-def _label_block(cells: pd.DataFrame) -> pd.DataFrame:
+def _label_block(cells: pd.DataFrame, by: Sequence[str]) -> pd.DataFrame:
     """Regions inside one block: hook the larger root to the smaller one, then shorten the paths."""
     r, c = (cells[n].to_numpy() - cells[n].min() + 1 for n in ("row", "col"))
     n, links = len(cells), cells["links"].to_numpy()
@@ -120,11 +120,11 @@ def _label_block(cells: pd.DataFrame) -> pd.DataFrame:
     np.logical_or.at(open_, root, leaves)
     name = cells["row"].to_numpy() * 2**31 + cells["col"].to_numpy()
     region = pd.Series(name[root], dtype="Int64").mask(~open_[root])
-    out = cells[["row", "col", "alt", "seed", "links"]].reset_index(drop=True)
+    out = cells[[*by, "row", "col", "alt", "seed", "links"]].reset_index(drop=True)
     return out.assign(region=region, grown=seeded[root] & (links != 0))
 
 
-def _crossing(labelled: DataFrame, block: int) -> DataFrame:
+def _crossing(labelled: DataFrame, block: int, by: Sequence[str]) -> DataFrame:
     """Pairs of regions in different blocks that touch: links that leave a block, joined cell by cell."""
     edge = [F.pmod(F.col(c), F.lit(block)).isin(0, block - 1) for c in ("row", "col")]
     rim = labelled.filter(F.col("region").isNotNull() & (edge[0] | edge[1]))
@@ -135,33 +135,35 @@ def _crossing(labelled: DataFrame, block: int) -> DataFrame:
         ]
     )
     out = (
-        rim.select("row", "col", F.col("region").alias("a"), F.explode(steps).alias("to"))
+        rim.select(*by, "row", "col", F.col("region").alias("a"), F.explode(steps).alias("to"))
         .filter(
             F.col("to").isNotNull()
             & ((_block(F.col("to.nr"), block) != _block(F.col("row"), block)) | (_block(F.col("to.nc"), block) != _block(F.col("col"), block)))
         )
-        .select("a", F.col("to.nr").alias("row"), F.col("to.nc").alias("col"))
+        .select(*by, "a", F.col("to.nr").alias("row"), F.col("to.nc").alias("col"))
     )
-    target = rim.select("row", "col", F.col("region").alias("b"))
-    return out.join(target, ["row", "col"]).select("a", "b").distinct()
+    target = rim.select(*by, "row", "col", F.col("region").alias("b"))
+    return out.join(target, [*by, "row", "col"]).select("a", "b").distinct()
 
 
-def grow_regions(cells: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(row, col, alt, water)``: 1 filler or seed, 2 reached from a real seed, 0 land.
+def grow_regions(cells: DataFrame, block: int = BLOCK, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, row, col, alt, water)``: 1 filler or seed, 2 reached from a real seed, 0 land.
 
     Growth is reachability over links between equal neighbours, so a cell is reached when its region
     holds a seed. Regions are labelled inside each block; only regions that leave their block enter
-    the region graph, whose components are found across blocks. Cells of regions that hold a seed of
-    their own, or that stay inside a block, are settled in place; only the rest is joined back.
+    the region graph, whose components are found across blocks, for all mosaics at once: a region's name holds the key of its
+    mosaic. Cells of regions that hold a seed of
+    their own, or that stay inside a block, are settled in place; only the rest is joined back. Keys are not null.
     """
-    stencil = neighbours(cells, "alt", block=block).select(
-        "br", "bc", "row", "col", "alt", _seed().alias("seed"), _links().alias("links")
-    )
-    labelled = cut(
-        stencil.groupBy("br", "bc").applyInPandas(lambda _, cells: _label_block(cells), _LABELLED), "regions"
+    stencil = neighbours(cells, "alt", block=block, by=by).select(
+        *by, "br", "bc", "row", "col", "alt", _seed().alias("seed"), _links().alias("links")
     )
+    schema = T.StructType([f for f in stencil.schema if f.name not in ("br", "bc")]).add("region", T.LongType()).add("grown", T.BooleanType())
+    labelled = cut(stencil.groupBy(*by, "br", "bc").applyInPandas(lambda _, cells: _label_block(cells, by), schema), "regions")
+    if by:
+        labelled = labelled.withColumn("region", F.when(F.col("region").isNotNull(), F.struct(*by, "region")))
     regions = labelled.filter(F.col("region").isNotNull()).groupBy("region").agg(F.max("grown").alias("grown"))
-    roots = connected_components(_crossing(labelled, block))
+    roots = connected_components(_crossing(labelled, block, by))
     member = regions.join(roots, regions["region"] == roots["node"], "left").select(
         "region", "grown", F.coalesce("root", "region").alias("root")
     )
@@ -172,7 +174,7 @@ def grow_regions(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     water = F.when(F.col("seed") == 1, 1).when(F.col("reached"), 2).otherwise(0)
     settled = labelled.filter(~pending).withColumn("reached", F.col("grown"))
     joined = labelled.filter(pending).join(reached, "region", "left")
-    columns = ["row", "col", "alt", water.alias("water")]
+    columns = [*by, "row", "col", "alt", water.alias("water")]
     return settled.select(*columns).unionByName(joined.select(*columns))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridterrain.functions.colour import land_colour, water_colour
@@ -66,35 +68,36 @@ def request_status(statuses: DataFrame) -> DataFrame:
 
 
 def mosaic(statuses: DataFrame, headers: DataFrame) -> DataFrame:
-    """``(row, col, alt, real)`` of one request: its tiles in a common frame, gaps filled.
+    """``(request_id, row, col, alt, real)``: each request's tiles in a frame of its own, gaps filled.
 
-    Each tile text meets its placement once, before it is spread into cells, and each gap makes its
+    Requests that overlap share a tile's checked lines, not its cells. Each tile text meets its placement once, before it is spread into cells, and each gap makes its
     own fill, so cells are neither joined nor shuffled. A request without any data gives no cells.
     """
-    shift = ["east", "north", "shape"]
+    shift = ["request_id", "east", "north", "shape"]
     placed = headers.select("tile", "_rows").join(statuses.filter("status = 'ok'").select("tile", *shift), "tile")
     data = placed_cells(placed, F.col("shape.nrows"), *shift).select(
-        (F.col("row") + F.col("north") * F.col("shape.nrows")).alias("row"),
+        "request_id", (F.col("row") + F.col("north") * F.col("shape.nrows")).alias("row"),
         (F.col("col") + F.col("east") * F.col("shape.ncols")).alias("col"), "alt", F.lit(True).alias("real"),
     )
     gaps = statuses.filter("status <> 'ok' and shape is not null").select(*shift)
     fill = gaps.withColumn("r", F.explode(_steps(F.col("shape.nrows")))).withColumn("c", F.explode(_steps(F.col("shape.ncols"))))
     return data.unionByName(
         fill.select(
-            (F.col("r") + F.col("north") * F.col("shape.nrows")).alias("row"),
+            "request_id", (F.col("r") + F.col("north") * F.col("shape.nrows")).alias("row"),
             (F.col("c") + F.col("east") * F.col("shape.ncols")).alias("col"), F.lit(NO_ALTITUDE).alias("alt"),
             F.lit(False).alias("real"),
         )
     )
 
 
-def altitude_range(cells: DataFrame) -> tuple[float | None, float | None]:
-    """Lowest and highest altitude of the cells that come from tiles."""
-    return tuple(cells.filter("real").agg(F.min("alt"), F.max("alt")).first())
+def altitude_ranges(cells: DataFrame) -> DataFrame:
+    """``(request_id, lowest, highest, cells)``: altitudes of the cells that come from tiles, and the number of all."""
+    real = lambda c: F.when(F.col("real"), F.col(c))
+    return cells.groupBy("request_id").agg(F.min(real("alt")).alias("lowest"), F.max(real("alt")).alias("highest"), F.count("*").alias("cells"))
 
 
-def terrain_pixels(marked: DataFrame, scheme: str, factors: tuple[Column, Column] | None = None) -> DataFrame:
-    """``(row, col, r, g, b)``: land by the ramp, marked cells as water."""
+def terrain_pixels(marked: DataFrame, scheme: str, factors: tuple[Column, Column] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, row, col, r, g, b)``: land by the ramp, marked cells as water."""
     alt, land = F.col("alt"), F.col("water") == 0
     both = zip(land_colour(scheme, alt, factors), water_colour(scheme, alt), "rgb")
-    return marked.select("row", "col", *[F.when(land, a).otherwise(b).alias(n) for a, b, n in both])
+    return marked.select(*by, "row", "col", *[F.when(land, a).otherwise(b).alias(n) for a, b, n in both])

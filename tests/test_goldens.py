@@ -78,7 +78,7 @@ def test_land_ramp(spark):
     out = apply(spark, cases, lambda c: F.array(*colour.land_colour("standard", c)), "double")
     assert [tuple(v) for v in out] == list(cases.values())
     # No range to divide by on the negative side: 0 and above still colour.
-    factors = colour.ramp_factors("standard", 0.0, 1349.9)
+    factors = colour.ramp_factors("standard", F.lit(0.0), F.lit(1349.9))
     assert apply(spark, [30.0], lambda c: F.array(*colour.land_colour("standard", c, factors)), "double") == [[255, 244, 166]]
 
 
@@ -145,16 +145,28 @@ def test_chained_tolerance(spark):
     assert water[(1, 3)] == 2 and water[(1, 4)] == 2 and water[(1, 5)] == 0 and water[(2, 5)] == 1
 
 
-def test_a_terrain_map_takes_one_request(spark):
-    import pytest
-
+def test_terrain_maps_of_many_requests_stay_apart(spark):
     from gridterrain.plans.terrain_map import terrain_map
 
-    tiles = spark.createDataFrame([], "tile string, files long, text string")
-    for names in (["NY00", "NY55"], ["nowhere"]):
-        requests = spark.createDataFrame([(i, n, "1x1") for i, n in enumerate(names)], "request_id int, name string, dims string")
-        with pytest.raises(ValueError, match="one valid request"):
-            terrain_map(requests, tiles)
+    head = "ncols 2\nnrows 2\nxllcorner 0\nyllcorner 0\ncellsize 50\n"
+    tiles = spark.createDataFrame([("NY00", 1, head + "1 1\n1 1\n"), ("NY10", 1, head + "1 90\n1 1\n"), ("SK00", 1, "broken")], "tile string, files long, text string")
+    asked = [(0, "ny00", "2x1"), (1, "NY10", "1x1"), (2, "NY00", "1x2"), (3, "nowhere", "1x1"), (4, "ny10", "0x1"), (5, "ny50", "1x1"), (6, "sk00", "1x1"), (7, "NY00", "2x1")]
+    made = terrain_map(spark.createDataFrame(asked, "request_id int, name string, dims string"), tiles, "red", block=2)
+    assert {(r.request_id, r.east, r.north): r.status for r in made.statuses.collect()} == {
+        (0, 0, 0): "ok", (0, 1, 0): "ok", (1, 0, 0): "ok", (2, 0, 0): "ok", (2, 0, 1): "sea", (5, 0, 0): "sea", (6, 0, 0): "error", (7, 0, 0): "ok", (7, 1, 0): "ok",
+    }
+    pixels = {}
+    for r in made.pixels().collect():
+        pixels.setdefault(r.request_id, {})[r.row, r.col] = (r.r, r.g, r.b)
+    assert {k: len(v) for k, v in pixels.items()} == {0: 8, 1: 4, 2: 8, 7: 8} and pixels[0] == pixels[7]
+    for k, name, size in (asked[i] for i in (0, 1, 2)):
+        alone = terrain_map(spark.createDataFrame([(k, name, size)], "request_id int, name string, dims string"), tiles, "red").pixels()
+        assert {(r.row, r.col): (r.r, r.g, r.b) for r in alone.collect()} == pixels[k]
+    parts = made.statistics()
+    assert {r.request_id: r.cells for r in parts["summary"].collect()} == {0: 8, 1: 4, 2: 8, 7: 8}
+    assert {r.request_id: (r.alt, r.cases) for r in parts["commonest"].collect()} == {0: (1.0, 7), 1: (1.0, 3), 2: (-1000.0, 4), 7: (1.0, 7)}
+    assert {r.request_id for r in parts["histogram"].filter("lower = -1000").collect()} == {2}
+    assert terrain_map(spark.createDataFrame(asked[3:5], "request_id int, name string, dims string"), tiles).pixels().collect() == []
 
 
 def test_quartiles_by_rank(spark):

@@ -4,8 +4,9 @@ import zipfile
 
 from gridterrain.operators import quality
 from gridterrain.plans.generate import build_from_archive
-from gridterrain.plans.terrain_map import terrain_map
+from gridterrain.plans.terrain_map import terrain_map, terrain_map_from_archives
 from gridterrain.schemas import HEADER_LONG, HEADER_SHORT
+from gridterrain.scratch import cut
 from gridterrain.sources import archives, postcodes, tables, tiles
 
 HEADINGS = ",".join(HEADER_SHORT) + "\r\n" + ",".join(f" {h} " for h in HEADER_LONG) + "\r\n"
@@ -129,22 +130,65 @@ def test_stray_files_are_left_alone(spark, tmp_path):
     assert [r.Postcode for r in scan_postcode_files(spark, str(tmp_path)).collect()] == ["NG1 1AA"]
 
 
-def test_damaged_entries_are_null_texts(spark):
-    import io
-    import zipfile
-
-    from gridterrain.sources import archives
-
-    def packed(data):
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            z.writestr("XX00.asc", data)
-        return out.getvalue()
-
-    good, broken, foreign = packed(b"abcdef"), packed(b"abcdef").replace(b"abcdef", b"abcdeg"), packed(b"\xff\xfe")
-    table = spark.createDataFrame([(f"/d/xx0{i}_a.zip", c) for i, c in enumerate([good, broken, foreign])], "archive string, content binary")
-    assert [r.text for r in archives.entry_texts(table).orderBy("archive").collect()] == ["abcdef", None, None]
-    assert archives.unreadable_entries(table).count() == 2
+def test_damaged_entries_are_null_texts(spark, tmp_path):
+    for i, data in enumerate([b"abcdef", b"abcdef", b"\xff\xfe"]):
+        write_zip(tmp_path / f"xx0{i}_a.zip", {"XX00.asc": data})
+    broken = tmp_path / "xx01_a.zip"
+    broken.write_bytes(broken.read_bytes().replace(b"abcdef", b"abcdeg"))
+    listed = archives.read_archives(spark, str(tmp_path))
+    assert [r.text for r in archives.entry_texts(listed).orderBy("archive").collect()] == ["abcdef", None, None]
+    assert archives.unreadable_entries(listed).count() == 2
+
+
+def test_entries_of_one_archive_are_read_by_all_tasks(spark, tmp_path):
+    """Many entries, packed in several ways, behind other bytes, beside archives without a directory."""
+    path = tmp_path / "many.zip"
+    with open(path, "wb") as raw:
+        raw.write(b"bytes before the archive")
+        with zipfile.ZipFile(raw, "w") as z:
+            for i in range(2_000):
+                how = (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA)[i % 4]
+                z.writestr(f"Data/{i}.csv", f"text {i} " * (i % 7), how)
+            z.writestr("Data/folder/", "")
+    (tmp_path / "cut.zip").write_bytes(path.read_bytes()[:5_000])
+    write_zip(tmp_path / "none.zip", {})
+    listed = archives.read_archives(spark, str(tmp_path))
+    texts = archives.entry_texts(listed)
+    assert {r.entry: r.text for r in texts.collect()} == {f"Data/{i}.csv": f"text {i} " * (i % 7) for i in range(2_000)}
+    assert texts.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(lambda n: n > 100).count() >= 4
+    assert {r.archive.split("/")[-1]: r.bad_entries for r in archives.rejected_archives(listed).collect()} == {"cut.zip": 1}
+    assert archives.unreadable_entries(listed).collect() == []
+
+
+def test_large_directories(spark, tmp_path):
+    """ZIP64 sizes and offsets, an encrypted entry, and an entry whose header is gone."""
+    with zipfile.ZipFile(tmp_path / "wide.zip", "w") as z:
+        with z.open("Data/a.csv", "w", force_zip64=True) as out:
+            out.write(b"wide\n")
+    write_zip(tmp_path / "lost.zip", {"Data/b.csv": "lost"})
+    lost = (tmp_path / "lost.zip").read_bytes()
+    (tmp_path / "lost.zip").write_bytes(b"XX" + lost[2:])
+    write_zip(tmp_path / "locked.zip", {"Data/c.csv": "locked"})
+    locked = bytearray((tmp_path / "locked.zip").read_bytes())
+    locked[locked.index(b"PK\x01\x02") + 8] |= 1
+    (tmp_path / "locked.zip").write_bytes(bytes(locked))
+    listed = archives.read_archives(spark, str(tmp_path))
+    assert {r.entry: r.text for r in archives.entry_texts(listed).collect()} == {"Data/a.csv": "wide\n", "Data/b.csv": None, "Data/c.csv": None}
+    assert [r.line for r in archives.entry_lines(listed).collect()] == ["wide"]
+
+
+def test_only_wanted_archives_are_opened(spark, tmp_path):
+    for tile in ("ny00", "ny01", "ny02"):
+        write_zip(tmp_path / f"{tile}_x.zip", {f"{tile.upper()}.asc": HEAD + "1 1\n1 1\n"})
+    write_zip(tmp_path / "ny02_y.zip", {"NY02.asc": "x"})
+    listed = cut(archives.read_archives(spark, str(tmp_path)), "listed")
+    # What is not wanted, or has a copy, is gone by now: opening it would end the job.
+    for name in ("ny01_x.zip", "ny02_x.zip", "ny02_y.zip"):
+        (tmp_path / name).unlink()
+    asked = spark.createDataFrame([(0, "ny00", "1x1"), (1, "ny00", "1x1"), (2, "ny02", "1x1"), (3, "ny55", "1x1")], "request_id int, name string, dims string")
+    made = terrain_map_from_archives(asked, listed)
+    assert {r.request_id: r.status for r in made.statuses.collect()} == {0: "ok", 1: "ok", 2: "error", 3: "sea"}
+    assert {r.request_id: r["count"] for r in made.pixels().groupBy("request_id").count().collect()} == {0: 4, 1: 4}
 
 
 def test_lines_are_streamed_from_sound_entries(spark, tmp_path, monkeypatch):
