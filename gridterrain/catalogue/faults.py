@@ -95,7 +95,10 @@ def _(spark, sf):
     "s3_load_faults",
     sql(
         "scanned",
-        _KEYS_SQL + """ UNION ALL SELECT 'heading', 'line 2', 1""",
+        _KEYS_SQL + """ UNION ALL SELECT 'heading', 'line 2', 1 UNION ALL SELECT 'row', reason || ' ' || line, 1 FROM (
+          SELECT 'value' AS reason, 'ZZ' || row_id || ',10,abc,1,E92000001,R1,H1,C1,D1,W1' AS line FROM scanned WHERE row_id % 211 = 3
+          UNION ALL SELECT 'too many fields', 'ZZ' || row_id || ',10,1,1,E92000001,R1,H1,C1,D1,W1,,more' FROM scanned WHERE row_id % 211 = 4
+          UNION ALL SELECT 'too few fields', 'ZZ' || row_id || ',10,1' FROM scanned WHERE row_id % 211 = 5)""",
         spoilt=_SPOILT_SQL,
     ),
 )
@@ -105,8 +108,11 @@ def _(spark, sf):
     spark.createDataFrame([(_HEADINGS + "_",)], "value string").coalesce(1).write.text(heading_file)
     raw = fixtures.scanned_postcodes(spark, sf).withColumnRenamed("Quality", "Positional_quality_indicator")
     _spoilt(raw).select(*HEADER_LONG, F.concat(F.lower("Postcode_area"), F.lit(".csv")).alias("file")).write.partitionBy("file").csv(folder)
+    kinds = F.array(*[F.lit(x) for x in (",10,abc,1,E92000001,R1,H1,C1,D1,W1", ",10,1,1,E92000001,R1,H1,C1,D1,W1,,more", ",10,1")])
+    odd = raw.filter("row_id % 211 in (3, 4, 5)").select(F.concat(F.lit("ZZ"), "row_id", F.get(kinds, (F.col("row_id") % 211 - 3).cast("int"))))
+    odd.write.option("sep", "\t").csv(f"{folder}/file=xy.csv")
     _, faults = postcodes.load_postcode_folder(spark, folder, heading_file)
-    subject = F.when(F.col("check") == "heading", F.regexp_extract("subject", r"line \d+$", 0)).otherwise(F.col("subject"))
+    subject = F.when(F.col("check") == "heading", F.regexp_extract("subject", r"line \d+$", 0)).when(F.col("check") == "row", F.regexp_extract("subject", r"(value|too .*)$", 0)).otherwise(F.col("subject"))
     return faults.withColumn("subject", subject)
 
 

@@ -137,7 +137,7 @@ def resolve_random(requests: DataFrame, table: DataFrame, land: DataFrame, seed:
 
     ``requests`` is ``(request_id, place_type, place_value)``. A random type is drawn first; then a
     random row of the table gives a postcode or (weighted by rows) an area, or a random land square
-    is taken. Rows are drawn by ``row_id`` 0..n-1, so a draw is a key lookup.
+    is taken. Rows are drawn by ``row_id`` 0..n-1, so a draw is a key lookup; an empty table gives none.
     """
     rid = F.col("request_id")
     kinds = F.array(*[F.lit(k) for k in PLACE_TYPES])
@@ -150,7 +150,7 @@ def resolve_random(requests: DataFrame, table: DataFrame, land: DataFrame, seed:
     rows = table.agg(F.count("*")).scalar()
     squares = land.agg(F.array_sort(F.collect_list("name"))).scalar()
     from_table = (F.lower("place_value") == "random") & F.col("place_type").isin("pa", "pc")
-    drawn = typed.filter(from_table).withColumn("row_id", wide_hash(rid, seed + 1) % rows)
+    drawn = typed.filter(from_table).withColumn("row_id", wide_hash(rid, seed + 1) % F.greatest(rows, F.lit(1)))
     rows_drawn = drawn.join(table.select("row_id", "Postcode", "Postcode_area"), "row_id").select(
         "request_id", "place_type",
         F.when(F.col("place_type") == "pa", F.col("Postcode_area")).otherwise(F.col("Postcode")).alias("place_value"),

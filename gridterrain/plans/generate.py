@@ -67,7 +67,8 @@ def build_from_archive(
     districts: dict[str, DataFrame], wards: dict[str, DataFrame],
 ) -> Built:
     """Q1 from zip archives and code sheets: table, faults and audit; archive and heading faults included."""
-    scanned = files.postcodes_from_lines(zips.entry_lines(archives, files.DATA_ENTRY))
+    lines = cut(zips.entry_lines(archives, files.DATA_ENTRY), "lines")
+    scanned = files.postcodes_from_lines(lines)
     lookups = stored_lookups(sheets.load_lookups(spark, areas, counties, districts, wards))
     table, faults, audit = build_postcodes(scanned, lookups)
     one = F.lit(1).cast("bigint").alias("cases")
@@ -86,6 +87,6 @@ def build_from_archive(
     unreadable = zips.unreadable_entries(archives).select(
         F.lit("entry").alias("check"), F.concat_ws(" ", "archive", "entry").alias("subject"), one
     )
-    for extra in (bad_archives, unreadable, headings, no_heading, bad_lookups):
+    for extra in (bad_archives, unreadable, files.as_faults(files.malformed_lines(lines)), headings, no_heading, bad_lookups):
         faults = faults.unionByName(extra)
     return Built(table, faults, audit)

@@ -37,7 +37,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return materialise(df, label)[0]
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, as Hadoop knows them."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def release(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, store = hadoop_path(spark, path)
+    store.delete(target, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gridterrain.operators.quality import key_violations
 from gridterrain.schemas import HEADER_LONG, HEADER_SHORT, RAW_POSTCODE, SCANNED_COLUMNS
@@ -32,20 +33,45 @@ def scan_postcode_files(spark: SparkSession, folder: str) -> DataFrame:
     return as_scanned(raw, F.col("_metadata.file_path"))
 
 
-def postcodes_from_entries(entries: DataFrame) -> DataFrame:
-    """S1 on archive entries ``(entry, text)`` instead of files."""
-    data = entries.filter(F.col("entry").rlike(DATA_ENTRY))
-    return postcodes_from_lines(data.select("entry", F.explode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")).alias("line")))
-
-
 def postcodes_from_lines(lines: DataFrame) -> DataFrame:
     """S1 on lines ``(entry, line)`` of archive entries; empty lines are left out."""
-    parsed = lines.filter(F.length("line") > 0).select(
-        "entry", F.from_csv("line", RAW_POSTCODE.simpleString()[len("struct<"):-1].replace(":", " ")).alias("r")
-    )
+    parsed = lines.filter(F.length("line") > 0).select("entry", F.from_csv("line", _ddl(RAW_POSTCODE)).alias("r"))
     return as_scanned(parsed.select("entry", "r.*"), F.col("entry"))
 
 
+# Holds the text of a row that does not have the fields of the format.
+_MALFORMED = "_malformed"
+_CHECKED = StructType([*RAW_POSTCODE.fields, StructField(_MALFORMED, StringType())])
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _ddl(schema: StructType) -> str:
+    return schema.simpleString()[len("struct<"):-1].replace(":", " ")
+
+
+def malformed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the folder's files that do not have ten fields of the right types: ``(file, reason, line)``.
+
+    Scans show what can be read of such rows, null where nothing can.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
+    return malformed_lines(lines.select(F.col("_metadata.file_path").alias("entry"), F.col("value").alias("line")))
+
+
+def malformed_lines(lines: DataFrame) -> DataFrame:
+    """The same of lines ``(entry, line)``: another number of fields, or a value of another type."""
+    parsed = F.from_csv("line", _ddl(_CHECKED), {"columnNameOfCorruptRecord": _MALFORMED})[_MALFORMED]
+    fields = F.size(F.split("line", _COMMA))
+    reason = F.when(fields < len(RAW_POSTCODE), "too few fields").when(fields > len(RAW_POSTCODE), "too many fields").otherwise("value")
+    return lines.filter((F.length("line") > 0) & parsed.isNotNull()).select(F.col("entry").alias("file"), reason.alias("reason"), "line")
+
+
+def as_faults(malformed: DataFrame) -> DataFrame:
+    """Malformed rows as faults ``(check, subject, cases)``."""
+    subject = F.concat_ws(" ", "file", "reason", "line")
+    return malformed.select(F.lit("row").alias("check"), subject.alias("subject"), F.lit(1).cast("bigint").alias("cases"))
+
+
 def header_faults(files: DataFrame) -> DataFrame:
     """Heading files ``(path, text)`` whose first two lines are not the expected names."""
     lines = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")
@@ -76,4 +102,4 @@ def load_postcode_folder(spark: SparkSession, folder: str, header_file: str) ->
     keys = key_violations(scanned, "Postcode").select(
         F.lit("key").alias("check"), F.col("key_value").alias("subject"), "cases"
     )
-    return scanned, headings.unionByName(keys)
+    return scanned, headings.unionByName(keys).unionByName(as_faults(malformed_rows(spark, folder)))

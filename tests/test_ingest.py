@@ -219,3 +219,50 @@ def test_missing_table_is_empty(spark, tmp_path):
     assert load_table(spark, str(tmp_path / "none"), df.schema).collect() == []
     save_table(df, str(tmp_path / "t"))
     assert load_table(spark, str(tmp_path / "t"), df.schema).count() == 2
+
+
+def test_a_failed_build_leaves_the_former_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "t")
+    names = "Postcode_area string, Postcode string"
+    first = spark.createDataFrame([("NG", "NG1 1AA"), ("AB", "AB1 1AA")], names)
+    tables.save_table(first, path)
+    failing = first.withColumn("Postcode", F.when(F.col("Postcode_area") == "AB", F.raise_error(F.lit("midway"))).otherwise(F.col("Postcode")))
+    try:
+        tables.save_table(failing, path)
+        raise AssertionError("the job should fail")
+    except Exception as err:
+        assert "midway" in str(err)
+    assert tables.load_table(spark, path, first.schema).count() == 2
+    before = tables.load_table(spark, path, first.schema)
+    for n in range(3):  # a table is built from itself; a reader that has begun goes on while its version stays
+        tables.save_table(tables.load_table(spark, path, first.schema).union(spark.createDataFrame([("E", f"E{n} 1AA")], names)), path)
+        assert tables.load_table(spark, path, first.schema).count() == 3 + n
+        if n == 0:
+            assert before.count() == 2
+    assert len([f for f in (tmp_path / "t").iterdir() if f.is_dir()]) == tables.VERSIONS
+
+
+def test_malformed_rows_are_faults(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    odd = ["NG3 1AA,10,abc,1,E92000001,R1,H1,,D1,W1", "NG4 1AA,10,1,1,E92000001,R1,H1,,D1,W1,x,y", "NG5 1AA,10,1", '"NG6, 1AA",10,1,1,E92000001,R1,H1,,D1,W1']
+    (tmp_path / "csv" / "ng.csv").write_text(NG + "\n".join(odd) + "\n\n")
+    (tmp_path / "head.csv").write_text(HEADINGS)
+    table, faults = postcodes.load_postcode_folder(spark, str(tmp_path / "csv"), str(tmp_path / "head.csv"))
+    want = [("value", odd[0]), ("too many fields", odd[1]), ("too few fields", odd[2])]
+    found = postcodes.malformed_rows(spark, str(tmp_path / "csv"))
+    assert sorted((r.reason, r.line) for r in found.collect()) == sorted(want) and all(r.file.endswith("/ng.csv") for r in found.collect())
+    assert sorted((r.check, r.cases) for r in faults.collect()) == [("row", 1)] * 3 and table.count() == 6
+    lines = spark.createDataFrame([("Data/CSV/ng.csv", line) for line in [*NG.split("\n"), *odd]], "entry string, line string")
+    assert sorted((r.reason, r.line) for r in postcodes.malformed_lines(lines).collect()) == sorted(want)
+    assert postcodes.postcodes_from_lines(lines).count() == 6
+
+
+def test_places_of_an_empty_table(spark):
+    from gridterrain.operators.place import resolve_random
+    from gridterrain.sources.dims import grid_squares
+
+    table = spark.createDataFrame([], "row_id bigint, Postcode string, Postcode_area string")
+    asked = spark.createDataFrame([(0, "pa", "random"), (1, "ng", "random"), (2, "pc", "NG1 1AA")], "request_id bigint, place_type string, place_value string")
+    assert {r.request_id for r in resolve_random(asked, table, grid_squares(spark), 1).collect()} == {1, 2}
