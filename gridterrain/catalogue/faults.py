@@ -112,7 +112,7 @@ def _(spark, sf):
     odd = raw.filter("row_id % 211 in (3, 4, 5)").select(F.concat(F.lit("ZZ"), "row_id", F.get(kinds, (F.col("row_id") % 211 - 3).cast("int"))))
     odd.write.option("sep", "\t").csv(f"{folder}/file=xy.csv")
     _, faults = postcodes.load_postcode_folder(spark, folder, heading_file)
-    subject = F.when(F.col("check") == "heading", F.regexp_extract("subject", r"line \d+$", 0)).when(F.col("check") == "row", F.regexp_extract("subject", r"(value|too .*)$", 0)).otherwise(F.col("subject"))
+    subject = F.when(F.col("check") == "heading", F.regexp_extract("subject", r"line \d+$", 0)).when(F.col("check") == "row", F.regexp_extract("subject", r"((value|too few fields|too many fields) ZZ.*)$", 0)).otherwise(F.col("subject"))
     return faults.withColumn("subject", subject)
 
 
