@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridterrain.scratch import cut
 
@@ -18,8 +18,17 @@ def join_unique(many: DataFrame, one: DataFrame, keys: list[str], weight: str) -
     shuffled; no remaining key is large enough to load a task.
     """
     one = cut(one, "one")
+    return join_written(many, one, keys, weight, *one.agg(*shares(weight)).first())
+
+
+def shares(weight: str) -> list[Column]:
+    """What ``join_written`` has to know of its unique side: keys, sum and maximum of the weights."""
+    return [F.count("*"), F.sum(weight), F.max(weight)]
+
+
+def join_written(many: DataFrame, one: DataFrame, keys: list[str], weight: str, size: int, total: int, top: int) -> DataFrame:
+    """``join_unique`` with a table that is written already and whose ``shares`` are known."""
     w = F.col(weight)
-    size, total, top = one.agg(F.count("*"), F.sum(w), F.max(w)).first()
     if size <= HOT_SLOTS:
         return many.join(F.broadcast(one), keys)
     if top * HOT_SLOTS <= total:
