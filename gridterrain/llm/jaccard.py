@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -200,21 +201,23 @@ def _candidate_ties(sets: DataFrame, threshold: float) -> DataFrame:
     """Ties ``(a, b)`` of sets that may be similar, whose components hold every similar pair found by the paths."""
     signed = sets.select("rep", "sig")
     rows = sets.select("rep", F.explode("paths").alias("path"))
-    ties = None
+    live, ties = [], []
     while True:
         counts = rows.groupBy("path").agg(F.count("*").alias("n_sets"), F.min("rep").alias("pivot")).filter("n_sets > 1")
         counts = cut(counts, "buckets")
-        live = join_unique(rows, counts.filter(F.col("n_sets") <= BUCKET).select("path", "n_sets"), ["path"], "n_sets")
-        small = live.join(signed, "rep").select("path", "rep", "sig").repartition("path").sortWithinPartitions("path", "rep")
-        found = small.mapInArrow(_tie_small, "a long, b long")
-        ties = found if ties is None else ties.unionByName(found)
-        pivots = counts.filter(F.col("n_sets") > BUCKET).join(signed.select(F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
-        if counts.filter(F.col("n_sets") > BUCKET).isEmpty():
-            return ties
+        live.append(join_unique(rows, counts.filter(F.col("n_sets") <= BUCKET).select("path", "n_sets"), ["path"], "n_sets").select("path", "rep"))
+        hot = counts.filter(F.col("n_sets") > BUCKET)
+        if hot.isEmpty():
+            break
+        pivots = hot.join(signed.select(F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
         large = join_unique(rows, pivots, ["path"], "n_sets").join(signed, "rep")
         step = cut(large.select("path", "rep", "sig", "pivot", "pivot_sig").mapInArrow(_tie_pivot(threshold), "path long, a long, b long"), "paths")
-        ties = ties.unionByName(step.filter("path IS NULL").select("a", "b"))
-        rows = step.filter("path IS NOT NULL").select(F.col("a").alias("rep"), "path").distinct()
+        ties.append(step.filter("path IS NULL").select("a", "b"))
+        # A set's new paths differ, as paths name all their splits.
+        rows = step.filter("path IS NOT NULL").select(F.col("a").alias("rep"), "path")
+    # Buckets of all levels meet their sets in one pass.
+    small = reduce(DataFrame.unionByName, live).join(signed, "rep").select("path", "rep", "sig").repartition("path").sortWithinPartitions("path", "rep")
+    return reduce(DataFrame.unionByName, ties, small.mapInArrow(_tie_small, "a long, b long"))
 
 
 def _common(grams: np.ndarray, owner: np.ndarray, n: int, split: int | None) -> np.ndarray:
