@@ -12,16 +12,19 @@ table parts, options) and closes what is left open. Rendering walks the tree wit
   each other are kept apart by a blank.
 * List items get bullets or numbers and are indented by their depth; ``br``, ``hr`` and ``pre`` are kept.
 * A table is one line per row, its cells padded to the width of their column; blocks within a cell are kept apart by a
-  blank. Tables whose cells hold lists, tables or ``pre`` are laid out as blocks.
+  blank. Columns are at most 80 characters wide and aligned up to character 240 of a line; longer cells run over, so
+  the output stays in proportion to the page. Deeper indents than 20 look alike, and a cell spans at most 100 columns. Tables whose cells hold lists, tables or ``pre`` are laid out as blocks.
 
+A tag or comment that nothing closes hides what follows it. Pages of any length are parsed in one pass over tags and open elements.
 White space outside ``pre`` collapses to one blank. Everything else that is visible is emitted, in order.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 from html.parser import HTMLParser
 
@@ -46,9 +49,12 @@ _ENDS = {
 _ENDS = {tag: (frozenset(ended.split()), frozenset(within.split())) for tag, (ended, within) in _ENDS.items()}
 _ENDS_P = (_BLOCK | _SPACED | {"hr"}) - {"option", "optgroup", "mtr", "mlabeledtr"}
 _SCOPE = frozenset("table td th caption button".split())
+# End tags that reach beyond the cell or table in which they stand.
+_PAST_CELLS = frozenset("table tr tbody thead tfoot td th body html".split())
 _GAP = re.compile(r"[ \t\n\r\f]+")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _MAX_INDENT = 20
+_COLUMN, _LINE = 80, 240
 # A character number longer than Python turns into an integer; what has more than seven digits names no character.
 _LONG_NUMBER = re.compile(r"&#([0-9]{1000,});?")
 
@@ -69,24 +75,25 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
-        self.held = Counter()
+        self.held: dict[str, list[int]] = defaultdict(list)  # places of a tag's open elements
 
     def _close(self, at: int) -> None:
-        self.held.subtract(n.tag for n in self.open[at:])
+        for node in reversed(self.open[at:]):
+            self.held[node.tag].pop()
         del self.open[at:]
 
+    def _last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element with one of ``tags``; 0 without one."""
+        return max((self.held[t][-1] for t in tags if self.held[t]), default=0)
+
     def _end(self, tags: frozenset[str], within: frozenset[str]) -> None:
         """Close open elements down to the outermost of ``tags`` that lies inside ``within``."""
         if not any(self.held[t] for t in tags):
             return
-        at = None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in within:
-                break
-            if self.open[i].tag in tags:
-                at = i
-        if at is not None:
-            self._close(at)
+        bound = self._last(within)
+        inside = [places[at] for places in (self.held[t] for t in tags) if (at := bisect_right(places, bound)) < len(places)]
+        if inside:
+            self._close(min(inside))
 
     def handle_starttag(self, tag, attrs):
         if tag in _ENDS_P:
@@ -95,13 +102,13 @@ class TreeBuilder(HTMLParser):
             self._end(*_ENDS[tag])
         elif self.open[-1].tag == "head" and tag not in ("title", "meta", "link", "base", "style", "script", "noscript", "template"):
             self._close(len(self.open) - 1)
-        node = Node(tag, dict(attrs), self.held["svg"] > 0)
+        node = Node(tag, dict(attrs), bool(self.held["svg"]))
         if node.drawn and tag in _UNDRAWN:
             node.attrs["hidden"] = ""
         self.open[-1].children.append(node)
         if tag not in _VOID:
+            self.held[tag].append(len(self.open))
             self.open.append(node)
-            self.held[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -109,23 +116,35 @@ class TreeBuilder(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "br":
             self.handle_starttag("br", [])
-        if not self.held[tag]:
-            return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                self._close(i)
-                return
-            if self.open[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
-                return
+        at = self._last((tag,))
+        if at and (tag in _PAST_CELLS or at >= self._last(("table", "td", "th"))):
+            self._close(at)
 
     def handle_data(self, data):
         self.open[-1].children.append(unescape(data) if self.cdata_elem == "textarea" else data)
 
+    def _settled(self, i: int, end: int) -> int:
+        """What nothing closes hides the rest of the page, as in browsers, and is looked for once only."""
+        return len(self.rawdata) if end < 0 and self.rawdata.find(">", i) < 0 else end
+
+    def parse_starttag(self, i):
+        return self._settled(i, super().parse_starttag(i))
+
+    def parse_endtag(self, i):
+        return self._settled(i, super().parse_endtag(i))
+
+    def parse_pi(self, i):
+        return self._settled(i, super().parse_pi(i))
+
+    def parse_comment(self, i, report=True):
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 else end
+
     def parse_html_declaration(self, i):
         """Of ``<![ ... >``, a section of characters is text in drawings and formulas; all else is a comment up to the next ``>``.
         Without an end, both run to the end of the page, which is fed as one."""
         if not self.rawdata.startswith("<![", i):
-            return super().parse_html_declaration(i)
+            return self._settled(i, super().parse_html_declaration(i))
         text = self.rawdata.startswith("<![CDATA[", i) and (self.held["svg"] or self.held["math"])
         closing = "]]>" if text else ">"
         end = self.rawdata.find(closing, i + 3)
@@ -295,15 +314,34 @@ def _span(cell: Node) -> int:
 
 
 def _aligned(rows: list[list[Node]]) -> list[str]:
-    grid = []
+    """A line for each row. A column is as wide as its longest cell, ``_COLUMN`` at most; a longer cell runs over and pushes what follows.
+    Columns that would start beyond ``_LINE`` follow the text before them, so the blanks added to a row are bounded."""
+    grid, widths = [], defaultdict(int)
     for row in rows:
-        cells = []
+        cells, column = [], 0
         for cell in row:
-            cells += [_cell_text(cell)] + [""] * (_span(cell) - 1)
-        grid.append(cells)
-    widths = [max((len(r[i]) for r in grid if i < len(r)), default=0) for i in range(max(map(len, grid), default=0))]
-    lines = ["  ".join(cell.ljust(w) for cell, w in zip(r, widths, strict=False)).rstrip(" ") for r in grid]
-    return [line for line in lines if line]
+            text = _cell_text(cell)
+            if text:
+                cells.append((column, text))
+                widths[column] = max(widths[column], min(len(text), _COLUMN))
+            column += _span(cell)
+        if cells:
+            grid.append(cells)
+    starts, wide = {}, 0
+    for column in sorted(widths):
+        starts[column] = wide + 2 * column
+        wide += widths[column]
+    lines = []
+    for cells in grid:
+        parts, length = [], 0
+        for column, text in cells:
+            gap = 2 if length else 0
+            if starts[column] <= _LINE:
+                gap = max(gap, starts[column] - length)
+            parts += [" " * gap, text]
+            length += gap + len(text)
+        lines.append("".join(parts).rstrip(" "))
+    return lines
 
 
 def render(root: Node) -> str:

@@ -4,6 +4,8 @@ import gzip
 import math
 import os
 import random
+import re
+import time
 import zlib
 
 import duckdb
@@ -194,6 +196,44 @@ def test_odd_pages_do_not_end_the_job(spark, html, text):
     assert {r["page_id"]: r["text"] for r in extract_text(pages).collect()} == {1: text, 2: "other"}
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("a<b x " * 3, "a"), ("a <b>c</b><!-- d> e", "a c"), ("a</b c", "a"), ("a<? b", "a"), ("a<!b c", "a"),
+        ("a < b<p>c", "a < b\n\nc"), ("<p>a<button><div>b<div>c</button><p>d", "a\nb\nc\n\nd"),
+        ("<i><table><tr><td>a</i>b</table>c</i>d", "ab\n\ncd"),
+    ],
+)
+def test_unclosed_tags_and_comments(html, text):
+    assert page_text(html) == text
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a/", "x <a", "<!--", "<!-- x>", "</a ", "<?", "<!x ", "<![ ", "<p><button><div>", "<x><table><td><div></x>", "<a b='>\""])
+def test_time_grows_with_the_page(part):
+    start = time.monotonic()
+    page_text(part * 50_000)
+    assert time.monotonic() - start < 10
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<table><tr><td>" + "a" * 20_000 + "<td>x" + "<tr><td>b<td>c" * 2_000,
+        "<table>" + "<tr><td colspan=100>x<td>y" * 5_000,
+        "<table>" + "".join(f"<tr>{'<td>' * i}{'w' * 90}" for i in range(300)),
+    ],
+)
+def test_tables_stay_in_proportion_to_the_page(html):
+    text = page_text(html)
+    assert len(text) < 30 * len(html)
+    assert text.split() == " ".join(re.split(r"<[^>]*>", html)).split()
+
+
+def test_long_cells_run_over():
+    long = "w" * 100
+    assert page_text(f"<table><tr><td>{long}<td>x<tr><td>a<td>b</table>") == f"{long}  x\na{' ' * 81}b"
+
+
 def test_word_lists_of_all_pages(spark, sf_dir):
     import html
     import re
