@@ -323,7 +323,7 @@ def _(spark, sf):
 # Terrain maps start at request texts and at tile archives in a folder. The tiles of the spoilt mosaic lie in the national grid
 # from 400 km east and 200 km north on, a hundred to a column; every nation asks for an overlapping rectangle there, two for nothing.
 
-_REQUESTS = """SELECT k, 39 + k % 3 AS gx, 19 + (k // 3) % 3 AS gy, 1 + (k * 7) % 3 AS w, 1 + (k * 5) % 4 AS h FROM (SELECT n_nationkey AS k FROM nation) WHERE k NOT IN (5, 17)"""
+_REQUESTS = """SELECT k, 39 + k % 3 AS gx, 19 + (k // 3) % 3 AS gy, 1 + (k * 7) % 3 AS w, 1 + (k * 5) % 4 AS h FROM (SELECT n_nationkey::BIGINT AS k FROM nation) WHERE k NOT IN (5, 17)"""
 _ASKED_TILES = """SELECT k, de AS east, dn AS north, t.number, t.n, t.north AS tn, t.east AS te, t.number IS NOT NULL AND t.number % 5 <> 4 AS held
   FROM requests JOIN range(3) AS x(de) ON de < w JOIN range(4) AS y(dn) ON dn < h
     LEFT JOIN tiles t ON 40 + t.east + 2 * (t.north // 100) = gx + de AND 20 + t.north % 100 = gy + dn"""
