@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridterrain.functions.numeric import float_floor_div
 from gridterrain.functions.text import location_description, normalise_postcode
 from gridterrain.operators.skew import join_unique
 from gridterrain.schemas import SQUARE_METRES
+from gridterrain.scratch import cut
 from gridterrain.sources.dims import square_name
 
 # Canvas height in pixels, margins, and the side of a neighbourhood in metres.
@@ -152,7 +153,7 @@ def squares_of(df: DataFrame) -> DataFrame:
     )
 
 
-# Side of the bins of the neighbourhood join, in metres.
+# Side of the bins in which places meet one by one, in metres.
 BIN = 1_000
 
 
@@ -160,41 +161,105 @@ def _bins(lo: Column, hi: Column) -> Column:
     return F.sequence(F.floor(lo / BIN), F.floor(hi / BIN))
 
 
+# Side of the cells of the neighbourhood counts in metres, as a power of two. A box is wider, so a cell holds one of its edges at most.
+LEVELS = 10
+CELL = 1 << LEVELS
+
+# A cell with at most this many places is compared place by place with the boxes whose edges cut it.
+FEW_PLACES = 64
+
+# Level of the rows that are ordered by easting over a whole cell.
+BY_EASTING = -1
+STRIP = ["be", "bn", "level", "strip"]
+
+
+def _shift(value: Column, places: Column) -> Column:
+    return F.call_function("shiftright", value, places)
+
+
+def _strips(side: Column, length: Column) -> Column:
+    """Dyadic strips ``(level, strip)`` of a cell that make up its last (``side`` 1) or first ``length`` metres."""
+    levels = F.filter(F.array(*[F.lit(k) for k in range(LEVELS + 1)]), lambda k: _shift(length, k) % 2 == 1)
+    after = lambda k: _shift(F.lit(CELL).cast("bigint"), k) - _shift(length, k)
+    return F.transform(levels, lambda k: F.struct(k.alias("level"), F.when(side == 1, after(k)).otherwise(_shift(length, k) - 1).alias("strip")))
+
+
+def _running_totals(spots: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Totals and ranges of the part of each cell ``crowded`` that its box holds, from running totals along an axis."""
+    cut_e, cut_n = F.col("cut_e"), F.col("cut_n")
+    offset = F.col("edge_e") - F.col("be") * CELL
+    length = F.when(cut_e == 1, CELL - offset).when(cut_e == -1, offset + 1).otherwise(F.lit(CELL).cast("bigint"))
+    along_e = F.array(F.struct(F.lit(BY_EASTING).alias("level"), F.lit(0).cast("bigint").alias("strip")))
+    edges = crowded.select(
+        "be", "bn", "ce", "cn", F.when(cut_n == 0, cut_e).otherwise(cut_n).alias("cut"),
+        F.when(cut_n == 0, F.col("edge_e")).otherwise(F.col("edge_n")).alias("at"),
+        F.inline(F.when(cut_n == 0, along_e).otherwise(_strips(cut_e, length))),
+    )
+    level = F.col("level")
+    strip = F.when(level == BY_EASTING, F.lit(0).cast("bigint")).otherwise(_shift(F.col("pe") - F.col("be") * CELL, level))
+    ranked = (
+        spots.join(crowded.select("be", "bn").distinct(), ["be", "bn"], "left_semi")
+        .withColumn("level", F.explode(F.array(*[F.lit(k) for k in range(BY_EASTING, LEVELS + 1)])))
+        .withColumn("strip", strip).withColumn("at", F.when(level == BY_EASTING, F.col("pe")).otherwise(F.col("pn")))
+    )
+    # Ranges up to the current value hold its ties, so edges count the places on them.
+    upto = Window.partitionBy(*STRIP).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = Window.partitionBy(*STRIP).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = [
+        F.when(F.col("cut") == 1, f(c).over(onward)).otherwise(f(c).over(upto)).alias(name)
+        for f, c, name in (
+            (F.sum, "w", "w"), (F.min, "pe", "lo_e"), (F.max, "pe", "hi_e"), (F.min, "pn", "lo_n"), (F.max, "pn", "hi_n")
+        )
+    ]
+    mixed = ranked.unionByName(edges, allowMissingColumns=True)
+    return mixed.select("ce", "cn", *running).filter("ce IS NOT NULL AND w IS NOT NULL")
+
+
 def around_counts(points: DataFrame, centres: DataFrame) -> DataFrame:
     """Per centre, how many points lie in its closed 10 km box, and their coordinate range.
 
-    ``centres`` is ``(centre_id, Eastings, Northings)``. Points are first reduced to one row per
-    coordinate, and those to one row per 1 km bin. A bin wholly inside a box adds its totals; only
-    bins on a box's border are compared coordinate by coordinate. A bin has at most 1 000 000
-    coordinates, so a crowded place cannot make a hot group, and centres at the same place are
-    counted once.
+    ``centres`` is ``(centre_id, Eastings, Northings)``; coordinates are whole metres, and those that are null
+    take no part. Points are first reduced to one row per coordinate, and those to one row per cell of
+    1 024 m. A cell wholly inside a box adds its totals. Of a cell cut by an edge, at most ``FEW_PLACES`` places
+    are compared with it. A fuller one adds what a running total along the cut axis has reached at the
+    edge, and with a corner one such total, along the northing, for each of at most ten dyadic strips of its
+    eastings: places and edges are sorted together. So work grows with the sum of places and boxes,
+    however crowded a cell is; a running total has at most 1 048 576 places and as many edges. Centres at the
+    same place are counted once.
     """
     e, n = F.col("Eastings"), F.col("Northings")
+    half = NEIGHBOURHOOD // 2
     spots = points.groupBy("Eastings", "Northings").agg(F.count("*").alias("w")).select(
-        F.floor(e / BIN).alias("be"), F.floor(n / BIN).alias("bn"), e.alias("pe"), n.alias("pn"), "w"
+        F.floor(e / CELL).alias("be"), F.floor(n / CELL).alias("bn"), e.alias("pe"), n.alias("pn"), "w"
     )
+    spots = cut(spots, "spots")
     totals = spots.groupBy("be", "bn").agg(
         F.sum("w").alias("w"), F.min("pe").alias("lo_e"), F.max("pe").alias("hi_e"),
-        F.min("pn").alias("lo_n"), F.max("pn").alias("hi_n"),
+        F.min("pn").alias("lo_n"), F.max("pn").alias("hi_n"), (F.count("*") <= FEW_PLACES).alias("few"),
     )
-    half = NEIGHBOURHOOD // 2
+    # 1: the south or west edge cuts the cell, so its upper part is inside; -1: the north or east one does; 0: none.
     places = centres.groupBy("Eastings", "Northings").agg(F.count("*").alias("centres"))
-    boxes = places.select(
-        e.alias("ce"), n.alias("cn"), (e - half).alias("e0"), (e + half).alias("e1"), (n - half).alias("n0"), (n + half).alias("n1")
-    )
-    binned = boxes.withColumn("be", F.explode(_bins(F.col("e0"), F.col("e1")))).withColumn(
-        "bn", F.explode(_bins(F.col("n0"), F.col("n1")))
-    )
-    inner = (
-        (F.col("be") * BIN >= F.col("e0")) & (F.col("be") * BIN + BIN - 1 <= F.col("e1"))
-        & (F.col("bn") * BIN >= F.col("n0")) & (F.col("bn") * BIN + BIN - 1 <= F.col("n1"))
-    )
-    whole = binned.filter(inner).join(totals, ["be", "bn"]).select("ce", "cn", "w", "lo_e", "hi_e", "lo_n", "hi_n")
-    inside = F.col("pe").between(F.col("e0"), F.col("e1")) & F.col("pn").between(F.col("n0"), F.col("n1"))
-    border = binned.filter(~inner).join(spots, ["be", "bn"]).filter(inside).select(
+    boxes = places.select(e.alias("ce"), n.alias("cn"))
+    for c in ("e", "n"):
+        lo, hi, cell = F.col(f"c{c}") - half, F.col(f"c{c}") + half, F.col(f"b{c}")
+        boxes = boxes.withColumn(f"b{c}", F.explode(F.sequence(F.floor(lo / CELL), F.floor(hi / CELL))))
+        cut_here = F.when(cell * CELL < lo, 1).when(cell * CELL + CELL - 1 > hi, -1).otherwise(0)
+        boxes = boxes.withColumn(f"cut_{c}", cut_here).withColumn(f"edge_{c}", F.when(cell * CELL < lo, lo).otherwise(hi))
+    met = cut(boxes.join(totals, ["be", "bn"]), "cells")
+    cut_e, cut_n = F.col("cut_e"), F.col("cut_n")
+    ranges = ["w", "lo_e", "hi_e", "lo_n", "hi_n"]
+    whole = met.filter((cut_e == 0) & (cut_n == 0)).select("ce", "cn", *ranges)
+    border = met.filter((cut_e != 0) | (cut_n != 0))
+    near = (F.abs(F.col("pe") - F.col("ce")) <= half) & (F.abs(F.col("pn") - F.col("cn")) <= half)
+    compared = border.filter("few").select("be", "bn", "ce", "cn").join(spots, ["be", "bn"]).filter(near).select(
         "ce", "cn", "w", F.col("pe").alias("lo_e"), F.col("pe").alias("hi_e"), F.col("pn").alias("lo_n"), F.col("pn").alias("hi_n")
     )
-    counted = whole.unionByName(border).groupBy("ce", "cn").agg(
+
+    inside = whole.unionByName(compared)
+    crowded = border.filter("NOT few")
+    if not crowded.isEmpty():
+        inside = inside.unionByName(_running_totals(spots, crowded))
+    counted = inside.groupBy("ce", "cn").agg(
         F.sum("w").alias("points"), F.min("lo_e").alias("Min_E"), F.max("hi_e").alias("Max_E"),
         F.min("lo_n").alias("Min_N"), F.max("hi_n").alias("Max_N"),
     )

@@ -142,7 +142,8 @@ def answer_places(table: DataFrame, squares: DataFrame, requests: DataFrame, see
 
     Gives the concrete place, the outcome code and how many rows its map starts from.
     """
-    areas = table.groupBy("Postcode_area").agg(F.count("*").alias("_pa_rows"))
+    # The rows of the areas answer four questions, so they are counted once.
+    areas = cut(table.groupBy("Postcode_area").agg(F.count("*").alias("_pa_rows")), "areas")
     classified = places.classify_places(requests, areas)
     wanted = cut(classified.select("request_id", "place_type", "place_value"), "places")
     concrete = cut(places.resolve_random(wanted, table, squares.filter("is_real"), seed), "places")
@@ -157,7 +158,7 @@ def answer_places(table: DataFrame, squares: DataFrame, requests: DataFrame, see
     named = (
         areas.select(F.lit("pa").alias("_type"), F.col("Postcode_area").alias("_value"), F.col("_pa_rows").alias("rows"))
         .unionByName(per_square.select(F.lit("ng").alias("_type"), F.col("square").alias("_value"), "rows"))
-        .unionByName(table.agg(F.count("*").alias("rows")).select(F.lit("all").alias("_type"), F.lit("GB").alias("_value"), "rows"))
+        .unionByName(areas.agg(F.coalesce(F.sum("_pa_rows"), F.lit(0)).alias("rows")).select(F.lit("all").alias("_type"), F.lit("GB").alias("_value"), "rows"))
     )
     by_name = known.filter("place_type <> 'pc' or status <> 0").join(
         named, (F.col("place_type") == F.col("_type")) & (value == F.col("_value")), "left"

@@ -3,7 +3,9 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridterrain.operators import components, flat, rows, skew, spatial
 from tests.test_goldens import grid
@@ -93,6 +95,40 @@ def test_around_counts_and_rows(spark):
     assert pairs == {(*p, spots[p], *q, spots[q]) for p in spots for q in spots if close((0, *p), (0, *q))}
 
 
+def test_around_counts_of_a_crowded_cell(spark):
+    """A hundred thousand places in one cell, boxes with edges and corners on every side of it, against sums of a grid."""
+    side, base = 320, 10 * spatial.CELL + 300
+    places = spark.range(side * side).selectExpr(
+        f"cast({base} + id % {side} as int) as Eastings", f"cast({base} + id div {side} as int) as Northings", "id % 3 as n"
+    )
+    points = places.withColumn("again", F.explode(F.sequence(F.lit(0), F.col("n")))).select("Eastings", "Northings")
+    weights = (np.arange(side * side) % 3 + 1).reshape(side, side)  # by northing, easting
+    pick = random.Random(3)
+    half = spatial.NEIGHBOURHOOD // 2
+    steps = [-half - 1, -half, -half + 1, 0, half - 1, half, half + 1]
+    spots = [(base + e, base + n) for e in steps for n in steps]
+    spots += [(base + pick.randrange(-6000, 6000), base + pick.randrange(-6000, 6000)) for _ in range(300)]
+    spots += [(base + side - 1 + e, base + side - 1 + n) for e in steps for n in steps]
+    spots += spots[:5] + [(None, 7), (7, None), (0, 0)]
+    centres = spark.createDataFrame([(i, *s) for i, s in enumerate(spots)], "centre_id int, Eastings int, Northings int")
+    got = {r[0]: tuple(r)[1:] for r in spatial.around_counts(points, centres).collect()}
+    want = {}
+    for i, (e, n) in enumerate(spots):
+        if e is None or n is None:
+            continue
+        lo_e, hi_e = max(e - half, base), min(e + half, base + side - 1)
+        lo_n, hi_n = max(n - half, base), min(n + half, base + side - 1)
+        if lo_e > hi_e or lo_n > hi_n:
+            want[i] = (0, None, None, None, None)
+        else:
+            total = int(weights[lo_n - base:hi_n - base + 1, lo_e - base:hi_e - base + 1].sum())
+            want[i] = (total, lo_e, hi_e, lo_n, hi_n)
+    assert got == want
+    none = points.limit(0)
+    assert {tuple(r)[1:] for r in spatial.around_counts(none, centres).collect()} == {(0, None, None, None, None)}
+    assert spatial.around_counts(points, centres.limit(0)).count() == 0
+
+
 def test_random_rows_are_repeatable(spark):
     df = spark.range(1000).withColumnRenamed("id", "row_id")
     first = [r.row_id for r in rows.random_rows(df, 10, 3).collect()]
