@@ -23,7 +23,10 @@ from gridterrain.scratch import cut
 
 @dataclass
 class PostcodeMap:
-    """A map to draw: rows (with ``row_id``), box, title columns and the colouring kind."""
+    """A map to draw: rows (with ``row_id``), box, title columns and the colouring kind.
+
+    Of several rows of the postcode ``key``, all have a disc, or that of ``key_row`` alone.
+    """
 
     rows: DataFrame
     box: Box
@@ -31,6 +34,7 @@ class PostcodeMap:
     file_key: Column
     kind: str = "pa"
     key: Column | None = None
+    key_row: int | None = None
     height: int = CANVAS_HEIGHT
     density: int = 1
 
@@ -58,7 +62,10 @@ class PostcodeMap:
         image = raster.point_raster(points, self.canvas)
         if self.key is None:
             return image
-        return raster.highlight(image, points.filter(F.col("Postcode") == self.key), self.canvas)
+        named = points.filter(F.col("Postcode") == self.key)
+        if self.key_row is not None:
+            named = named.filter(F.col("row_id") == self.key_row).orderBy("e_scaled", "n_scaled", "rgb").limit(1)
+        return raster.highlight(image, named, self.canvas)
 
     def pixels(self) -> DataFrame:
         """``(x, y, r, g, b)``; pixels not listed are white."""
@@ -94,17 +101,22 @@ def square_map(table: DataFrame, squares: DataFrame, name: str, **options) -> Po
 
 
 def postcode_map(table: DataFrame, postcode: str, **options) -> PostcodeMap:
-    """Q9: 10 km around one postcode, which is highlighted. Needs the looked-up names for its title."""
-    centre = describe_location(find_postcode(table, postcode))
-    found = centre.select("Postcode", "description", *neighbourhood_columns()).take(2)
-    if len(found) != 1:
-        raise ValueError(f"postcode {postcode!r} found {len(found)} times")
-    code, description = found[0]["Postcode"], found[0]["description"]
-    box = Box.of(*[found[0][c] for c in ("e0", "n0", "e1", "n1")])
-    key = F.lit(code)
+    """Q9: 10 km around one postcode, which is highlighted. Needs the looked-up names for its title.
+
+    Of several rows with the postcode the located one of least ``row_id`` is the centre; others in its box are drawn as
+    any row is.
+    """
+    # Equal row numbers are told apart as the disc's row is.
+    order = [(F.col("Eastings") > 0).desc_nulls_last(), "row_id", "Eastings", "Northings", "description"]
+    centre = describe_location(find_postcode(table, postcode)).orderBy(*order)
+    found = centre.select("Postcode", "description", "row_id", *neighbourhood_columns()).first()
+    if found is None:
+        raise ValueError(f"postcode {postcode!r} found 0 times")
+    box = Box.of(*[found[c] for c in ("e0", "n0", "e1", "n1")])
+    key = F.lit(found["Postcode"])
     return PostcodeMap(
-        within(table, box), box, postcode_title(display_postcode(key), F.lit(description)),
-        F.concat(F.lit("pc."), postcode_file_key(key)), key=key, **options,
+        within(table, box), box, postcode_title(display_postcode(key), F.lit(found["description"])),
+        F.concat(F.lit("pc."), postcode_file_key(key)), key=key, key_row=found["row_id"], **options,
     )
 
 

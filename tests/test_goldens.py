@@ -197,3 +197,26 @@ def test_places_are_drawn_or_refused(spark):
     assert [status for status, _ in got] == [DRAWN] * 4 + [UNKNOWN_PLACE] * 4 + [BAD_PLACE]
     assert all((a_map is None) == (status != DRAWN) for status, a_map in got)
     assert got[3][1].pixels().count() > 0
+
+
+def repeated_postcodes(spark):
+    """NG1 1AA in a row without a place, one that comes twice, one nearby and one far off."""
+    names = ", ".join(f"`{c}` string" for c in ("Post Town", "County Name", "District Name", "Ward Name"))
+    rows = [(0, 0, 0, None), (3, 459000, 341000, "Far Ward"), (2, 457000, 340000, "Mill Ward"), (2, 457000, 340000, "Mill Ward"), (4, 900, 900, None)]
+    return spark.createDataFrame(
+        [(i, "NG1 1AA", "NG", e, n, "Nottingham", None, None, ward) for i, e, n, ward in rows],
+        f"row_id bigint, Postcode string, Postcode_area string, Eastings int, Northings int, {names}",
+    )
+
+
+def test_map_around_a_postcode_of_several_rows(spark):
+    from gridterrain.plans.maps import postcode_map
+
+    found = postcode_map(repeated_postcodes(spark), "ng11aa")
+    assert spark.range(1).select(found.full_title).first()[0] == "Around postcode NG1 1AA [Mill] : 10 km x 10 km"
+    pixels = {(r.x, r.y): (r.r, r.g, r.b) for r in found.pixels().collect()}
+    assert found.pixels().count() == len(pixels)
+    assert pixels[400, 400] == (255, 127, 127) and pixels[400, 425] == (255, 191, 191)  # the place and its disc
+    assert pixels[560, 320] == (255, 127, 127) and (560, 340) not in pixels  # no disc around another row
+    with pytest.raises(ValueError, match="found 0 times"):
+        postcode_map(repeated_postcodes(spark), "ng11ab")
