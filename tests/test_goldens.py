@@ -220,3 +220,12 @@ def test_map_around_a_postcode_of_several_rows(spark):
     assert pixels[560, 320] == (255, 127, 127) and (560, 340) not in pixels  # no disc around another row
     with pytest.raises(ValueError, match="found 0 times"):
         postcode_map(repeated_postcodes(spark), "ng11ab")
+
+
+def test_place_of_a_repeated_postcode_is_drawn(spark):
+    from gridterrain.plans.maps import DRAWN, draw_place
+    from gridterrain.sources.dims import grid_squares
+
+    status, a_map = draw_place(repeated_postcodes(spark), grid_squares(spark), "pc", " ng11aa")
+    pixels = a_map.pixels()
+    assert status == DRAWN and pixels.count() == pixels.select("x", "y").distinct().count() > 2_000
