@@ -152,7 +152,7 @@ def draw_place(table: DataFrame, squares: DataFrame, place_type: str, place_valu
 def answer_places(table: DataFrame, squares: DataFrame, requests: DataFrame, seed: int) -> DataFrame:
     """Q10 over a table of place strings ``(request_id, place)``.
 
-    Gives the concrete place, the outcome code and how many rows its map starts from.
+    Gives the concrete place, the outcome code and how many rows its map starts from, or the maps around all rows of its postcode.
     """
     # The rows of the areas answer four questions, so they are counted once.
     areas = cut(table.groupBy("Postcode_area").agg(F.count("*").alias("_pa_rows")), "areas")
@@ -180,7 +180,8 @@ def answer_places(table: DataFrame, squares: DataFrame, requests: DataFrame, see
     spots = table.join(wanted, F.col("Postcode") == F.col("_pc"), "left_semi").select(
         F.col("Postcode").alias("centre_id"), "Eastings", "Northings"
     )
-    around = around_counts(table, spots).select(F.col("centre_id").alias("_pc"), F.col("points").alias("rows"))
+    # A postcode of several rows counts what is around each of them, so a request has one answer.
+    around = around_counts(table, spots).groupBy(F.col("centre_id").alias("_pc")).agg(F.sum("points").alias("rows"))
     by_code = join_unique(centres, around.join(wanted, "_pc"), ["_pc"], "_n")
     columns = ["request_id", "place_type", "place_value", "status",
                F.when(F.col("status") == DRAWN, F.coalesce("rows", F.lit(0))).otherwise(0).cast("bigint").alias("rows")]

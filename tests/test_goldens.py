@@ -229,3 +229,21 @@ def test_place_of_a_repeated_postcode_is_drawn(spark):
     status, a_map = draw_place(repeated_postcodes(spark), grid_squares(spark), "pc", " ng11aa")
     pixels = a_map.pixels()
     assert status == DRAWN and pixels.count() == pixels.select("x", "y").distinct().count() > 2_000
+
+
+def test_a_request_of_a_repeated_postcode_has_one_answer(spark):
+    from gridterrain.plans.maps import answer_places
+    from gridterrain.sources.dims import grid_squares
+
+    asked = spark.createDataFrame([(1, "ng1 1aa"), (2, "all")], "request_id bigint, place string")
+    got = answer_places(repeated_postcodes(spark), grid_squares(spark), asked, 1).collect()
+    # Around the rows of the postcode there are 2, 3, 3, 3 and 2 rows.
+    assert sorted((r.request_id, r.status, r.rows) for r in got) == [(1, 0, 13), (2, 0, 5)]
+
+
+def test_boxes_of_neighbourhoods_are_not_broadcast(spark, monkeypatch):
+    plans, write = {}, spatial.cut
+    monkeypatch.setattr(spatial, "cut", lambda df, label: plans.update({label: df._jdf.queryExecution().executedPlan().toString()}) or write(df, label))
+    points = spark.createDataFrame([(i, 7 * i, 11 * i) for i in range(50)], "centre_id bigint, Eastings int, Northings int")
+    assert spatial.around_counts(points, points).agg(F.sum("points")).first()[0] > 0
+    assert "SortMergeJoin" in plans["cells"] and "BroadcastHashJoin" not in plans["cells"]
