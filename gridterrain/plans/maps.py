@@ -159,7 +159,7 @@ def answer_places(table: DataFrame, squares: DataFrame, requests: DataFrame, see
     classified = places.classify_places(requests, areas)
     wanted = cut(classified.select("request_id", "place_type", "place_value"), "places")
     concrete = cut(places.resolve_random(wanted, table, squares.filter("is_real"), seed), "places")
-    checked = places.place_exists(concrete, table, areas)
+    checked = places.place_exists(concrete, table.select("Postcode").distinct(), areas)
     status = (
         F.when(F.col("place_type") == "", BAD_PLACE).when(F.col("exists"), DRAWN).otherwise(UNKNOWN_PLACE)
     )
