@@ -30,7 +30,7 @@ from gridterrain.scratch import cut
 
 SHARD_TOKENS = 2 << 20
 # Runs kept with their ids in a worker, besides those of the texts at hand.
-CACHED_RUNS = 500_000
+CACHED_RUNS = 650_000
 _MANIFEST = "part int, seq int, path string, tokens long, docs long"
 
 
