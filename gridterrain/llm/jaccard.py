@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridterrain.llm.words import hashed_words, mix, shingles
-from gridterrain.llm.workers import blob, slices, sorted_groups, utf8
+from gridterrain.llm.workers import blob, small_slices as slices, sorted_groups, utf8
 from gridterrain.operators.components import connected_components
 from gridterrain.operators.skew import join_unique
 from gridterrain.scratch import cut
@@ -281,7 +281,7 @@ def _grams_of(words: int):
             for i in np.flatnonzero(rows > 1).tolist():
                 new[i] = rep[i] not in seen
                 seen.add(rep[i])
-            batch = batch.filter(pa.array(new))
+            batch = batch if new.all() else batch.filter(pa.array(new))
             data, bounds = utf8(batch.column("text"))
             want = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("f1", "f2")], axis=1) if batch.num_rows else np.zeros((0, 2))
             for a, b in slices(bounds):

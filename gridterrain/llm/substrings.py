@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridterrain.llm.words import hashed_words, inside, windows
-from gridterrain.llm.workers import blob, slices, sorted_groups, utf8
+from gridterrain.llm.workers import blob, small_slices as slices, sorted_groups, utf8
 
 SIZE = 20
 _ENTRIES = "bucket int, decided boolean, hashes binary, others binary, ids binary, marks binary, places binary, many binary"
@@ -40,8 +40,13 @@ def _chosen(words: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarra
     starts = np.flatnonzero(inside(firsts, n, size)) if n else np.zeros(0, np.int64)
     if not len(starts):
         return starts, starts
-    view = np.lib.stride_tricks.sliding_window_view(halves, size - size // 2 + 1)
-    return starts, starts + view[:n].argmin(axis=1)[starts]
+    # A running minimum, as a view of all halves side by side would be copied whole.
+    least, at = halves[:n].copy(), np.zeros(n, np.int32)
+    for i in range(1, size - size // 2 + 1):
+        lower = halves[i : i + n] < least
+        np.copyto(least, halves[i : i + n], where=lower)
+        at[lower] = i
+    return starts, starts + at[starts]
 
 
 def _part_of(ids: np.ndarray, marks: np.ndarray, parts: int) -> np.ndarray:
@@ -165,6 +170,12 @@ def _ordered(table) -> tuple:
     return table.take(pa.array(order)), k[order], m[order]
 
 
+def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, about a slice of texts at a time, so that no more than that is put in order and copied."""
+    for a, b in slices(utf8(batch.column(column))[1]):
+        yield batch.slice(a, b - a)
+
+
 def _sliced(table, column: str) -> Iterator[tuple]:
     """Slices of texts: first and last row, bytes, word hashes, word starts, word ends, each text's first word and bounds."""
     data, bounds = utf8(table.column(column))
@@ -197,9 +208,9 @@ def find_repeats(docs: DataFrame, key: str, text: str, size: int, longest: bool
     marked = _marked(docs, key, text)
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch, ids, marks = _ordered(batch)
-            for a, b, _, _, words, _, _, firsts in _sliced(batch, text):
+        for piece in (p for batch in batches for p in _pieces(batch, text)):
+            piece, ids, marks = _ordered(piece)
+            for a, b, _, _, words, _, _, firsts in _sliced(piece, text):
                 places = np.unique(_chosen(words, firsts, size)[1])
                 rows = _entries(words, firsts, places, size // 2, ids[a:b], marks[a:b], buckets)
                 if rows:

@@ -11,6 +11,8 @@ import pyarrow as pa
 
 # Texts are taken through numpy in slices of about this many bytes, which bounds a worker's memory.
 SLICE_BYTES = 4 << 20
+# Windows and n-grams of all words take some thirty times a slice's bytes.
+SMALL_SLICE_BYTES = 1 << 20
 
 
 def worker_cache(key: str, build: Callable):
@@ -40,6 +42,11 @@ def slices(bounds: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, i
         first = last
 
 
+def small_slices(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+    """``slices`` for work that takes many times the bytes of a slice."""
+    return slices(bounds, SMALL_SLICE_BYTES)
+
+
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The groups of equal, not null integer ``keys`` in batches that are sorted by them, one at a time."""
     held: list[pa.RecordBatch] = []

@@ -85,6 +85,31 @@ def test_removal_of_small_slices_and_long_texts(docs, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in remove_repeats(docs).collect()} == want
 
 
+def test_chosen_halves_are_the_leftmost_least_and_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 3, 3_000).astype(np.uint64)  # few different words, so many halves are equal
+    for size in (2, 4, 7, 20):
+        firsts, halves = np.array([0, 5, 5, 1_000, 3_000]), windows(words, size // 2)
+        starts, chosen = substrings._chosen(words, firsts, size)
+        assert starts.tolist() == [i for a, b in zip(firsts[:-1], firsts[1:], strict=True) for i in range(a, b - size + 1)]
+        assert chosen.tolist() == [min(range(i, i + size - size // 2 + 1), key=lambda j: (halves[j], j)) for i in starts.tolist()]
+    words = rng.integers(0, 2**63, 200_000).astype(np.uint64)
+    tracemalloc.start()
+    substrings._chosen(words, np.array([0, len(words)]), 20)
+    assert tracemalloc.get_traced_memory()[1] < 10 * words.nbytes
+    tracemalloc.stop()
+
+
+def test_texts_of_a_batch_are_hashed_in_small_slices():
+    import pyarrow as pa
+
+    texts = pa.array(["some words " * 20_000] * 15)
+    seen = [b - a for p in substrings._pieces(pa.RecordBatch.from_arrays([texts], names=["t"]), "t") for a, b, *_ in substrings._sliced(p, "t")]
+    assert sum(seen) == 15 and max(seen) == 4
+
+
 def test_removal_corner_cases(spark):
     text = " ".join(f"a{i}" for i in range(40))
     rows = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
