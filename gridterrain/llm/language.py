@@ -26,6 +26,8 @@ from gridterrain.llm.workers import slices, utf8
 STEPS, UNITS = 64, 16
 SAMPLE_DOCS, SAMPLE_SEGMENTS = 600, 4
 EPOCHS, BATCH, RATE, SEED = 12, 256, 0.02, 5
+# A small sample is gone through more often, as few steps leave the model hardly better than a guess.
+LEAST_STEPS = 120
 # Stands for no byte.
 PAD = 256
 _SIDE = 1024
@@ -238,7 +240,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     parts = drawn.withColumn("n", number("lang", F.pmod("draw", F.lit(64)))).filter(F.col("n") <= sample_docs)
     best = parts.withColumn("n", number("lang")).filter(F.col("n") <= sample_docs)
     rows = sorted((r["lang"], r["n"], s) for r in best.select("lang", "n", "segments").collect() for s in r["segments"])
-    return train([s.encode() for _, _, s in rows], [name for name, _, _ in rows]) if rows else None
+    epochs = max(EPOCHS, -(-LEAST_STEPS // max(1, -(-len(rows) // BATCH))))
+    return train([s.encode() for _, _, s in rows], [name for name, _, _ in rows], epochs) if rows else None
 
 
 def label_languages(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
