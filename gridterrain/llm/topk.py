@@ -4,7 +4,8 @@ Vectors are split into slices of their components, and a slice of a block of row
 partial scores for each query. A score is the sum of its partial scores, as in the classic setting of
 the method, so its phases hold:
 
-1. Each node sends its best ``k`` partial scores. The best ``PROBES`` of a query and slice are asked for in the other
+1. A node sends each query's greatest partial score. The nodes of a slice that a task holds send their best ``SENT``
+   partial scores together (``k`` if that is more). The best ``PROBES`` of a query and slice are asked for in the other
    slices too; the k-th largest of these totals is safe.
 2. In a block, a row falls short of the sum of the greatest partial scores by some amount in each slice. If its
    total is to reach the safe one, then in some slice it falls short by no more than an equal part of what
@@ -13,23 +14,41 @@ the method, so its phases hold:
    partial scores of the rows that are left are asked for, and the best ``k`` are taken.
 
 Equal vectors form one class with its smallest ids, ``k`` and as many more as a query's id has vectors, as no other
-member can be in a result, and equal queries are answered once. Queries meet rows in blocks; a task holds two blocks. Scores are integers
-and must fit in 64 bits; partial scores beyond 2^53 are added as Python integers.
+member can be in a result, and equal queries are answered once. Blocks of queries are written once, by block and slice, to
+the shared folder, which must be one that ``pyarrow.fs`` opens by URI; a node reads them one after the other, so no matrix is
+copied for a pair of blocks. What nodes are told and send is packed by blocks: a message has the entries of a block of queries
+in a block of rows, by their places in both. Scores are integers and must fit in 64 bits; partial scores
+beyond 2^53 are added as Python integers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridterrain.llm.warc import _open
+from gridterrain.llm.workers import sorted_groups, worker_cache
 from gridterrain.operators.skew import join_unique
-from gridterrain.scratch import cut
-
-BLOCK_ROWS, QUERY_ROWS, SLICES, PROBES = 4096, 1024, 2, 64
-_ENTRY = "query long, block int, slice int, row long, part long"
+from gridterrain.scratch import cut, scratch_path
+
+BLOCK_ROWS, QUERY_ROWS, SLICES, PROBES, SENT = 4096, 1024, 2, 64, 16
+# Query matrices that a worker keeps between nodes, and entries that are worked out at a time.
+CACHE_BYTES, _STEP = 32 << 20, 1 << 15
+_NODE = pa.schema([("block", pa.int32()), ("slice", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int64())), ("kind", pa.string()), ("matrix", pa.binary())])
+# Entries of a block of queries and a block of rows: places in both and the sum of the partial scores of the slices in the bits of ``known``.
+# Totals below their query's ``bar`` are not sent, where one is told.
+_ENTRIES = pa.schema([("qb", pa.int32()), ("block", pa.int32()), ("known", pa.int32()), ("q", pa.binary()), ("pos", pa.binary()), ("value", pa.binary()), ("bar", pa.binary())])
+_ENTRY_DDL = "qb int, block int, known int, q binary, pos binary, value binary, bar binary"
+# Greatest partial scores by node (``block`` is set), or a task's best entries of a slice as matrices by query.
+_LISTS = pa.schema([("qb", pa.int32()), ("slice", pa.int32()), ("block", pa.int32()), ("tops", pa.binary()), ("n", pa.int32()), ("at", pa.binary()), ("pos", pa.binary()), ("value", pa.binary())])
+_LISTS_DDL = "qb int, slice int, block int, tops binary, n int, at binary, pos binary, value binary"
 _NEVER = 2**63 - 1
 
 
@@ -40,110 +59,317 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.when(finite, F.transform(scaled, lambda x: F.floor(x)))
 
 
-def _pack(rows: DataFrame, block_rows: int, slices: int, size: int) -> DataFrame:
-    """One row per block and slice: ``ids`` and the matrix as bytes."""
+def _narrow(values: np.ndarray) -> bytes:
+    """Integers in the least of 2, 4 or 8 bytes that holds all, behind a byte with that number."""
+    low, high = (int(values.min()), int(values.max())) if values.size else (0, 0)
+    width = next(w for w in (2, 4, 8) if -(1 << 8 * w - 1) <= low and high < 1 << 8 * w - 1)
+    return bytes([width]) + np.ascontiguousarray(values, f"<i{width}").tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64)
+
+
+def _batch(schema: pa.Schema, *row) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+
+
+def _pack(rows: DataFrame, block_rows: int, slices: int, size: int) -> tuple[DataFrame, int]:
+    """One row per block and slice: ``n`` vectors, their ``ids`` and the matrix as bytes; and the number of blocks."""
     blocks = max(1, -(-rows.count() // block_rows))
     bounds = [size * s // slices for s in range(slices + 1)]
 
     def pack(table: pa.Table) -> pa.Table:
-        vectors = table.column("v").to_pylist()
+        vectors = table.column("v").combine_chunks()
+        lengths, values = pc.list_value_length(vectors).to_numpy(), vectors.flatten()
+        if values.null_count:
+            raise ValueError("a vector has a null component")
         matrix = np.zeros((len(vectors), size), np.int64)
-        for i, v in enumerate(vectors):
-            matrix[i, : len(v)] = v
+        within = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        matrix[np.repeat(np.arange(len(vectors)), lengths), within] = values.to_numpy()
         block, ids = table.column("block")[0].as_py(), table.column("id").to_pylist()
-        out = [{"block": block, "slice": s, "ids": ids, "matrix": matrix[:, bounds[s] : bounds[s + 1]].tobytes()} for s in range(slices)]
-        return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int32()), ("slice", pa.int32()), ("ids", pa.list_(pa.int64())), ("matrix", pa.binary())]))
+        out = []
+        for s in range(slices):
+            packed = _narrow(matrix[:, bounds[s] : bounds[s + 1]])
+            out.append({"block": block, "slice": s, "n": len(ids), "ids": ids, "kind": f"<i{packed[0]}", "matrix": packed[1:]})
+        return pa.Table.from_pylist(out, schema=_NODE)
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    return dealt.groupBy("block").applyInArrow(pack, "block int, slice int, n int, ids array<long>, kind string, matrix binary"), blocks
+
+
+def _matrix(node: dict) -> np.ndarray:
+    return np.frombuffer(node["matrix"], node["kind"]).reshape(node["n"], -1)
+
+
+def _asked(folder: str, block: int, slice_: int) -> np.ndarray | None:
+    """The matrix of a block of queries in a slice, kept for the next nodes of this worker; None where no query fell into the block."""
+    held: OrderedDict[str, np.ndarray | None] = worker_cache("topk_queries", OrderedDict)
+    path = f"{folder}/block={block}/slice={slice_}"
+    if path not in held:
+        fs, root = _open(path)
+        files = [f.path for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.path.endswith(".parquet")]
+        found = [row for f in files for row in pq.ParquetFile(fs.open_input_file(f)).read(["n", "kind", "matrix"]).to_pylist()]
+        held[path] = _matrix(found[0]) if found else None
+        while len(held) > 1 and sum(m.nbytes for m in held.values() if m is not None) > CACHE_BYTES:
+            held.popitem(last=False)
+    held.move_to_end(path)
+    return held[path]
+
+
+def _exact(q: np.ndarray, r: np.ndarray):
+    """The fastest kind of numbers in which products of the rows of both are exact."""
+    top = lambda x: max(-int(x.min()), int(x.max())) if x.size else 0
+    most = top(q) * top(r) * max(1, q.shape[1])
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
+
+
+def _products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Partial scores, queries by rows; whole numbers, whatever their type."""
+    kind = _exact(q, r)
+    parts = q.astype(kind) @ r.astype(kind).T
+    return parts.astype(np.int64) if kind is object else parts
+
+
+def _rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield batch.slice(at, 1).to_pylist()[0]
+
+
+def _top(parts: np.ndarray, kept: int, width: int = 64) -> np.ndarray:
+    """Places of the ``kept`` greatest numbers of each row; they lie in the ``kept`` runs of greatest maxima."""
+    n = parts.shape[1]
+    if n <= kept:
+        return np.broadcast_to(np.arange(n), parts.shape)
+    whole = n // width * width
+    if n // width <= 2 * kept:
+        return np.argpartition(-parts, kept - 1, axis=1)[:, :kept]
+    maxima = parts[:, :whole].reshape(len(parts), -1, width).max(axis=2)
+    runs = np.argpartition(-maxima, kept - 1, axis=1)[:, :kept]
+    places = (runs[:, :, None] * width + np.arange(width)).reshape(len(parts), -1)
+    places = np.hstack([places, np.broadcast_to(np.arange(whole, n), (len(parts), n - whole))])
+    best = np.argpartition(-np.take_along_axis(parts, places, 1), kept - 1, axis=1)[:, :kept]
+    return np.take_along_axis(places, best, 1)
+
+
+def _lists(folder: str, n_queries: int, sent: int):
+    """Phase 1 over nodes: greatest partial scores of each, and the best of all of a task's nodes by slice."""
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").applyInArrow(pack, "block int, slice int, ids array<long>, matrix binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], list[np.ndarray]] = {}
+        for node in _rows_of(batches):
+            rows, s = _matrix(node), node["slice"]
+            for qb in range(n_queries):
+                if (queries := _asked(folder, qb, s)) is None:
+                    continue
+                parts = _products(queries, rows)
+                pos = _top(parts, sent)
+                value = np.take_along_axis(parts, pos, 1).astype(np.int64)
+                yield _batch(_LISTS, qb, s, node["block"], _narrow(value.max(axis=1)), None, None, None, None)
+                new = [np.full(pos.shape, node["block"], np.int32), pos.astype(np.int32), value]
+                if (qb, s) in best:
+                    new = [np.hstack(x) for x in zip(best[qb, s], new, strict=True)]
+                    place = _top(new[2], sent)
+                    new = [np.take_along_axis(x, place, 1) for x in new]
+                best[qb, s] = new
+        for (qb, s), found in best.items():
+            yield _batch(_LISTS, qb, s, None, None, len(found[0]), *map(_narrow, found))
+
+    return run
 
 
-def _units(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every block of queries with every block of rows, slice by slice, dealt out evenly."""
-    n_queries, n_rows = (x.agg(F.max("block")).first()[0] + 1 for x in (queries, rows))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.col("block").alias("qb"), "slice", F.col("ids").alias("qi"), F.col("matrix").alias("qm"), every(n_rows).alias("block"))
-    right = rows.select("block", "slice", F.col("ids").alias("ri"), F.col("matrix").alias("rm"), every(n_queries).alias("qb"))
-    return left.join(right, ["qb", "block", "slice"])
+def _merged(qb: int, block: int, messages: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Messages ``(known, q, pos, value)`` about one pair of blocks put together by entry: one for each set of known slices."""
+    messages = list(messages)
+    keys = [q << 32 | pos for _, q, pos, _ in messages]
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    known, total, first = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), 0
+    for bits, q, _, value in messages:
+        here = at[first : first + len(q)]
+        known[here] |= bits
+        total[here] += value
+        first += len(q)
+    for bits in np.unique(known).tolist():
+        of = known == bits
+        yield _batch(_ENTRIES, qb, block, bits, _narrow(key[of] >> 32), _narrow(key[of] & 0xFFFFFFFF), _narrow(total[of]), None)
 
 
-def _products(unit: dict) -> np.ndarray:
-    """Integer partial scores of a unit: queries by rows."""
-    q, r = (np.frombuffer(unit[m], np.int64).reshape(len(unit[i]), -1) for m, i in (("qm", "qi"), ("rm", "ri")))
-    top = lambda x: int(np.abs(x).max(initial=0))
-    if top(q) * top(r) * max(1, q.shape[1]) < 2**53:
-        return (q.astype(np.float64) @ r.astype(np.float64).T).astype(np.int64)
-    return (q.astype(object) @ r.astype(object).T).astype(np.int64)
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in sorted_groups(batches, ["qb", "block"]):
+        rows = group.to_pylist()
+        yield from _merged(rows[0]["qb"], rows[0]["block"], ((x["known"], _wide(x["q"]), _wide(x["pos"]), _wide(x["value"])) for x in rows))
 
 
-def _entries(chosen):
-    """A function over units that gives the entries whose query and row numbers ``chosen(parts, unit)`` selects."""
+def _probe(kept: int):
+    """The best ``kept`` listed entries of each query and slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                unit = batch.slice(at, 1).to_pylist()[0]
-                parts = _products(unit)
-                q, r = chosen(parts, unit)
-                qi, ri = np.array(unit["qi"], np.int64), np.array(unit["ri"], np.int64)
-                for a in range(0, len(q), 1 << 17):
-                    i, j = q[a : a + (1 << 17)], r[a : a + (1 << 17)]
-                    place = [pa.array(np.full(len(i), unit[c], np.int32)) for c in ("block", "slice")]
-                    yield pa.RecordBatch.from_arrays([pa.array(qi[i]), *place, pa.array(ri[j]), pa.array(parts[i, j])], names=["query", "block", "slice", "row", "part"])
+        for group in sorted_groups(batches, ["qb"]):
+            lists, entries = group.to_pylist(), []
+            for s in sorted({x["slice"] for x in lists}):
+                at, pos, value = (np.hstack([_wide(x[c]).reshape(x["n"], -1) for x in lists if x["slice"] == s]) for c in ("at", "pos", "value"))
+                place = _top(value, kept)
+                at, pos, value = (np.take_along_axis(x, place, 1).ravel() for x in (at, pos, value))
+                q, order = np.repeat(np.arange(len(place)), place.shape[1]), np.argsort(at, kind="stable")
+                blocks, starts = np.unique(at[order], return_index=True)
+                for block, some in zip(blocks.tolist(), np.split(order, starts[1:]), strict=True):
+                    entries.append((block, (1 << s, q[some], pos[some], value[some])))
+            for block in sorted({b for b, _ in entries}):
+                yield from _merged(lists[0]["qb"], block, (x for b, x in entries if b == block))
 
     return run
 
 
-def _best_parts(kept: int):
-    def chosen(parts, unit):
-        if parts.shape[1] <= kept:
-            return tuple(x.ravel() for x in np.indices(parts.shape))
-        return np.repeat(np.arange(len(parts)), kept), np.argpartition(-parts, kept - 1, axis=1)[:, :kept].ravel()
+def _by(messages: DataFrame, *keys: str) -> DataFrame:
+    return messages.repartition(*keys).sortWithinPartitions(*keys)
 
-    return chosen
 
+def _at_nodes(packed: DataFrame, told: DataFrame, content: list[str], run) -> DataFrame:
+    """``run`` over the nodes that get messages ``(block, slice, qb, ...)``, each with its own in ``told``."""
+    messages = told.groupBy("block", "slice").agg(F.collect_list(F.struct("qb", *content)).alias("told"))
+    return packed.drop("ids").join(messages, ["block", "slice"]).mapInArrow(run, _ENTRY_DDL)
 
-def _reaching(parts, unit):
-    """Entries that reach their query's cutoff; a query without one asks for nothing here."""
-    cuts = {c["query"]: c["cut"] for c in unit["told"]}
-    return np.nonzero(parts >= np.array([cuts.get(q, _NEVER) for q in unit["qi"]], np.int64)[:, None])
 
+def _reaching(folder: str):
+    """Phase 2 at nodes: entries that reach their query's cutoff."""
 
-def _wanted(parts, unit):
-    q, r = ({x: i for i, x in enumerate(unit[c])} for c in ("qi", "ri"))
-    return np.array([q[w["query"]] for w in unit["told"]], np.int64), np.array([r[w["row"]] for w in unit["told"]], np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node in _rows_of(batches):
+            rows, s = _matrix(node), node["slice"]
+            for message in node["told"]:
+                queries = _asked(folder, message["qb"], s)
+                cuts = _wide(message["cuts"]).reshape(-1, len(queries))[s]
+                some = np.flatnonzero(cuts != _NEVER)
+                if not len(some):
+                    continue
+                parts = _products(queries[some], rows)
+                q, pos = np.nonzero(parts >= cuts[some].astype(parts.dtype)[:, None])
+                if len(q):
+                    yield _batch(_ENTRIES, message["qb"], node["block"], 1 << s, _narrow(some[q]), _narrow(pos), _narrow(parts[q, pos].astype(np.int64)), None)
 
+    return run
 
-def _tell(units: DataFrame, queries: DataFrame, messages: DataFrame, content: list[str], chosen) -> DataFrame:
-    """Entries of the units that get messages ``(query, block, slice, ...)``; each gets its own, at most one for each entry."""
-    of = queries.filter("slice = 0").select(F.explode("ids").alias("query"), F.col("block").alias("qb"))
-    told = messages.join(of, "query").groupBy("qb", "block", "slice").agg(F.collect_list(F.struct("query", *content)).alias("told"))
-    return units.join(told, ["qb", "block", "slice"]).mapInArrow(_entries(chosen), _ENTRY)
 
+def _adding(folder: str, everything: int):
+    """Entries with a node's own partial score added."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node in _rows_of(batches):
+            rows, s = _matrix(node), node["slice"]
+            for message in node["told"]:
+                queries = _asked(folder, message["qb"], s)
+                q, pos, value = (_wide(message[c]) for c in ("q", "pos", "value"))
+                kind = _exact(queries, rows)
+                for a in range(0, len(q), _STEP):
+                    of = slice(a, a + _STEP)
+                    value[of] += (queries[q[of]].astype(kind) * rows[pos[of]].astype(kind)).sum(axis=1).astype(np.int64)
+                known = message["known"] | 1 << s
+                if message["bar"] is not None and known == everything:
+                    of = value >= _wide(message["bar"])[q]
+                    q, pos, value = q[of], pos[of], value[of]
+                if len(q):
+                    yield _batch(_ENTRIES, message["qb"], node["block"], known, _narrow(q), _narrow(pos), _narrow(value), message["bar"])
+
+    return run
+
+
+def _answered(entries: DataFrame, packed: DataFrame, folder: str, slices: int) -> DataFrame:
+    """Incomplete entries with their missing partial scores, asked for at one slice after the other."""
+    everything = (1 << slices) - 1
+    first = F.coalesce(*[F.when(F.col("known").bitwiseAND(F.lit(1 << s)) == 0, F.lit(s)) for s in range(slices)])
+    done = entries.filter("false")
+    for step in range(1, slices):
+        entries = _at_nodes(packed, entries.withColumn("slice", first), ["known", "q", "pos", "value", "bar"], _adding(folder, everything))
+        if step < slices - 1:
+            entries = cut(entries, "answered")
+        done = done.unionByName(entries.filter(F.col("known") == everything))
+        entries = entries.filter(F.col("known") != everything)
+    return done
 
-def _best(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
 
+def _best_of(q: np.ndarray, value: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``kept`` greatest values of each query, and their ranks."""
+    order = np.lexsort((-value, q))
+    rank = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+    return order[rank < kept], rank[rank < kept]
 
-def _by_row(entries: DataFrame, slices: int) -> DataFrame:
-    """Known partial scores ``p0, p1, ...`` of each query and row."""
-    return entries.groupBy("query", "block", "row").agg(*[F.max(F.when(F.col("slice") == s, F.col("part"))).alias(f"p{s}") for s in range(slices)])
 
+def _bars(entries: DataFrame, kept: int) -> DataFrame:
+    """``(qb, bar)``: the kept-th largest total of each query, in the order of their places; none is the least number."""
 
-def _sum(columns: list[Column]) -> Column:
-    return sum(columns[1:], columns[0])
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _rows_of(batches):
+            q, value = _wide(x["q"]), _wide(x["value"])
+            best, _ = _best_of(q, value, kept)
+            yield _batch(pa.schema([_ENTRIES.field(c) for c in ("qb", "q", "value")]), x["qb"], _narrow(q[best]), _narrow(value[best]))
 
+    def bars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["qb"]):
+            q, value = (np.concatenate([_wide(x) for x in group.column(c).to_pylist()]) for c in ("q", "value"))
+            best, rank = _best_of(q, value, kept)
+            bar = np.full(int(q.max(initial=-1)) + 1, -_NEVER, np.int64)
+            last = best[rank == kept - 1]
+            bar[q[last]] = value[last]
+            yield _batch(pa.schema([("qb", pa.int32()), ("bar", pa.binary())]), group.column("qb")[0].as_py(), _narrow(bar))
 
-def _missing(rows: DataFrame, slices: int) -> DataFrame:
-    """``(query, block, row, slice)`` of the partial scores that are not known."""
-    gaps = F.array(*[F.when(F.col(f"p{s}").isNull(), F.lit(s)) for s in range(slices)])
-    return rows.select("query", "block", "row", F.explode(F.array_compact(gaps)).alias("slice"))
+    return _by(entries.select("qb", "q", "value").mapInArrow(thin, "qb int, q binary, value binary"), "qb").mapInArrow(bars, "qb int, bar binary")
 
 
-def _kth(rows: DataFrame, k: int) -> DataFrame:
-    """``(query, bar)``: the k-th largest total of each query that has as many."""
-    best = _best(rows, ["query"], [F.col("score").desc(), F.col("row")], k)
-    return best.groupBy("query").agg(F.min("score").alias("bar"), F.count("*").alias("n")).filter(F.col("n") >= k).drop("n")
+def _bar_of(row: dict, n: int) -> np.ndarray:
+    """The best bar that is known for each of ``n`` queries."""
+    out = np.full(n, -_NEVER, np.int64)
+    for c in ("bar", "better"):
+        if row.get(c) is not None:
+            bar = _wide(row[c])[:n]
+            out[: len(bar)] = np.maximum(out[: len(bar)], bar)
+    return out
+
+
+def _cutoffs(slices: int):
+    """Cutoffs of every slice of a block, slice by slice; a query that no row of the block can serve has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _rows_of(batches):
+            tops = np.stack([_wide(x[f"top{s}"]) for s in range(slices)])
+            bar = _bar_of(x, tops.shape[1])
+            spare = np.where(bar == -_NEVER, 0, tops.sum(axis=0) - bar)
+            cuts = np.where(bar == -_NEVER, -_NEVER, np.where(spare < 0, _NEVER, tops - spare // slices))
+            if (spare >= 0).any():
+                yield _batch(pa.schema([("qb", pa.int32()), ("block", pa.int32()), ("cuts", pa.binary())]), x["qb"], x["block"], _narrow(cuts))
+
+    return run
+
+
+def _possible(slices: int):
+    """Incomplete entries that may still reach the bar, as what is missing stayed below the cutoffs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _rows_of(batches):
+            cuts = _wide(x["cuts"]).reshape(slices, -1)
+            q, pos, value = (_wide(x[c]) for c in ("q", "pos", "value"))
+            every = _bar_of(x, cuts.shape[1])
+            bar = every[q]
+            below = sum(cuts[s] - 1 for s in range(slices) if not x["known"] >> s & 1)[q]
+            of = (bar == -_NEVER) | (value + below >= bar)
+            if of.any():
+                yield _batch(_ENTRIES, x["qb"], x["block"], x["known"], _narrow(q[of]), _narrow(pos[of]), _narrow(value[of]), _narrow(every))
+
+    return run
+
+
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries that reach the bar as rows ``(qb, q, block, pos, score)``."""
+    for x in _rows_of(batches):
+        q, pos, value = (_wide(x[c]) for c in ("q", "pos", "value"))
+        of = value >= _bar_of(x, int(q.max(initial=-1)) + 1)[q]
+        n = int(of.sum())
+        columns = [np.full(n, x["qb"], np.int32), q[of].astype(np.int32), np.full(n, x["block"], np.int32), pos[of].astype(np.int32), value[of]]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["qb", "q", "block", "pos", "score"])
+
+
+def _best(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
 
 
 def top_inner_products(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding", slices: int = SLICES, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -171,35 +397,30 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int, key: str =
     if asking.isEmpty():
         return vectors.sparkSession.createDataFrame([], result)
     slices = max(1, min(slices, size or 1))
-    packed = cut(_pack(classes.select(F.col("class").alias("id"), "v"), block_rows, slices, size or 0), "blocks")
-    asked = cut(_pack(asking.select(F.col("class").alias("id"), "v"), query_rows, slices, size or 0), "queries")
-    units = _units(asked, packed)
-    parts = [F.col(f"p{s}") for s in range(slices)]
-
-    lists = cut(units.mapInArrow(_entries(_best_parts(kept)), _ENTRY), "phase1")
-    probes = _by_row(_best(lists, ["query", "slice"], [F.col("part").desc(), F.col("row")], max(PROBES, kept)), slices)
+    packed = cut(_pack(classes.select(F.col("class").alias("id"), "v"), block_rows, slices, size or 0)[0], "blocks")
+    asked, n_queries = _pack(asking.select(F.col("class").alias("id"), "v"), query_rows, slices, size or 0)
+    folder = scratch_path(vectors.sparkSession, "queries")
+    asked.write.partitionBy("block", "slice").parquet(folder)
+    asked = vectors.sparkSession.read.schema(asked.schema).parquet(folder)
+
+    lists = cut(packed.drop("ids").mapInArrow(_lists(folder, n_queries, max(SENT, kept)), _LISTS_DDL), "phase1")
+    probes = _by(lists.filter("block IS NULL").drop("block", "tops"), "qb").mapInArrow(_probe(max(PROBES, kept)), _ENTRY_DDL)
+    whole = F.col("known") == (1 << slices) - 1
     probes = cut(probes, "probes")
-    asks = _tell(units, asked, _missing(probes, slices), ["row"], _wanted)
-    flat = F.explode(F.array(*[F.struct(F.lit(s).alias("slice"), parts[s].alias("part")) for s in range(slices)])).alias("e")
-    known = lambda rows: rows.select("query", "block", "row", flat).select("query", "block", F.col("e.slice").alias("slice"), "row", F.col("e.part").alias("part")).filter("part IS NOT NULL")
-    safe = _kth(_by_row(known(probes).unionByName(asks), slices).select("query", "row", _sum(parts).alias("score")), kept)
-
-    tops = lists.groupBy("query", "block").agg(*[F.max(F.when(F.col("slice") == s, F.col("part"))).alias(f"top{s}") for s in range(slices)])
-    spare = F.expr(f"({' + '.join(f'top{s}' for s in range(slices))} - bar)")
-    each = F.expr(f"({' + '.join(f'top{s}' for s in range(slices))} - bar) div {slices}")
-    cuts = tops.join(safe, "query", "left").filter(F.col("bar").isNull() | (spare >= 0))
-    cuts = cut(cuts.select("query", "block", "bar", *[F.when(F.col("bar").isNull(), F.lit(-_NEVER)).otherwise(F.col(f"top{s}") - each).alias(f"cut{s}") for s in range(slices)]), "cutoffs")
-    told = cuts.select("query", "block", F.posexplode(F.array(*[F.col(f"cut{s}") for s in range(slices)])).alias("slice", "cut"))
-    found = cut(_by_row(_tell(units, asked, told, ["cut"], _reaching), slices), "phase2")
-
-    whole = _sum(parts).isNotNull()
-    complete = found.filter(whole).select("query", "row", _sum(parts).alias("score"))
-    bars = _kth(complete, kept).withColumnRenamed("bar", "better")
-    most = _sum([F.coalesce(parts[s], F.col(f"cut{s}") - 1) for s in range(slices)])
-    left = found.filter(~whole).join(cuts, ["query", "block"]).join(bars, "query", "left")
-    left = cut(left.filter(F.col("bar").isNull() | (most >= F.greatest("bar", "better"))).select("query", "block", "row", *parts), "open")
-    resolved = _by_row(known(left).unionByName(_tell(units, asked, _missing(left, slices), ["row"], _wanted)), slices)
-    scored = complete.unionByName(resolved.select("query", "row", _sum(parts).alias("score")))
+    safe = cut(_bars(probes.filter(whole).unionByName(_answered(probes.filter(~whole), packed, folder, slices)), kept), "safe")
+
+    tops = lists.filter("block IS NOT NULL").groupBy("qb", "block").agg(*[F.max(F.when(F.col("slice") == s, F.col("tops"))).alias(f"top{s}") for s in range(slices)])
+    cuts = cut(tops.join(safe, "qb", "left").mapInArrow(_cutoffs(slices), "qb int, block int, cuts binary"), "cutoffs")
+    told = cuts.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    found = cut(_by(_at_nodes(packed, told, ["cuts"], _reaching(folder)), "qb", "block").mapInArrow(_merge, _ENTRY_DDL), "phase2")
+
+    bars = cut(safe.join(_bars(found.filter(whole), kept).withColumnRenamed("bar", "better"), "qb", "full"), "bars")
+    left = found.drop("bar").filter(~whole).join(cuts.join(bars, "qb", "left"), ["qb", "block"]).mapInArrow(_possible(slices), _ENTRY_DDL)
+    complete = found.drop("bar").filter(whole).join(bars, "qb", "left")
+    scored = complete.unionByName(_answered(left, packed, folder, slices), allowMissingColumns=True)
+    scored = scored.mapInArrow(_reached, "qb int, q int, block int, pos int, score long")
+    names = lambda nodes, block, place, name: nodes.filter("slice = 0").select(F.col("block").alias(block), F.posexplode("ids").alias(place, name))
+    scored = scored.join(names(asked, "qb", "q", "query"), ["qb", "q"]).join(names(packed, "block", "pos", "row"), ["block", "pos"])
 
     best = _best(scored, ["query"], [F.col("score").desc(), F.col("row")], kept).join(classes.select(F.col("class").alias("row"), "members"), "row")
     hits = best.select("query", "score", F.explode("members").alias("id")).groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("below"), "id"))), 1, kept).alias("hits"))

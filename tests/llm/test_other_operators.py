@@ -21,7 +21,7 @@ from gridterrain.llm.html import extract_text, page_text
 from gridterrain.llm.mixing import mix_sources, poisson_count, source_counts, tempered_weights
 from gridterrain.llm.queries import ORACLES, QUERIES
 from gridterrain.llm.shards import Library, find_token, read_shards, write_shards
-from gridterrain.llm.topk import quantised, top_inner_products
+from gridterrain.llm.topk import _top, quantised, top_inner_products
 from gridterrain.llm.warc import list_archives, plan_records, read_warc, write_warc
 from gridterrain.llm.wavelet import Wavelet, build
 from gridterrain.scratch import scratch_path
@@ -290,6 +290,29 @@ def test_repeated_ids_keep_all_their_vectors(spark):
     assert sorted(map(tuple, found.collect())) == want
 
 
+def test_top_products_copy_no_matrix_for_pairs_of_blocks(spark):
+    """Blocks of queries by blocks of rows are more than the driver may be sent; the blocks alone are not."""
+    values = np.random.default_rng(9).integers(-20000, 20000, (3000, 64))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "vec_id long, embedding array<bigint>")
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "2m")
+    try:
+        found = top_inner_products(vectors, F.col("vec_id") % 5 == 0, 3, block_rows=50, query_rows=200).collect()
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+    scores = values[::5] @ values.T
+    scores[np.arange(600), np.arange(0, 3000, 5)] = -(2**60)
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :3]
+    assert sorted(map(tuple, found)) == [(5 * q, n + 1, i, scores[q, i]) for q, best in enumerate(order.tolist()) for n, i in enumerate(best)]
+
+
+@pytest.mark.parametrize("rows, kept", [(300, 4), (300, 40), (130, 1), (64, 64), (5, 9)])
+def test_top_places_hold_the_greatest_numbers(rows, kept):
+    parts = np.random.default_rng(rows).integers(-9, 9, (7, rows))
+    found = np.take_along_axis(parts, _top(parts, kept), 1)
+    assert np.array_equal(np.sort(found, axis=1), np.sort(parts, axis=1)[:, -kept:])
+
+
 def test_poisson_counts_invert_the_distribution(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, None).otherwise("s").alias("source"), F.lit("t").alias("copy"))
     weights = spark.createDataFrame([(None, 3.0), ("s", 1.0), ("unknown", 9.0)], "source string, weight double")
