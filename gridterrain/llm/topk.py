@@ -17,7 +17,8 @@ Equal vectors form one class with its smallest ids, ``k`` and as many more as a
 member can be in a result, and equal queries are answered once. Blocks of queries are written once, by block and slice, to
 the shared folder, which must be one that ``pyarrow.fs`` opens by URI; a node reads them one after the other, so no matrix is
 copied for a pair of blocks. What nodes are told and send is packed by blocks: a message has the entries of a block of queries
-in a block of rows, by their places in both. Scores are integers and must fit in 64 bits; partial scores
+in a block of rows, by their places in both. Phases 2 and 3 take ``WAVE`` blocks of queries at a time and drop their entries
+before the next, so their disk grows with the rows and not with the pairs. Scores are integers and must fit in 64 bits; partial scores
 beyond 2^53 are added as Python integers.
 """
 
@@ -36,9 +37,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridterrain.llm.warc import _open
 from gridterrain.llm.workers import sorted_groups, worker_cache
 from gridterrain.operators.skew import join_unique
-from gridterrain.scratch import cut, scratch_path
+from gridterrain.scratch import cut, materialise, release, scratch_path
 
 BLOCK_ROWS, QUERY_ROWS, SLICES, PROBES, SENT = 4096, 1024, 2, 64, 16
+# Blocks of queries whose entries are kept at a time, as a share of all pairs does not fit the disk of a large table.
+WAVE = 4
 # Query matrices that a worker keeps between nodes, and entries that are worked out at a time.
 CACHE_BYTES, _STEP = 32 << 20, 1 << 15
 _NODE = pa.schema([("block", pa.int32()), ("slice", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int64())), ("kind", pa.string()), ("matrix", pa.binary())])
@@ -382,10 +385,10 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int, key: str =
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("asks")).filter("id IS NOT NULL AND v IS NOT NULL")
     rows = cut(rows.groupBy("id", "v").agg(F.max("asks").alias("asks")), "vectors")
-    result = "query_id long, rank int, vec_id long, score long"
+    spark, result = vectors.sparkSession, "query_id long, rank int, vec_id long, score long"
     size = rows.agg(F.max(F.size("v"))).first()[0]
     if not size and rows.isEmpty():
-        return vectors.sparkSession.createDataFrame([], result)
+        return spark.createDataFrame([], result)
     # A query's own id is left out at the end, with every vector it has.
     kept = k + (rows.filter("asks").groupBy("id").count().agg(F.max("count")).first()[0] or 1)
     members = _best(rows.select("id", "v"), ["v"], [F.col("id")], kept)
@@ -395,13 +398,13 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int, key: str =
     classes = cut(classes.select(F.monotonically_increasing_id().alias("class"), "v", "members", "n_asks"), "classes")
     asking = classes.filter("n_asks > 0")
     if asking.isEmpty():
-        return vectors.sparkSession.createDataFrame([], result)
+        return spark.createDataFrame([], result)
     slices = max(1, min(slices, size or 1))
     packed = cut(_pack(classes.select(F.col("class").alias("id"), "v"), block_rows, slices, size or 0)[0], "blocks")
     asked, n_queries = _pack(asking.select(F.col("class").alias("id"), "v"), query_rows, slices, size or 0)
-    folder = scratch_path(vectors.sparkSession, "queries")
+    folder = scratch_path(spark, "queries")
     asked.write.partitionBy("block", "slice").parquet(folder)
-    asked = vectors.sparkSession.read.schema(asked.schema).parquet(folder)
+    asked = spark.read.schema(asked.schema).parquet(folder)
 
     lists = cut(packed.drop("ids").mapInArrow(_lists(folder, n_queries, max(SENT, kept)), _LISTS_DDL), "phase1")
     probes = _by(lists.filter("block IS NULL").drop("block", "tops"), "qb").mapInArrow(_probe(max(PROBES, kept)), _ENTRY_DDL)
@@ -411,14 +414,21 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int, key: str =
 
     tops = lists.filter("block IS NOT NULL").groupBy("qb", "block").agg(*[F.max(F.when(F.col("slice") == s, F.col("tops"))).alias(f"top{s}") for s in range(slices)])
     cuts = cut(tops.join(safe, "qb", "left").mapInArrow(_cutoffs(slices), "qb int, block int, cuts binary"), "cutoffs")
-    told = cuts.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    found = cut(_by(_at_nodes(packed, told, ["cuts"], _reaching(folder)), "qb", "block").mapInArrow(_merge, _ENTRY_DDL), "phase2")
-
-    bars = cut(safe.join(_bars(found.filter(whole), kept).withColumnRenamed("bar", "better"), "qb", "full"), "bars")
-    left = found.drop("bar").filter(~whole).join(cuts.join(bars, "qb", "left"), ["qb", "block"]).mapInArrow(_possible(slices), _ENTRY_DDL)
-    complete = found.drop("bar").filter(whole).join(bars, "qb", "left")
-    scored = complete.unionByName(_answered(left, packed, folder, slices), allowMissingColumns=True)
-    scored = scored.mapInArrow(_reached, "qb int, q int, block int, pos int, score long")
+    scored = None
+    for first in range(0, n_queries, WAVE):
+        mine = F.col("qb").between(first, first + WAVE - 1)
+        told = cuts.filter(mine).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        found, path = materialise(_by(_at_nodes(packed, told, ["cuts"], _reaching(folder)), "qb", "block").mapInArrow(_merge, _ENTRY_DDL), "phase2")
+        bars = cut(safe.filter(mine).join(_bars(found.filter(whole), kept).withColumnRenamed("bar", "better"), "qb", "full"), "bars")
+        left = found.drop("bar").filter(~whole).join(cuts.filter(mine).join(bars, "qb", "left"), ["qb", "block"]).mapInArrow(_possible(slices), _ENTRY_DDL)
+        complete = found.drop("bar").filter(whole).join(bars, "qb", "left")
+        reached = complete.unionByName(_answered(left, packed, folder, slices), allowMissingColumns=True)
+        reached = cut(reached.mapInArrow(_reached, "qb int, q int, block int, pos int, score long"), "reached")
+        release(spark, path)
+        scored = reached if scored is None else scored.unionByName(reached)
+        if first + WAVE < n_queries:
+            # Spark's cleaner drops the shuffle files of a wave when its plans are collected.
+            spark.sparkContext._jvm.System.gc()
     names = lambda nodes, block, place, name: nodes.filter("slice = 0").select(F.col("block").alias(block), F.posexplode("ids").alias(place, name))
     scored = scored.join(names(asked, "qb", "q", "query"), ["qb", "q"]).join(names(packed, "block", "pos", "row"), ["block", "pos"])
 
