@@ -112,7 +112,10 @@ def _asked(folder: str, block: int, slice_: int) -> np.ndarray | None:
     if path not in held:
         fs, root = _open(path)
         files = [f.path for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.path.endswith(".parquet")]
-        found = [row for f in files for row in pq.ParquetFile(fs.open_input_file(f)).read(["n", "kind", "matrix"]).to_pylist()]
+        found = []
+        for f in files:
+            with fs.open_input_file(f) as source:
+                found += pq.ParquetFile(source).read(["n", "kind", "matrix"]).to_pylist()
         held[path] = _matrix(found[0]) if found else None
         while len(held) > 1 and sum(m.nbytes for m in held.values() if m is not None) > CACHE_BYTES:
             held.popitem(last=False)
